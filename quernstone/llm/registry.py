@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module that has query(spark, sf_dir) and maybe ORACLE_SQL.
 MODULES = {
+    "op3_fingerprints": "fingerprints",
     "op6_sharding": "sharding",
+    "op7_mixing": "mixing",
 }
 
 
