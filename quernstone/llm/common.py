@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the contracts that also end at ASCII punctuation (after lower-casing A-Z).
 TEXT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+# functions go to executors with their code, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules["quernstone"])
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _written: dict[str, SparkSession] = {}
 

@@ -9,6 +9,8 @@ MODULES = {
     "op3_fingerprints": "fingerprints",
     "op6_sharding": "sharding",
     "op7_mixing": "mixing",
+    "op9_quality": "quality",
+    "op10_simhash": "simhash",
 }
 
 
