@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module that has query(spark, sf_dir) and maybe ORACLE_SQL.
 MODULES = {
+    "op1_suffixes": "suffixes",
     "op3_fingerprints": "fingerprints",
     "op6_sharding": "sharding",
     "op7_mixing": "mixing",
