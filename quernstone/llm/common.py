@@ -63,6 +63,14 @@ def _remove_written() -> None:
             return
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the Arrow batches that Python functions get by bytes: ten thousand long texts
+    at once, which is what the default allows, would not fit beside the JVM's heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(key, size)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row. A plain column that a lambda uses
     may be inlined by the optimizer and computed again for each element."""

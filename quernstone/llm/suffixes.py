@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 LENGTH = 400
 GRAM = 48
@@ -355,6 +355,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(k1, k2, ranges) of each row that loses bytes; ranges: array of (from, to), which
     may overlap. k1, k2: _k1 and _k2 of _keyed()."""
+    bounded_batches(docs.sparkSession)
     found = _keyed(docs).select("_k1", "_k2", "_bytes").mapInArrow(_find_runs(length, gram), "k1 bigint, k2 bigint, start bigint, many bigint, off bigint, ah bigint, u1 bigint, u2 bigint")
     small = ("start", "many", "off")
     runs = materialize(found.select("k1", "k2", *(F.col(c).cast("int").alias(c) for c in small), "ah", "u1", "u2"), "suffix-runs")
