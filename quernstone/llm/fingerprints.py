@@ -59,9 +59,10 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either > 0, both.cast("double") / either).otherwise(F.lit(1.0))
 
 
-def with_next(docs: DataFrame, carry: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """docs with column _next: the carried columns of the next row by ascending key, the
-    last row having the first as its next.
+def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str = "doc_id") -> DataFrame:
+    """docs with the derived columns, and next_<name> of value and each of these: that
+    of the next row by ascending key, the last row having the first as its next. Only
+    value travels; what is derived from it is computed once, where the row arrives.
 
     Rows go to ranges of about a thousand keys whose bounds are keys of the table. A row
     at a bound also goes, as a ghost, to the range before, so each range finds the next
@@ -75,7 +76,7 @@ def with_next(docs: DataFrame, carry: tuple[str, ...], key: str = "doc_id") -> D
     found = keys.agg(F.percentile_approx("k", cuts, 10000).alias("b"), F.min("k").alias("m")).first()
     bounds = sorted({found["m"], *(found["b"] or [])} - {None})
     if not bounds:
-        return docs.withColumn("_next", F.struct(*carry)).limit(0)
+        return docs.withColumns(derived).withColumns({f"next_{c}": F.col(c) for c in (value, *derived)})
     many = len(bounds)
     array = F.array(*(F.lit(b).cast("bigint") for b in bounds))
     steps = F.sequence(F.lit(1), F.lit(many.bit_length() + 1))
@@ -96,10 +97,12 @@ def with_next(docs: DataFrame, carry: tuple[str, ...], key: str = "doc_id") -> D
     own = F.struct(F.col("_part").alias("p"), F.lit(0).alias("ghost"))
     other = F.struct(ghost.alias("p"), F.lit(1).alias("ghost"))
     rows = rows.withColumn("_to", F.explode(F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, other))))
+    rows = rows.select(*docs.columns, "_key", F.col("_to.p").alias("_p"), F.col("_to.ghost").alias("_ghost"))
     # ghosts come last: their keys are above the range's, or they close the circle
-    order = W.partitionBy("_to.p").orderBy("_to.ghost", "_key", *carry)
-    rows = rows.withColumn("_next", F.lead(F.struct(*carry)).over(order))
-    return rows.where("_to.ghost = 0").drop("_key", "_part", "_to")
+    order = W.partitionBy("_p").orderBy("_ghost", "_key", value)
+    rows = rows.withColumn(f"next_{value}", F.lead(value).over(order)).withColumns(derived)
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in derived})
+    return rows.where("_ghost = 0").drop("_key", "_p", "_ghost")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -112,14 +115,13 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("_text")).withColumn("_set", spot_set(F.col("_text")))
-    rows = with_next(rows, ("_text", "_set"))
-    rows = rows.select("doc_id", F.length("_text").cast("bigint").alias("n_chars"), "_set", F.col("_next._set").alias("_next_set"), edited(F.col("_text"), F.col("_next._text")).alias("_edited"))
+    rows = with_next(docs.select("doc_id", text.alias("text")), "text", {"_set": spot_set(F.col("text"))})
+    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "_set", "next__set", edited(F.col("text"), F.col("next_text")).alias("_edited"))
     rows = rows.withColumn("_edited_set", spot_set(F.col("_edited")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
         F.array_join("_set", "").alias("fingerprint"), F.array_join("_edited_set", "").alias("edited_fingerprint"),
-        likeness(F.col("_set"), F.col("_edited_set")).alias("near_edited"), likeness(F.col("_set"), F.col("_next_set")).alias("near_next"),
+        likeness(F.col("_set"), F.col("_edited_set")).alias("near_edited"), likeness(F.col("_set"), F.col("next__set")).alias("near_next"),
     )
 
 
