@@ -7,9 +7,13 @@ from importlib import import_module
 #: Query name -> module that has query(spark, sf_dir) and maybe ORACLE_SQL.
 MODULES = {
     "op1_suffixes": "suffixes",
+    "op2_licenses": "licenses",
     "op3_fingerprints": "fingerprints",
+    "op4_pieces": "pieces",
+    "op5_toxicity": "toxicity",
     "op6_sharding": "sharding",
     "op7_mixing": "mixing",
+    "op8_urls": "urls",
     "op9_quality": "quality",
     "op10_simhash": "simhash",
 }
