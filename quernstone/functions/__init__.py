@@ -1 +1 @@
-"""."""
+"""Column functions: text normalisation, tokens, sentences, vectors."""

@@ -1 +1 @@
-"""."""
+"""Operators over documents, clauses, chunks, versions, questions and answers."""
