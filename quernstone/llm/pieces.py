@@ -112,6 +112,9 @@ class Coder:
         #: Pairs known to pass or not: sorted keys, and the latest ones apart until they are many.
         self.pairs = [(np.array([-1], np.int64), np.array([False])), (np.array([-1], np.int64), np.array([False]))]
         self.store: dict[str, bytes] = {}
+        # line ends and other controls outside the vocabulary are words of their own
+        odd = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in self.ids)
+        self.split = re.compile(f"{SPACE}*[^{SPACE}{odd}]+|{SPACE}+" + (f"|[{odd}]" if odd else "")).findall
 
     # --- merging by priority
 
@@ -172,42 +175,61 @@ class Coder:
 
     # --- Viterbi
 
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Ids of words of one length; an unknown character is -2."""
-        codes, n, many = _codes(words), len(words[0]), len(words)
-        prefix, rows = _prefixes(codes), np.arange(many)
-        last = np.full((many, n + 1), -2, np.int64)  # the piece that ends at each position
-        step = np.zeros((many, n + 1), np.int64)
-        found: dict[int, np.ndarray] = {}  # by size: the piece that starts at each position, or -1
-        for size in (x for x in self.keys if x <= n):
-            key, ids, _ = self.keys[size]
-            h = prefix[:, size:] - prefix[:, :-size] * self.power[size]
-            at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-            found[size] = np.where(key[at] == h, ids[at], -1)
+    def _viterbi(self, words: list[str]) -> list[bytes | None]:
+        """Packed ids of sorted distinct words; None where a character is unknown.
+
+        Words that begin alike share their paths: at each length, only prefixes that the
+        word before doesn't have are worked on, all of them at once."""
+        many, n = len(words), max(map(len, words))
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(many, n)
+        size_of = np.array([len(w) for w in words])
+        prefix = _prefixes(codes)
+        alike = np.zeros(many, np.int64)  # letters in common with the word before
+        differs = codes[1:] != codes[:-1]
+        alike[1:] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), n), np.minimum(size_of[1:], size_of[:-1]))
+        rows = np.arange(many)
+        own = np.zeros((many, n + 1), np.int64)  # the row that stands for a prefix
+        last = np.full((many, n + 1), -2, np.int64)  # the piece that ends it
+        step = np.ones((many, n + 1), np.int64)
+        sizes = sorted(self.keys)
         for end in range(1, n + 1):
-            most = np.zeros(many, np.int64)
-            if (odd := np.flatnonzero(found[1][:, end - 1] < 0)).size:  # an unknown character is a step of its own
-                most[odd] = 1
-            for size in sorted(x for x in found if x <= end):
+            new = (size_of >= end) & (alike < end)
+            own[:, end] = np.maximum.accumulate(np.where(new, rows, 0))
+            live = np.flatnonzero(new)
+            for size in sizes:
                 start = end - size
-                piece = found[size][:, start]
-                here = np.flatnonzero(piece >= 0)
-                if not len(here):
-                    continue
-                piece = piece[here]
-                if start:
-                    fits = self._neighbours(last[here, start], piece)
+                if start < 0:
+                    break
+                key, ids, _ = self.keys[size]
+                h = prefix[live, end] - prefix[live, start] * self.power[size]
+                at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+                hit = key[at] == h
+                here, piece = live[hit], ids[at[hit]]
+                if start and len(here):
+                    fits = self._neighbours(last[own[here, start], start], piece)
                     here, piece = here[fits], piece[fits]
-                most[here], last[here, end] = size, piece  # sizes rise: the greatest stays
-            step[:, end] = most
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(many, n)
-        while (live := rows[at > 0]).size:
-            for r, p in zip(live.tolist(), last[live, at[live]].tolist(), strict=True):
-                out[r].append(p)
-            at[live] -= step[live, at[live]]
+                step[here, end], last[here, end] = size, piece  # sizes rise: the greatest stays
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        at, live = size_of.copy(), rows[size_of > 0]
+        while live.size:
+            r = own[live, at[live]]
+            steps.append((live, last[r, at[live]]))
+            at[live] -= step[r, at[live]]
+            live = live[at[live] > 0]
+        which, piece = (np.concatenate([x[k] for x in reversed(steps)]) for k in (0, 1))
+        order = np.argsort(which, kind="stable")
+        which, piece = which[order], piece[order]
+        odd = np.zeros(many, bool)
+        odd[which[piece < 0]] = True
+        ends = np.cumsum(np.bincount(which, minlength=many))
+        packed = piece.astype("<i4").tobytes()
+        out = [packed[4 * x : 4 * y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         # pieces were found by hash: a path that doesn't spell its word is done plainly
-        return [x[::-1] if -2 in x or "".join(map(self.text.__getitem__, x[::-1])) == w else self._plain(w) for w, x in zip(words, out, strict=True)]
+        if "".join(map(self.text.__getitem__, piece[~odd[which]].tolist())) != "".join(w for w, o in zip(words, odd.tolist(), strict=True) if not o):
+            return [np.array(self._plain(w), "<i4").tobytes() if not o else None for w, o in zip(words, odd.tolist(), strict=True)]
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = None
+        return out
 
     def _plain(self, word: str) -> list[int]:
         """Merging by priority, one word: the leftmost of the best pairs first."""
@@ -238,37 +260,38 @@ class Coder:
         ends = [k + 1 for k in range(len(word) - 1) if word[k : k + 2] not in self.bigrams]
         return [word[a:b] for a, b in zip([0, *ends], [*ends, len(word)], strict=True)]
 
+    def _bytes(self, word: str, ids: list[int]) -> bytes:
+        """Packed ids, an unknown character (-2) being the pieces of its bytes."""
+        out, at = [], 0
+        for i in ids:
+            if i >= 0:
+                out.append(i)
+                at += len(self.text[i])
+            else:
+                out += [self.byte[x] for x in word[at].encode()]
+                at += 1
+        return np.array(out, "<i4").tobytes()
+
     def _learn(self, words: set[str]) -> None:
         """Encode words and store them as packed int32."""
         if len(self.store) + len(words) > STORE:
             self.store.clear()
-        parts = {w: self._cut(w) if len(w) > LONG else (w,) for w in words}
-        units = {w for w in words if len(w) <= LONG}.union(*(ps for w, ps in parts.items() if len(w) > LONG))
-        found: dict[str, list[int]] = {u: self._plain(u) for u in units if SPACE * 2 in u}
-        by_length: dict[int, list[str]] = {}
-        for u in sorted(units - found.keys()):
-            by_length.setdefault(len(u), []).append(u)
-        for same in by_length.values():
-            for k in range(0, len(same), 8192):
-                found.update(zip(same[k : k + 8192], self._viterbi(same[k : k + 8192]), strict=True))
-        for w, ps in parts.items():
-            if len(ps) == 1 and -2 not in found[w]:
-                self.store[w] = struct.pack(f"<{len(found[w])}i", *found[w])
-                continue
-            ids, at = [], 0
-            for p in (p for u in ps for p in found[u]):
-                if p >= 0:
-                    ids.append(p)
-                    at += len(self.text[p])
-                else:
-                    ids += [self.byte[x] for x in w[at].encode()]
-                    at += 1
-            self.store[w] = np.array(ids, "<i4").tobytes()
+        long = {w: self._cut(w) for w in words if len(w) > LONG}
+        units = {w for w in words if len(w) <= LONG}.union(*long.values())
+        found = {u: self._bytes(u, self._plain(u)) for u in units if SPACE * 2 in u}
+        rest = sorted(units - found.keys())
+        for own in ([u for u in rest if len(u) <= LONG], sorted((u for u in rest if len(u) > LONG), key=len)):
+            step = 16384 if own and len(own[-1]) <= LONG else 16
+            for k in range(0, len(own), step):
+                part = sorted(own[k : k + step])
+                for u, ids in zip(part, self._viterbi(part), strict=True):
+                    found[u] = self._bytes(u, self._plain(u)) if ids is None else ids
+        self.store.update(found)
+        self.store.update((w, b"".join(map(found.__getitem__, ps))) for w, ps in long.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as little-endian int32."""
-        split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        words = [split((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
+        words = [self.split((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
         new = set().union(*words) - self.store.keys()
         if new:
             self._learn(new)
@@ -336,11 +359,12 @@ def decode(rows: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
     return _with_text(rows, "ids", keep or [c for c in rows.columns if c != "ids"], [T.StructField("decoded", T.StringType())], work)
 
 
-def digests(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, n_pieces, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and
+def digests(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+    """keep, ids (if with_ids), n_pieces, ids_sha256 (of the ids as little-endian int32), decoded_sha256 and
     round_trip: whether decoding gives the text again (U+2581 being a space)."""
     pieces = read_model(model)
-    kinds = {"n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType()}
+    kinds = {"ids": T.ArrayType(T.IntegerType())} if with_ids else {}
+    kinds |= {"n_pieces": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "round_trip": T.BooleanType()}
 
     def work():
         coder = _coder(pieces)
@@ -351,7 +375,9 @@ def digests(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_i
             packed = coder.encode(texts)
             decoded = [coder.decode(p) for p in packed]
             same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]
-            return [pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array((sha(d.encode()) for d in decoded), pa.string()), pa.array(same, pa.bool_())]
+            ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            ids = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "<i4")))] if with_ids else []
+            return [*ids, pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(map(sha, packed), pa.string()), pa.array((sha(d.encode()) for d in decoded), pa.string()), pa.array(same, pa.bool_())]
 
         return run
 
