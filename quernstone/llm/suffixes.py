@@ -359,12 +359,14 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     found = _keyed(docs).select("_k1", "_k2", "_bytes").mapInArrow(_find_runs(length, gram), "k1 bigint, k2 bigint, start bigint, many bigint, off bigint, ah bigint, u1 bigint, u2 bigint")
     small = ("start", "many", "off")
     runs = materialize(found.select("k1", "k2", *(F.col(c).cast("int").alias(c) for c in small), "ah", "u1", "u2"), "suffix-runs")
-    again = runs.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah")
+    # counts are tables of their own: joined to them, a frequent gram can be split over tasks
+    again = materialize(runs.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah"), "suffix-repeats")
     runs = materialize(runs.join(again, "ah"), "suffix-candidates")
     key = ["ah", "u1", "u2"]
     distinct = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", *small)).alias("r")).select(*key, "n", "r.*")
-    sizes = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"))
-    distinct = materialize(distinct.join(sizes, "ah"), "suffix-distinct")
+    distinct = materialize(distinct, "suffix-distinct")
+    sizes = materialize(distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")), "suffix-sizes")
+    distinct = distinct.join(sizes, "ah")
     whole = distinct.where("n > 1").select(*key, F.lit(0).alias("lo"), (F.col("many") - 1).alias("hi"))
     # runs that occur once, and those of their classes they are to be compared with
     open_ = distinct.where("m > 1 and least = 1")
@@ -381,7 +383,7 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("ranges"))
 
 
-def _cut(with_bytes: bool):
+def _cut(with_text: bool):
     """mapInArrow function: drops the ranges from _bytes."""
 
     def run(batches):
@@ -399,25 +401,36 @@ def _cut(with_bytes: bool):
                     end = done = max(end, r[1])
                 kept.append(data[done:])
                 left = b"".join(kept)
-                row = (len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left if with_bytes else None)
+                row = (len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [b.column(i) for i in rest] + [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=[b.schema.names[i] for i in rest] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_bytes: bool = False, length: int = LENGTH) -> DataFrame:
-    """The columns of keep, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes
-    left, if with_bytes)."""
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, length: int = LENGTH) -> DataFrame:
+    """The columns of keep, n_bytes, n_removed, n_spans, kept_sha256, and kept (the text
+    left, if with_text, without characters of which a part went)."""
     ranges = removed_ranges(docs, length)
     own = _keyed(docs).select(*keep, "_k1", "_k2", "_bytes")
     joined = own.join(ranges, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*keep, "_bytes", "ranges")
-    kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.BinaryType()}
+    kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType()}
     schema = T.StructType([joined.schema[c] for c in keep] + [T.StructField(n, k) for n, k in kinds.items()])
-    return joined.mapInArrow(_cut(with_bytes), schema)
+    return joined.mapInArrow(_cut(with_text), schema)
+
+
+def deduped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the text that is left, and their columns; no row goes."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select("doc_id", "text", F.struct(*rest).alias("_row"))
+    out = dedup(packed, keep=("_row",), with_text=True, length=length)
+    cols = {c: F.col("_row").getField(c) for c in rest} | {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(cols[c].alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
