@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 SHINGLE = 3
 SEED = 42
@@ -46,8 +46,23 @@ GROUPS = 7
 CELL = 4096
 
 
+def _majority(hashes: list[int]) -> int:
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):  # long texts in pieces
+        bits = np.unpackbits(np.array(hashes[k : k + 65536], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def word_fingerprint(text: str | None, seed: int = SEED) -> int:
+    """64-bit SimHash of the set of a text's words."""
+    digest = xxhash.xxh64_intdigest
+    words = set((text or "").encode().lower().split())
+    return _majority([digest(w, seed) for w in words]) if words else 0
+
+
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of one text."""
+    """64-bit SimHash of one text's word shingles."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -61,24 +76,25 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED)
         ends = [s - 1 for s in starts[shingle:]] + [len(line)]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 65536):  # long texts in pieces
-        bits = np.unpackbits(np.array(hashes[k : k + 65536], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return _majority(hashes)
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of keep and fp (bigint, the 64 bits as they are)."""
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, word_seeds: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of keep and fps, an array of bigints (64 bits as they are): that of the
+    shingles, or one for each of word_seeds, of the words."""
+    bounded_batches(docs.sparkSession)
+    each = (lambda t: [word_fingerprint(t, s) for s in word_seeds]) if word_seeds else (lambda t: [text_fingerprint(t, shingle)])
+    width = len(word_seeds) or 1
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("fp", T.LongType())])
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("fps", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("_text")
-            fps = np.array([text_fingerprint(t.as_py(), shingle) for t in b.column(at)], "<u8").view("<i8")
+            fps = np.array([each(t.as_py()) for t in b.column(at)], "<u8").reshape(-1).view("<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, width, dtype=np.int32)), pa.array(fps))
             rest = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), pa.array(fps)], names=[*(b.schema.names[i] for i in rest), "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), lists], names=[*(b.schema.names[i] for i in rest), "fps"])
 
     return rows.mapInArrow(run, schema)
 
@@ -169,14 +185,16 @@ def _compare(dealt: DataFrame, distance: int) -> DataFrame:
     return rows.mapInArrow(_links(distance), "u bigint, v bigint")
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints (id, fp) as all links do."""
-    dealt = _cells(nodes.withColumn("_e", embed(F.col("fp"))), F.col("_e"), masks(GROUPS, distance)).drop("_e")
+def links(nodes: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints (seed, fp, id) of each seed as
+    all links do."""
+    dealt = _cells(nodes.withColumn("_e", embed(F.col("fp"))), F.col("_e"), masks(groups, distance), ("seed",)).drop("_e", "seed")
     # large cells are dealt out again by 5 of 8, then 13 of 16 groups of bits; what has 52
     # bits in common has 4,096 members at most
     found: list[DataFrame] = []
     for level, finer in enumerate((masks(8, distance, step=1), masks(16, distance, step=1), None)):
-        counts = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        # a table of its own: joined to it, the rows of a large cell can be split over tasks
+        counts = materialize(dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), f"simhash-counts{level}")
         dealt = materialize(dealt.join(counts, "_cell"), f"simhash-cells{level}")
         small = F.col("_n") <= CELL
         found.append(_compare(dealt if finer is None else dealt.where(small), distance))
@@ -208,29 +226,37 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, fp, component_id (and the columns of keep)."""
-    rows = materialize(fingerprints(docs, shingle=shingle, keep=("doc_id", *keep)), "simhash")
-    lowest = F.lit(-(1 << 63)).cast("bigint")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, fps, component_id. Documents link if a fingerprint of theirs, of one seed,
+    differs in `distance` bits or fewer."""
+    rows = materialize(fingerprints(docs, shingle=shingle, word_seeds=word_seeds), "simhash")
     # a null id is held as the smallest of all
-    nodes = materialize(rows.groupBy("fp").agg(F.min(F.coalesce(F.col("doc_id"), lowest)).alias("id")), "simhash-nodes")
-    roots = components(links(nodes, distance))
-    named = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("_root"))
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    vectors = materialize(rows.groupBy("fps").agg(F.min(F.coalesce(F.col("doc_id"), lowest)).alias("id")), "simhash-vectors")
+    each = vectors.select("id", F.posexplode("fps").alias("seed", "fp"))
+    nodes = materialize(each.groupBy("seed", "fp").agg(F.min("id").alias("id")), "simhash-nodes")
+    edges = links(nodes, distance, groups)
+    if len(word_seeds) > 1:  # vectors that share the fingerprint of one seed only
+        shared = each.join(nodes.withColumnRenamed("id", "v"), ["seed", "fp"]).where("id <> v")
+        edges = edges.unionByName(shared.select(F.col("id").alias("u"), "v"))
+    roots = components(edges)
+    named = vectors.join(roots, "id", "left").select("fps", F.coalesce("root", "id").alias("_root"))
     root = F.when(F.col("_root") != lowest, F.col("_root"))
-    return rows.join(named, "fp").select("doc_id", "fp", root.alias("component_id"), *keep)
+    return rows.join(named, "fps").select("doc_id", "fps", root.alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE) -> DataFrame:
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs without all but one of each component: the one of smallest id."""
-    names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*names).alias("_row"))
-    found = near_duplicates(packed, shingle, distance, keep=("_row",))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    key = F.coalesce(F.col("doc_id").cast("bigint"), lowest)
+    found = near_duplicates(docs, **how)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__near_id")).distinct()
+    kept = docs.withColumn("__near_id", key).join(materialize(first, "simhash-first"), "__near_id", "left_semi")
     # rows that repeat an id are in one component: one of them stays
-    only = W.partitionBy("doc_id").orderBy(F.md5(F.col("_row.text").cast("binary")))
-    return first.withColumn("_k", F.row_number().over(only)).where("_k = 1").select(*(F.col("_row").getField(n).alias(n) for n in names))
+    only = W.partitionBy("__near_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return kept.withColumn("__near_k", F.row_number().over(only)).where("__near_k = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
