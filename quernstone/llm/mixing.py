@@ -81,9 +81,11 @@ def sized(docs: DataFrame, digits: int, keep: tuple[str, ...] = ()) -> DataFrame
 
 def mix(docs: DataFrame, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the columns of keep) of each row."""
-    rows = materialize(sized(docs, hex_digits(row_count(docs)), keep), "mixing")
-    groups = rows.groupBy("_source", "_shard").agg(F.sum("size").alias("_size"))
-    by_source = rows.groupBy("_source").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
+    digits = hex_digits(row_count(docs))
+    narrow = materialize(sized(docs, digits), "mixing")
+    rows = sized(docs, digits, keep) if keep else narrow  # what is kept isn't stored
+    groups = narrow.groupBy("_source", "_shard").agg(F.sum("size").alias("_size"))
+    by_source = narrow.groupBy("_source").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))
     target = targets(by_source)
     part = F.when(F.col("source_size") > 0, F.col("target") * F.col("_size") / F.col("source_size")).otherwise(F.lit(0.0))
     voted = groups.join(target, "_source").withColumn("_votes", part)

@@ -151,27 +151,41 @@ def mcd(cells: DataFrame, group: tuple[str, ...], steps: int = STEPS) -> DataFra
     return params
 
 
-def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept (and the columns of keep)."""
-    group = ("_lang", "_source")
+_GROUP = ("_lang", "_source")
+
+
+def _vectors(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     name = lambda c: F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(c).cast("string")))
     own = docs.select("doc_id", "text", name("lang").alias("_lang"), name("source").alias("_source"), *keep)
-    rows = statistics(own, ("doc_id", *group, *keep))
-    rows = materialize(rows.withColumns(dict(zip(_X, _vector(), strict=True))), "quality")
+    return statistics(own, ("doc_id", *_GROUP, *keep)).withColumns(dict(zip(_X, _vector(), strict=True)))
+
+
+def _estimates(rows: DataFrame) -> DataFrame:
     # texts that the base rules reject are no part of what a group's good texts look like
     good = rows.where(~F.col("base_failed"))
-    cells = materialize(good.groupBy(*group, *_X).agg(F.count(F.lit(1)).alias("_w")), "quality-cells")
-    params = materialize(mcd(cells, group), "quality-mcd")
+    cells = materialize(good.groupBy(*_GROUP, *_X).agg(F.count(F.lit(1)).alias("_w")), "quality-cells")
+    return materialize(mcd(cells, _GROUP), "quality-mcd")
+
+
+def _verdicts(rows: DataFrame, params: DataFrame) -> DataFrame:
     far = F.coalesce(F.col("_d") > CUT, F.lit(False))
+    return _spread(rows, params, _GROUP).withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept."""
+    rows = materialize(_vectors(docs), "quality")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return _spread(rows, params, group).select("doc_id", *base, (~F.col("base_failed") & ~far).alias("kept"), *keep)
+    return _verdicts(rows, _estimates(rows)).select("doc_id", *base, "kept")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
+    """The rows of docs that pass, with their columns. Counts are made twice, once for the
+    estimates and once beside the texts, so that texts are neither stored nor shuffled."""
     names = docs.columns
+    params = _estimates(_vectors(docs))
     packed = docs.select("doc_id", "text", "lang", "source", F.struct(*names).alias("_row"))
-    return judge(packed, keep=("_row",)).where("kept").select(*(F.col("_row").getField(n).alias(n) for n in names))
+    return _verdicts(_vectors(packed, keep=("_row",)), params).where("kept").select(*(F.col("_row").getField(n).alias(n) for n in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
