@@ -1 +1 @@
-"""."""
+"""Sources: files, parsers, the corpus manifest."""

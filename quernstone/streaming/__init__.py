@@ -1 +1 @@
-"""."""
+"""Structured Streaming: idempotent ingestion."""
