@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Glyphs that extraction leaves behind, and what they stand for.
 GLYPHS = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "−": "-", "‐": "-", "‑": "-", " ": " ", "​": "", "﻿": "", "•": "-"}
@@ -25,7 +26,7 @@ EMBEDDING_TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 EXTRACT_TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*%?"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 DOMINANCE = 3
 ZONE, KIND_ZONE, CUE_ZONE = 700, 3000, 90
 
-_QUOTED_CUE = r"(?i)(?:circular|guidelines?|directions?|notification|act|regulations?|rules)\b[^.]{0,60}$"
+_QUOTED_CUE = r"(?i)\b(?:circular|guidelines?|directions?|notification|act|regulations?|rules)\b"
 _CIRCULAR = r"(?i)\bnotification\b|\bmaster (?:direction|circular)\b|\b[A-Z]{2,6}/[0-9]{4}-[0-9]{2}/[0-9]+"
 #: Title markers of each kind of document, in the order in which they are tried.
 KINDS = (

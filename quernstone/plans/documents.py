@@ -25,7 +25,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def running_header_strip(spark: SparkSession, sf: str) -> DataFrame:
     out = G.strip_running_headers(_lines(spark, sf))
-    return out.select("document_id", "line_no", "page", "text")
+    return out.select("document_id", F.col("line_no").cast("bigint").alias("line_no"), "page", "text")
 
 
 def clause_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,8 +165,9 @@ _any = lambda c, ws: "(" + " OR ".join(f"contains({c}, {_q(w)})" for w in ws) +
 _FURN = C._FURNITURE
 _BOILER = f"(regexp_matches(text, {_q(_FURN)}) OR (" + " + ".join(f"contains(lower(text), '{n}')::INT" for n in C.NAV) + " >= 3 AND length(text) < 400))"
 _PIECES = r"string_split(regexp_replace(text, '([.;:])\s+', '\1' || chr(1), 'g'), chr(1))"
-_CUT = rf"CASE WHEN length(s) <= {C.MOST} THEN [s] ELSE list_filter(string_split(regexp_replace(s, '(?s)(.{{1,{C.MOST - 1}}})(?:\s+|$)|(.{{{C.MOST}}})', '\1\2' || chr(1), 'g'), chr(1)), lambda p: length(p) > 0) END"
-_SPLIT = f"""sp AS (SELECT doc_id AS chunk_id, text, {_PIECES} AS ps FROM documents WHERE length(text) > {C.MOST}),
+# a count in a pattern goes to 1,000 there
+_CUT = rf"CASE WHEN length(s) <= {C.MOST} THEN [s] ELSE list_filter(string_split(regexp_replace(s, '(?s)(.{{1,1000}}.{{0,{C.MOST - 1001}}})(?:\s+|$)|(.{{1000}}.{{{C.MOST - 1000}}})', '\1\2' || chr(1), 'g'), chr(1)), lambda p: length(p) > 0) END"
+_SPLIT = f"""sp AS (SELECT doc_id AS chunk_id, text, flatten(list_transform({_PIECES}, lambda s: {_CUT})) AS ps FROM documents WHERE length(text) > {C.MOST}),
 w AS (SELECT chunk_id, 1::BIGINT AS i, []::VARCHAR[] AS parts, ps[1] AS cur, ps FROM sp
   UNION ALL SELECT chunk_id, i + 1,
     CASE WHEN cur = '' OR length(cur) + length(ps[i + 1]) + 1 <= {C.MOST} THEN parts ELSE list_append(parts, cur) END,

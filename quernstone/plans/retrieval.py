@@ -176,7 +176,7 @@ def eval_recall(spark: SparkSession, sf: str) -> DataFrame:
     own = gold.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("want"))
     right = F.col("label") == F.col("want")
     per = hits.join(own, "query_id").groupBy("query_id").agg(F.count_if(right).alias("found"), F.count(F.lit(1)).alias("shown"), F.min(F.when(right, F.col("rank"))).alias("first_rank"))
-    return per.select("query_id", "found", "shown", F.col("first_rank").cast("bigint").alias("first_rank"), F.round(F.col("found") / F.col("shown"), 4).alias("recall"))
+    return per.select("query_id", "found", "shown", F.coalesce("first_rank", F.lit(0)).cast("bigint").alias("first_rank"), F.round(F.col("found") / F.col("shown"), 4).alias("recall"))
 
 
 QUERIES = {f.__name__: f for f in (tokenize_counts, bm25_topk, cosine_topk, bm25_over_candidates, minmax_fusion, rerank_bonus, topic_overlap, jaccard_pairs, near_dup_greedy, reserved_floor_merge, evidence_gate, hybrid_answer, eval_recall)}
@@ -215,7 +215,7 @@ SELECT e.vec_id AS query_id, CASE WHEN c IS NULL THEN 'nothing_retrieved' WHEN c
 h1 AS (SELECT *, source_kind = 'user_document' AND row_number() OVER (PARTITION BY query_id, source_kind ORDER BY fused DESC, chunk_id) <= {R.RESERVED} AS sure FROM fk),
 h2 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sure DESC, fused DESC, chunk_id) <= {TOP_N})
 SELECT query_id, chunk_id, source_kind, round(fused, 4) AS fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM h2""",
-    "eval_recall": f"""WITH {_cosine_sql(TOP_N)}, p AS (SELECT top.query_id, count(*) FILTER (e.label = w.label) AS found, count(*) AS shown, min(rank) FILTER (e.label = w.label) AS first_rank
+    "eval_recall": f"""WITH {_cosine_sql(TOP_N)}, p AS (SELECT top.query_id, count(*) FILTER (e.label = w.label) AS found, count(*) AS shown, coalesce(min(rank) FILTER (e.label = w.label), 0) AS first_rank
 FROM top JOIN embeddings e ON e.vec_id = top.chunk_id JOIN embeddings w ON w.vec_id = top.query_id WHERE top.chunk_id <> top.query_id GROUP BY top.query_id)
 SELECT *, round(found / shown, 4) AS recall FROM p""",
 }

@@ -35,11 +35,11 @@ def reuse_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_embedding_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of one document's second version with a vector for each distinct text."""
+    """Chunks of one document's first version with a vector for each distinct text."""
     c = P.chunks(spark, sf)
     v = P.vectors(spark, sf).withColumnRenamed("chunk_id", "vec_id")
     stored = v.join(c, F.col("vec_id") == F.col("chunk_id")).groupBy("content_hash").agg(F.min("vec_id").alias("vec_id"))
-    found = S.search_scope(c, stored, document_id="src0", version=2, source_kinds=("user_document", "corpus"))
+    found = S.search_scope(c, stored, document_id="src0", version=1, source_kinds=("user_document", "corpus"))
     return found.select("chunk_id", "content_hash", "vec_id")
 
 
@@ -63,7 +63,7 @@ def latest_version(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_upload(spark: SparkSession, sf: str) -> DataFrame:
-    return S.latest_uploads(_documents(spark, sf)).select("document_id", "version", "uploaded_at")
+    return S.latest_uploads(_documents(spark, sf)).select("document_id", "version")
 
 
 def next_version(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +145,7 @@ def in_force_as_of(spark: SparkSession, sf: str) -> DataFrame:
     rules = _rules(spark, sf)
     days = _loans(spark, sf).select("as_of").distinct()
     pairs = days.join(rules, A.in_force(F.col("as_of"), F.col("effective_from"), F.col("effective_to")))
-    return pairs.groupBy("as_of").agg(F.count(F.lit(1)).alias("rules"))
+    return pairs.groupBy(F.col("as_of").cast("string").alias("as_of")).agg(F.count(F.lit(1)).alias("rules"))
 
 
 def coverage_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -176,11 +176,11 @@ SQL = {
     "shared_embedding_stats": f"WITH {P.CHUNKS_SQL}, g AS (SELECT count(*) AS n FROM chunks GROUP BY content_hash) SELECT sum(n)::BIGINT AS chunks, count(*) AS embeddings, count(*) FILTER (n > 1) AS shared_embeddings FROM g",
     "embed_dedup_antijoin": f"WITH {_NEW} SELECT chunk_id, content_hash FROM needed",
     "reuse_ratio": f"WITH {_NEW}, t AS (SELECT (SELECT count(*) FROM second) AS total, (SELECT count(*) FROM needed) AS embedded) SELECT total, embedded, total - embedded AS reused, round((total - embedded) / total, 6) AS reuse_ratio FROM t",
-    "chunk_embedding_join": f"WITH {P.CHUNKS_SQL}, s AS (SELECT content_hash, min(vec_id) AS vec_id FROM embeddings JOIN chunks ON chunk_id = vec_id GROUP BY 1) SELECT chunk_id, content_hash, vec_id FROM chunks JOIN s USING (content_hash) WHERE document_id = 'src0' AND version = 2",
+    "chunk_embedding_join": f"WITH {P.CHUNKS_SQL}, s AS (SELECT content_hash, min(vec_id) AS vec_id FROM embeddings JOIN chunks ON chunk_id = vec_id GROUP BY 1) SELECT chunk_id, content_hash, vec_id FROM chunks JOIN s USING (content_hash) WHERE document_id = 'src0' AND version = 1",
     "any_chunk_for_hash": f"WITH {P.CHUNKS_SQL} SELECT content_hash, coalesce(CAST(min(chunk_id) FILTER (source_kind = 'corpus') AS VARCHAR), '') AS chunk_id FROM chunks GROUP BY 1",
     "version_list": f"WITH {P.CHUNKS_SQL} SELECT DISTINCT document_id, version::BIGINT AS version FROM chunks",
     "latest_version": "SELECT user_id AS document_id, max(event_id) AS version, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
-    "latest_upload": "SELECT user_id AS document_id, event_id AS version, ts AS uploaded_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "latest_upload": "SELECT user_id AS document_id, event_id AS version FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "next_version": "SELECT c_custkey AS document_id, coalesce(max(event_id), 0) + 1 AS next_version FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1",
     "version_diff": f"WITH {_DIFF} SELECT * FROM d",
     "version_diff_counts": f"WITH {_DIFF} SELECT document_id, count(*) FILTER (side = 'added') AS added, count(*) FILTER (side = 'removed') AS removed, count(*) FILTER (side = 'unchanged') AS unchanged FROM d GROUP BY 1",
@@ -191,7 +191,7 @@ SQL = {
 r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY number IS NULL, CASE WHEN number IS NOT NULL THEN q END, CASE WHEN number IS NOT NULL THEN l END, l, h) - 1 AS ordinal FROM c)
 SELECT document_id, number, ordinal, format('{}-v1-c{:04d}', document_id, ordinal) AS clause_id, h AS content_hash FROM r""",
     "applicability_filter": f"WITH {_RULES} SELECT rule_id, loan_type, count(*) AS n FROM loans JOIN rules ON (loan_types IS NULL OR len(loan_types) = 0 OR loan_type IS NULL OR list_contains(loan_types, loan_type)) AND {_INTERVAL} GROUP BY ALL",
-    "in_force_as_of": f"WITH {_RULES}, days AS (SELECT DISTINCT as_of FROM loans) SELECT as_of, count(*) AS rules FROM days JOIN rules ON {_INTERVAL} GROUP BY 1",
+    "in_force_as_of": f"WITH {_RULES}, days AS (SELECT DISTINCT as_of FROM loans) SELECT as_of::VARCHAR AS as_of, count(*) AS rules FROM days JOIN rules ON {_INTERVAL} GROUP BY 1",
     "coverage_gaps": f"""WITH {_RULES}, k AS (SELECT list(w) AS ws FROM (SELECT w FROM (SELECT unnest({P.tokens_sql('text')}) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 5)),
 r AS (SELECT max(effective_from) AS f, min(rule_id) AS title FROM rules), o AS (SELECT min(o_orderdate)::DATE AS loan_date FROM orders)
 SELECT item_id AS query_id, title, title || ' applies from ' || strftime(f, '%-d %B %Y') || '; your loan of ' || strftime(loan_date, '%-d %B %Y') || ' is under the rules before it.' AS message

@@ -1,0 +1,44 @@
+import hashlib
+
+from pyspark.sql import functions as F
+
+from quernstone.functions import text as X
+
+
+def values(spark, texts, make):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(make(F.col("t"))).collect()]
+
+
+def test_content_hash_sees_words_not_layout(spark):
+    a, b, c, d, e = values(spark, ["The “rate”  is 9–10%\nper year", 'The "rate" is 9-10% per year ', "The rate is 9-11% per year", "the rate", "The rate"], X.content_hash)
+    assert a == b and len({a, c, d, e}) == 4
+    assert a == "sha256:" + hashlib.sha256(b'The "rate" is 9-10% per year').hexdigest()
+
+
+def test_normal_form_beyond_ascii(spark):
+    assert values(spark, ["ﬁne ½", "①", None], X.hash_normal) == ["fine 1⁄2", "1", None]
+
+
+def test_clean_extracted(spark):
+    assert values(spark, ["re-\npayment  of\tdues \n\n\n\nnext   \nline "], X.clean_extracted) == ["repayment of dues\n\nnext\nline"]
+
+
+def test_tokens_keep_figures(spark):
+    assert values(spark, ["What is the 1,90,000 charge at 3.5% on A b?"], X.tokens) == [["1,90,000", "charge", "3.5%"]]
+
+
+def test_figures(spark):
+    got = values(spark, ["Clause 11.3 charges 3% on Rs. 1,90,000", "12.50 and 12.5 and 7.00", "no number"], X.figures)
+    assert [sorted(g) for g in got] == [["190000", "3"], ["12.5", "7"], []]
+
+
+def test_stems_meet(spark):
+    got = values(spark, ["prepayments", "prepaid", "charges", "charged"], lambda c: X.stem(F.lower(c)))
+    assert got[0] == got[1] and got[2] == got[3]
+
+
+def test_sentences_keep_abbreviations(spark):
+    said = "You pay Rs. 500 at once. The rest follows.\n- a point. With two parts\n\nEnd."
+    assert values(spark, [said], X.answer_sentences) == [["You pay Rs. 500 at once.", "The rest follows.", "- a point. With two parts", "", "End."]]
+    assert values(spark, ["- One thing. Two\nthings! Three"], X.claim_sentences) == [["One thing.", "Two things!", "Three"]]
