@@ -59,6 +59,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either > 0, both.cast("double") / either).otherwise(F.lit(1.0))
 
 
+def length_part(size: Column, threshold: float) -> Column:
+    """Number of a set's partition by length: sets whose lengths can be within threshold of
+    each other are in the same or in neighbouring partitions."""
+    return F.when(size > 0, F.floor(F.log(size.cast("double")) / F.log(F.lit(1.0 / threshold)))).otherwise(F.lit(-2)).cast("int")
+
+
+def similar(queries: DataFrame, docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """query_id, doc_id, likeness of the pairs at threshold or more; both tables have
+    doc_id and text, and queries is the smaller, stated set.
+
+    Sets are partitioned by length, and within near partitions only pairs that share a
+    signature of their prefixes are compared: two sets at the threshold agree in one of
+    the first n - ceil(threshold n) + 1 of each. Lengths too far apart are pruned before
+    the exact coefficient. A set without signatures is like another such set only.
+    """
+    made = lambda d: d.select("doc_id", spot_set(F.col("text")).alias("_s")).withColumn("_n", F.size("_s"))
+    first = F.col("_n") - F.ceil(F.lit(threshold) * F.col("_n")).cast("int") + 1
+    prefix = F.explode(F.when(F.col("_n") > 0, F.slice("_s", F.lit(1), first)).otherwise(F.array(F.lit(""))))
+    part = length_part(F.col("_n"), threshold)
+    near = F.explode(F.array(part - 1, part, part + 1))
+    left = made(queries).select(F.col("doc_id").alias("query_id"), F.col("_s").alias("_q"), F.col("_n").alias("_m"), near.alias("_p"), "_n", "_s")
+    left = left.select("query_id", "_q", "_m", "_p", prefix.alias("_k"))
+    right = made(docs).select("doc_id", "_s", "_n", part.alias("_p"), prefix.alias("_k"))
+    fits = F.least("_n", "_m") >= F.lit(threshold) * F.greatest("_n", "_m")
+    pairs = left.join(right, ["_p", "_k"]).where(fits).select("query_id", "doc_id", likeness(F.col("_q"), F.col("_s")).alias("likeness"))
+    return pairs.where(F.col("likeness") >= threshold).distinct()
+
+
 def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str = "doc_id") -> DataFrame:
     """docs with the derived columns, and next_<name> of value and each of these: that
     of the next row by ascending key, the last row having the first as its next. Only

@@ -76,3 +76,25 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _jump_sql(shards: int) -> str:
+    """The jump walk as nested selects: a step for each shard there could be."""
+    sql = "SELECT n, CASE WHEN k < 0 THEN k::HUGEINT + 18446744073709551616::HUGEINT ELSE k::HUGEINT END AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM keyed"
+    for _ in range(shards):
+        sql = f"SELECT n, CASE WHEN j >= {shards} THEN k ELSE (k * {_STEP}::HUGEINT + 1) % 18446744073709551616::HUGEINT END AS k, j < {shards} AS goes, b, j FROM ({sql})"
+        sql = f"SELECT n, k, CASE WHEN goes THEN j ELSE b END AS b, CASE WHEN goes THEN floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592::HUGEINT) + 1)::DOUBLE))::BIGINT ELSE j END AS j FROM ({sql})"
+    return f"SELECT n, b::INT AS shard FROM ({sql})"
+
+
+ORACLE_SQL = f"""
+WITH keyed AS (SELECT row_number() OVER () AS n, doc_id, coalesce(doc_id, 0) AS k, coalesce(text, '') AS t FROM documents),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS tab),
+crc AS (SELECT n, 4294967295 - list_reduce(list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda h: ('0x' || h)::BIGINT),
+  lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1]), 4294967295::BIGINT) AS text_crc32 FROM keyed, tab),
+now AS ({_jump_sql(SHARDS)}), grown AS ({_jump_sql(SHARDS + 1)}),
+r AS (SELECT keyed.n, doc_id, (strlen(t) + 1)::BIGINT AS size, text_crc32, now.shard, grown.shard AS grown_shard
+  FROM keyed JOIN crc ON crc.n = keyed.n JOIN now ON now.n = keyed.n JOIN grown ON grown.n = keyed.n)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '')), text_crc32, size) - 1 AS slot, grown_shard FROM r
+"""

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quernstone.llm import fingerprints, licenses, mixing, pieces, quality, sharding, simhash, suffixes, toxicity, urls
+from quernstone.llm import fingerprints, licenses, mixing, pieces, quality, registry, sharding, simhash, suffixes, toxicity, urls
 
 from .conftest import corpus
 
@@ -118,6 +118,17 @@ def test_fingerprints(spark):
         assert abs(r["near_edited"] - like(spots(t), spots(e))) < 1e-9 and abs(r["near_next"] - like(spots(t), spots(n))) < 1e-9
 
 
+def test_similar_is_all_pairs(docs):
+    got = {(r["query_id"], r["doc_id"]): r["likeness"] for r in fingerprints.similar(docs.where("doc_id < 30"), docs.where("doc_id IS NOT NULL"), 0.5).collect()}
+    sets = {}
+    for i, t in ROWS:
+        if i is not None:
+            sets[i] = {*spots(t)}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    want = {(i, j): like(a, b) for i, a in sets.items() if i < 30 for j, b in sets.items() if like(a, b) >= 0.5}
+    assert got == pytest.approx(want)
+
+
 def test_next_over_many_ranges(spark):
     ids = random.Random(4).sample(range(-(10**12), 10**12), 3500)
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")
@@ -409,6 +420,18 @@ def test_components_of_a_long_chain(spark):
 # --- all
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_like_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    rel = c.sql(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    plain = lambda rows, cols: Counter(tuple(round(v, 9) if isinstance(v, float) else v for _, v in sorted(zip(cols, r, strict=True))) for r in rows)
+    assert sorted(df.columns) == sorted(rel.columns) and plain(df.collect(), df.columns) == plain(rel.fetchall(), rel.columns)
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
