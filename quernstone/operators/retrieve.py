@@ -5,6 +5,8 @@ Questions are a table: every operator works for all query ids at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from ..functions import text as X
 K1, B = 1.5, 0.75
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.65, 0.35
 NEAR_DUPLICATE = 0.92
+#: Queries that are sent to all executors at once: 4 MB of 1,024 single floats each.
+QUERY_BLOCK = 1000
 RESERVED = 4
 
 _MONEY = r"(?i)\b(how much|rate|charge|fee|cost|amount|interest|penalty|percent|emi)\b|%"
@@ -30,14 +34,19 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """query_id, chunk_id, dense, rank. queries: (query_id, q); store: (chunk_id, v).
 
-    Vectors of another dimension are skipped. The question set is stated and is sent to
-    the store's partitions only while it is small enough for Spark to broadcast; the
-    window keeps k rows a query in each task before the shuffle.
+    Vectors of another dimension are skipped. The stated queries meet the store in blocks
+    of about QUERY_BLOCK, each small enough to be sent to all executors, so the store is
+    never shuffled; the window keeps k rows a query in each task before the shuffle.
     """
-    pairs = queries.join(store, F.size("q") == F.size("v"))
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("v")), 4).alias("dense"))
-    order = W.partitionBy("query_id").orderBy(F.col("dense").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.agg(F.count(F.lit(1))).first()[0] // QUERY_BLOCK))
+    out = []
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = store.join(F.broadcast(block), F.size("q") == F.size("v"))
+        scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("v")), 4).alias("dense"))
+        order = W.partitionBy("query_id").orderBy(F.col("dense").desc(), "chunk_id")
+        out.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, out)
 
 
 def bm25(questions: DataFrame, candidates: DataFrame) -> DataFrame:
