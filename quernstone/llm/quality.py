@@ -75,15 +75,13 @@ def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "sour
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(SPACE_WORD))
     repeats = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     words = F.regexp_extract_all("_text", F.lit(SPACE_WORD), F.lit(0))
-    rows = rows.select(
-        *keep,
-        let(words, counts).alias("_s"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
-        repeats.cast("bigint").alias("n_dup_lines"),
-    )
-    n, r = F.col("_s.n"), F.col("_s.r")
+    symbols = F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("bigint")
+    made = F.struct(let(words, counts).alias("w"), symbols.alias("n_symbols"), repeats.cast("bigint").alias("n_dup_lines"))
+    # out of a generator, so that filters on the counts don't go below and count again
+    rows = rows.select(*keep, F.explode(F.array(made)).alias("_s"))
+    n, r = F.col("_s.w.n"), F.col("_s.w.r")
     return rows.select(
-        *keep, n.alias("n_words"), F.col("_s.c").alias("word_chars"), "n_symbols", "n_dup_lines", r.alias("n_repeat_words"),
+        *keep, n.alias("n_words"), F.col("_s.w.c").alias("word_chars"), "_s.n_symbols", "_s.n_dup_lines", r.alias("n_repeat_words"),
         ((n < 20) | (r * 100 > n * 30)).alias("base_failed"),
     )
 
@@ -190,3 +188,42 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The whole of query() in SQL: base counts, cells, medians, steps, verdicts."""
+    m = [f"m{i}" for i in range(3)]
+    c = {p: f"c{p[0]}{p[1]}" for p in _PAIRS}
+    a, b, c_, d, e, f = (c[p] for p in _PAIRS)
+    det = f"({a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {c_} * {e}) + {c_} * ({b} * {e} - {c_} * {d}))"
+    i = [f"({d} * {f} - {e} * {e})", f"({c_} * {e} - {b} * {f})", f"({b} * {e} - {c_} * {d})", f"({a} * {f} - {c_} * {c_})", f"({b} * {c_} - {a} * {e})", f"({a} * {d} - {b} * {b})"]
+    x, y, z = (f"(x{k}::DOUBLE - {m[k]})" for k in range(3))
+    dist = f"({x} * {x} * {i[0]} + {y} * {y} * {i[3]} + {z} * {z} * {i[5]} + ({x} * {y} * {i[1]} + {x} * {z} * {i[2]} + {y} * {z} * {i[4]}) * 2) / {det}"
+    ctes = [
+        f"""w AS (SELECT row_number() OVER () AS n, doc_id, coalesce('+' || lang, '-') AS l, coalesce('+' || source, '-') AS s, coalesce(text, '') AS t FROM documents)""",
+        f"""ws AS (SELECT n, regexp_extract_all(t, '{SPACE_WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACE_WORD}')) AS ls FROM w)""",
+        f"""win AS (SELECT n, k, md5(array_to_string(ws[k:k + {WINDOW - 1}], ' ')) AS h FROM (SELECT n, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS k FROM ws))""",
+        """twice AS (SELECT n, k FROM win QUALIFY count(*) OVER (PARTITION BY n, h) > 1)""",
+        f"""rep AS (SELECT n, sum(least({WINDOW}, k - p))::BIGINT AS r FROM (SELECT n, k, coalesce(lag(k) OVER (PARTITION BY n ORDER BY k), k - {WINDOW}) AS p FROM twice) GROUP BY n)""",
+        """base AS (SELECT w.n, doc_id, l, s, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+          len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM w JOIN ws USING (n) LEFT JOIN rep USING (n))""",
+        """vec AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, floor((word_chars + 250)::DOUBLE * 100 / (n_words + 50)::DOUBLE)::BIGINT AS x0,
+          floor(sqrt(n_symbols::DOUBLE / greatest(word_chars, 1)::DOUBLE) * 100)::BIGINT AS x1, floor(sqrt((n_repeat_words + n_dup_lines)::DOUBLE / greatest(n_words, 1)::DOUBLE) * 100)::BIGINT AS x2 FROM base)""",
+        f"""cells AS (SELECT *, sum(w) OVER (PARTITION BY l, s) AS total FROM (SELECT l, s, x0, x1, x2, count(*) AS w FROM vec WHERE NOT base_failed GROUP BY ALL) QUALIFY total >= {LEAST})""",
+    ]
+    for k in range(3):
+        ctes.append(f"""med{k} AS (SELECT l, s, min(x{k})::DOUBLE AS m{k} FROM (SELECT l, s, x{k}, total, sum(sum(w)) OVER (PARTITION BY l, s ORDER BY x{k}) AS upto FROM cells GROUP BY l, s, x{k}, total) WHERE upto * 2 >= total GROUP BY l, s)""")
+    wide = ", ".join(f"{RIDGE[p] * 100 if p == q else 0.0}::DOUBLE AS {c[p, q]}" for p, q in _PAIRS)
+    ctes.append(f"""p0 AS (SELECT l, s, m0, m1, m2, {wide} FROM med0 JOIN med1 USING (l, s) JOIN med2 USING (l, s))""")
+    for k in range(STEPS):
+        sums = ", ".join([f"sum(w * x{j}) AS s{j}" for j in range(3)] + [f"sum(w * x{p} * x{q}) AS q{p}{q}" for p, q in _PAIRS])
+        means = ", ".join(f"s{j}::DOUBLE / n::DOUBLE AS m{j}" for j in range(3))
+        covs = ", ".join(f"(q{p}{q}::DOUBLE / n::DOUBLE - (s{p}::DOUBLE / n::DOUBLE) * (s{q}::DOUBLE / n::DOUBLE)) * {RAISE}::DOUBLE + {RIDGE[p] if p == q else 0.0}::DOUBLE AS {c[p, q]}" for p, q in _PAIRS)
+        ctes.append(f"""d{k} AS (SELECT cells.*, {dist} AS d FROM cells JOIN p{k} USING (l, s))""")
+        ctes.append(f"""r{k} AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY l, s ORDER BY d, x0, x1, x2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM d{k})""")
+        ctes.append(f"""p{k + 1} AS (SELECT l, s, {means}, {covs} FROM (SELECT l, s, sum(w) AS n, {sums} FROM r{k} WHERE before_ < ceil(total * {SUBSET}::DOUBLE) GROUP BY l, s))""")
+    cols = ", ".join(f"{n}::BIGINT AS {n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return f"WITH {', '.join(ctes)} SELECT doc_id, {cols}, base_failed, NOT base_failed AND NOT coalesce({dist} > {CUT}::DOUBLE, false) AS kept FROM vec LEFT JOIN p{STEPS} USING (l, s)"
+
+
+ORACLE_SQL = _sql()
