@@ -106,7 +106,31 @@ _CLAIM = "CASE " + " ".join(f"WHEN regexp_matches(sentence, {_q(p)}) THEN '{n}'"
 _GLOSS = "(" + "list_filter([" + ", ".join(f"CASE WHEN contains(lower(question), '{t}') THEN {_q(s)} END" for t, s in N.GLOSSARY) + "], lambda x: x IS NOT NULL))"
 _ASKED = "asked AS (SELECT o_orderkey AS query_id, 'What is ' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN o_orderkey % {k + 2} = 0 THEN '{t}' END" for k, (t, _) in enumerate(N.GLOSSARY)) + "], lambda x: x IS NOT NULL), ' and ') AS question FROM orders)"
 
+_SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.SYNONYMS.items()) + "}"
+_SHORT = rf"substr(regexp_replace(x, '^(.{{4,}}?)(?:{'|'.join(X.SUFFIXES)})$', '\1'), 1, 5)"
+_TERMS = lambda c: rf"list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(lower({c}), '\bpay(?:ing)? off\b', 'repay', 'g'), '\block[- ]in\b', 'lockin', 'g'), '{X.RETRIEVAL_TOKEN}'), lambda x: length(x) > 2 AND NOT list_contains({P.STOP_SQL}, x)), lambda x: coalesce({_SYN}[{_SHORT}], {_SHORT})))"
+_FIGURES = lambda c: rf"list_distinct(list_transform(regexp_extract_all(regexp_replace({c}, '(?i)(?:clause|section|schedule|annexure|part|para|paragraph|page|article|version)s?\.?\s{{0,3}}[0-9][0-9.]*', ' ', 'g'), '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda v: regexp_replace(replace(v, ',', ''), '\.0+$|(\.[0-9]*?[1-9])0+$', '\1')))"
+_VERIFIED = rf"""a AS (SELECT conv_id * 1000 + turn AS answer_id, regexp_replace(text, '([.!?])(\s+[A-Z]|$)', ' [1][2]\1\2', 'g') AS x FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+l AS (SELECT answer_id, flatten(list_transform(string_split(x, chr(10)), lambda s: CASE WHEN regexp_matches(s, '^\s*[-*•]\s') THEN [s]
+  ELSE string_split(regexp_replace(regexp_replace(s, {_q(X._ABBREVIATION)}, '\1' || chr(57344), 'g'), '([.!?])\s+([A-Z\[("''])', '\1' || chr(1) || '\2', 'g'), chr(1)) END)) AS ss FROM a),
+s0 AS (SELECT answer_id, unnest(range(0, len(ss))) AS seq, trim(replace(unnest(ss), chr(57344), '.')) AS sentence FROM l),
+s1 AS (SELECT *, regexp_replace(sentence, '\[[0-9]+\]', ' ', 'g') AS body FROM s0 WHERE length(sentence) > 0),
+s AS (SELECT answer_id, seq, sentence, {_TERMS('body')} AS t, {_FIGURES('body')} AS f, list_distinct(list_transform(regexp_extract_all(sentence, '\[([0-9]+)\]', 1), lambda y: y::INT)) AS m FROM s1),
+pc AS (SELECT conv_id, turn, role, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2 FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+p0 AS (SELECT conv_id * 1000 + turn AS answer_id, unnest([1, 2]) AS n, unnest([p1, p2]) AS text FROM pc WHERE role = 'assistant'),
+p AS (SELECT answer_id, n, {_TERMS('text')} AS pt, {_FIGURES('text')} AS pf FROM p0 WHERE text IS NOT NULL),
+c0 AS (SELECT answer_id, seq, t, f, unnest(m) AS n FROM s),
+c1 AS (SELECT answer_id, seq, f, pf, len(list_intersect(t, pt)) AS common, CASE WHEN len(t) > 0 THEN len(list_intersect(t, pt))::DOUBLE / len(t) ELSE 0 END AS share FROM c0 JOIN p USING (answer_id, n)),
+c2 AS (SELECT *, CASE WHEN len(f) > 0 AND len(list_filter(f, lambda y: NOT list_contains(pf, y))) = 0 AND common >= {N.OVERLAP} THEN greatest(share, {N.SUPPORT + N.BOOST}::DOUBLE) ELSE share END AS support FROM c1),
+per AS (SELECT answer_id, seq, max(support) AS support, bool_or(support >= {N.SUPPORT}) AS good, coalesce(flatten(list(pf) FILTER (support >= {N.SUPPORT})), []) AS said FROM c2 GROUP BY ALL),
+v0 AS (SELECT s.*, coalesce(support, 0) AS sup, coalesce(good, false) AS good, list_sort(list_filter(f, lambda y: NOT list_contains(coalesce(said, []), y))) AS wild, regexp_matches(sentence, {_q(N._NO_CLAIM)}) OR len(t) < 3 AS free
+  FROM s LEFT JOIN per USING (answer_id, seq)),
+v AS (SELECT *, CASE WHEN free THEN '' WHEN len(m) = 0 THEN 'no citation' WHEN good AND len(wild) > 0 THEN 'figures not in the source: ' || array_to_string(wild, ', ')
+  WHEN NOT good AND sup > 0 THEN 'the source does not support it' WHEN NOT good THEN 'the citation points at nothing' ELSE '' END AS reason FROM v0)"""
+
 SQL = {
+    "verify_sentences": f"WITH {_VERIFIED} SELECT answer_id, seq, reason = '' AS kept, reason, round(CASE WHEN free THEN 1 ELSE sup END, 4)::DOUBLE AS support FROM v",
+    "verified_answers": f"WITH {_VERIFIED} SELECT answer_id, count(*) FILTER (reason <> '') AS stripped, count(*) FILTER (reason <> '') = 0 AS fully_grounded FROM v GROUP BY 1",
     "hashing_embedding_norms": f"""WITH t AS (SELECT doc_id AS chunk_id, sha256(unnest({_ETOK})) AS h FROM documents),
 b AS (SELECT chunk_id, ('0x' || substr(h, 1, 8))::BIGINT % {E.DIMENSION} AS bucket, sum(CASE WHEN ('0x' || substr(h, 10, 1))::INT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY ALL),
 n AS (SELECT chunk_id, sign(v) * ln(1 + abs(v)) AS x FROM b WHERE v <> 0) SELECT chunk_id, count(*) AS buckets, round(sqrt(sum(x * x)), 4) AS norm FROM n GROUP BY 1""",
@@ -115,6 +139,7 @@ n AS (SELECT chunk_id, sign(v) * ln(1 + abs(v)) AS x FROM b WHERE v <> 0) SELECT
 s AS (SELECT answer_id, list_filter(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda p: length(p) > 0) AS ps FROM a),
 e AS (SELECT answer_id, unnest(range(0, len(ps))) AS seq, unnest(ps) AS sentence FROM s) SELECT answer_id, seq, sentence, {_CLAIM} AS label FROM e""",
     "glossary_top3": f"WITH {_ASKED}, g AS (SELECT query_id, {_GLOSS} AS g FROM asked) SELECT query_id, CASE WHEN len(g) > 0 THEN array_to_string(g[1:3], ' ') ELSE {_q(N.NO_TERM)} END AS explanation FROM g",
+    "fallback_answers": f"WITH {_ASKED}, g AS (SELECT query_id, {_GLOSS} AS g FROM asked) SELECT query_id, {_q(N.NOTICE)} AS notice, CASE WHEN len(g) > 0 THEN array_to_string(g[1:3], ' ') ELSE {_q(N.NO_TERM)} END AS explanation, {_q(N.ADVISOR)} AS advisor FROM g",
     "extracted_answers": rf"""{_BM}, {_BEST}, r AS (SELECT best.*, max(score) OVER (PARTITION BY query_id) AS top, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS place,
   CASE WHEN chunk_id % 4 = 0 THEN source ELSE 'Your agreement' END || ', page ' || rank AS label FROM best JOIN documents ON doc_id = chunk_id),
 k AS (SELECT query_id, string_agg('- ' || label || ': ' || sentence || ' [' || rank || ']', chr(10) ORDER BY place) FILTER (top > 0 AND score >= top * {N.KEEP_SHARE} AND place <= {N.BEST}) AS a FROM r GROUP BY 1)

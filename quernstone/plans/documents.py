@@ -176,7 +176,23 @@ done AS (SELECT chunk_id, CASE WHEN cur = '' THEN parts ELSE list_append(parts,
   UNION ALL SELECT doc_id, [text] FROM documents WHERE length(text) <= {C.MOST})"""
 _NUM = "l_quantity::INT % 12 + 1"
 
+_PLACES = lambda w: f"list_transform(range(1, len(string_split(t, {_q(w)}))), lambda i: (list_sum(list_transform(string_split(t, {_q(w)})[1:i], lambda p: length(p))) + (i - 1) * {len(w)} + 1)::BIGINT)"
+_UNQUOTED = lambda w: f"list_filter({_PLACES(w)}, lambda p: NOT regexp_matches(substr(t, greatest(p - {D.CUE_ZONE}, 1), p - greatest(p - {D.CUE_ZONE}, 1)), {_q(D._QUOTED_CUE)}))"
+
 SQL = {
+    "clause_blocks": rf"""WITH {_LINES}, f AS (SELECT *, regexp_extract(text, {_q(G._DECIMAL)}, 1) AS dec, regexp_extract(text, {_q(G._STRUCTURAL)}, 1) AS word,
+  len(regexp_extract_all(t, '\p{{L}}')) AS letters, len(regexp_extract_all(t, '\p{{Lu}}')) AS caps FROM paged),
+s AS (SELECT *, length(t) > 0 AND (dec <> '' OR (word <> '' AND (upper(text) = text OR length(t) <= 90))
+  OR (length(t) BETWEEN 3 AND 90 AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\s+')) <= 12 AND letters >= 3 AND caps >= letters * 0.85)) AS starts FROM f),
+b AS (SELECT *, sum(starts::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS block FROM s),
+g AS (SELECT document_id, block::BIGINT AS block, min(page) AS page_start, max(page) AS page_end, regexp_replace(string_agg(text, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g') AS x FROM b GROUP BY ALL)
+SELECT document_id, block, page_start, page_end, md5(x) AS text_md5 FROM g WHERE length(x) > 0""",
+    "loan_type_dominance": f"""WITH {_MARKED}, low AS (SELECT doc_id, lower(text) AS t FROM marked), """
+    + "m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS loan_type, {_UNQUOTED(w)} AS places FROM low" for k, ws in D.LOANS.items() for w in ws) + "), "
+    + f"""c AS (SELECT doc_id, loan_type, sum(len(places)) AS n, sum(len(list_filter(places, lambda p: p <= {D.ZONE}))) AS z FROM m GROUP BY ALL HAVING sum(len(places)) > 0),
+r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS nxt, count(*) OVER p AS many, count(*) FILTER (z > 0) OVER p AS zones, min(loan_type) FILTER (z > 0) OVER p AS zone
+  FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n DESC, loan_type), p AS (PARTITION BY doc_id)),
+o AS (SELECT doc_id, CASE WHEN zones = 1 THEN zone WHEN many = 1 OR n >= nxt * {D.DOMINANCE} THEN loan_type END AS loan_type FROM r WHERE r = 1) SELECT * FROM o WHERE loan_type IS NOT NULL""",
     "running_header_strip": f"""WITH {_LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no) AS a, row_number() OVER (PARTITION BY document_id, page ORDER BY line_no DESC) AS b FROM paged WHERE length(t) > 0),
 pg AS (SELECT document_id, count(DISTINCT page) AS pages FROM paged GROUP BY 1),
 seen AS (SELECT document_id, t, count(DISTINCT page) AS seen_on, bool_and(a <= {G.EDGE} OR b <= {G.EDGE}) AS always FROM f GROUP BY ALL),
