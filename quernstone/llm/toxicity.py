@@ -100,16 +100,28 @@ def _lexicon(sample: DataFrame) -> list[str]:
     """Features of the toxic texts among (text, toxic), the surest first."""
 
     def run(batches):
+        seen: dict[str, list[int]] = {}  # feature -> toxic texts, texts
+
+        def flush():
+            cols = zip(*seen.values(), strict=True) if seen else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["f", "a", "n"])
+
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = sorted(features(set(_WORDS((text or "").lower()))))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int32())], names=["f", "toxic"])
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for f in features(set(_WORDS((text.as_py() or "").lower()))):
+                    own = seen.setdefault(f, [0, 0])
+                    own[0] += toxic
+                    own[1] += 1
+                if len(seen) > 50_000:
+                    yield flush()
+                    seen.clear()
+        yield flush()
 
     totals = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not totals[0] or not totals[1] or totals[0] == totals[1]:
         return []
     rate = totals[1] / totals[0]
-    counts = sample.select("text", "toxic").mapInArrow(run, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
+    counts = sample.select("text", "toxic").mapInArrow(run, "f string, a bigint, n bigint").groupBy("f").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     expected = F.col("n") * rate
     sure = ((F.col("a") - expected) / F.sqrt(expected + 0.5)).alias("z")
     best = counts.select("f", sure).where(F.col("z") > SURE).orderBy(F.col("z").desc(), "f").limit(LEXICON)
