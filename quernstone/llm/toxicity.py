@@ -202,7 +202,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     patterns = voted.join(train, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("given")).agg(F.count(F.lit(1)).alias("n")).collect()
     table_ = np.array([(r["votes"], r["n"], r["given"]) for r in patterns], np.int64).reshape(-1, 3)
     odds, prior = label_model(*table_.T)
-    taught = voted.join(F.broadcast(ids), "doc_id").select("votes", "found", "toxic").orderBy("votes", "toxic", "found").collect()
+    taught = voted.join(F.broadcast(ids), "doc_id").select("votes", "found", "toxic").collect()
+    taught.sort(key=lambda r: (r["votes"], r["toxic"], r["found"]))  # whatever order they came in
     size = len(words) + VOTERS
     if taught and 0 < sum(r["toxic"] for r in taught) < len(taught):
         votes = (np.array([r["votes"] for r in taught])[:, None] >> np.arange(VOTERS)) & 1
