@@ -24,11 +24,20 @@ _MONEY = r"(?i)\b(how much|rate|charge|fee|cost|amount|interest|penalty|percent|
 _REGULATORY = r"(?i)\b(rbi|regulation|regulator|circular|guideline|direction|law|legal|allowed|permitted)\b"
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def unit(v: Column) -> Column:
+    """A vector scaled to length one, in doubles; a zero vector stays."""
+    d = v.cast("array<double>")
+    size = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(F.array(size), lambda n: F.transform(d, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))).getItem(0)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two float vectors; 0 if either is zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
+    return dot(unit(a), unit(b))
 
 
 def dense_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
@@ -38,12 +47,14 @@ def dense_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     of about QUERY_BLOCK, each small enough to be sent to all executors, so the store is
     never shuffled; the window keeps k rows a query in each task before the shuffle.
     """
+    # lengths are taken once a vector; a pair costs one product
+    queries, store = queries.withColumn("q", unit(F.col("q"))), store.withColumn("v", unit(F.col("v")))
     blocks = max(1, -(-queries.agg(F.count(F.lit(1))).first()[0] // QUERY_BLOCK))
     out = []
     for b in range(blocks):
         block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         pairs = store.join(F.broadcast(block), F.size("q") == F.size("v"))
-        scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("v")), 4).alias("dense"))
+        scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("q"), F.col("v")), 4).alias("dense"))
         order = W.partitionBy("query_id").orderBy(F.col("dense").desc(), "chunk_id")
         out.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     return reduce(DataFrame.unionByName, out)
