@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# fixed values: least support, its margin for matching figures, least common terms;
+# passages in an answer, share of the best score, characters of a sentence
 SUPPORT, BOOST, OVERLAP = 0.28, 0.05, 2
 BEST, KEEP_SHARE, CUT = 4, 0.5, 400
 NOT_FOUND = "The passages do not answer this question."

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# fixed values: most characters of a chunk, overlap of parts, least characters
 MOST, OVERLAP, LEAST = 1800, 200, 25
 NAV = ("home", "about us", "contact", "sitemap", "login", "search", "privacy policy", "terms of use", "help", "feedback", "subscribe", "read more", "next", "previous")
 _FURNITURE = r"(?i)^\W*(?:home|menu|search|skip to (?:main )?content|back to top|print this page|share|last updated.*|copyright.*|all rights reserved.*|page [0-9]+(?: of [0-9]+)?)\W*$"

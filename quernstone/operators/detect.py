@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# fixed values: dominance ratio, title zones, reach of a citation cue
 DOMINANCE = 3
 ZONE, KIND_ZONE, CUE_ZONE = 700, 3000, 90
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# fixed values: BM25, fusion weights, near-duplicate threshold, reserved places
 K1, B = 1.5, 0.75
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.65, 0.35
 NEAR_DUPLICATE = 0.92

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DOC = ("document_id", "version")
+# fixed values: lines at a page's edge, most characters of a running header, paragraph size
 EDGE, CHROME_LENGTH = 2, 120
 PARAGRAPH = 900
 
