@@ -18,6 +18,11 @@ gets a cell that grows with the corpus. Within a part, the links are reduced to
 forest before they leave the task. Components come from alternating large-star and
 small-star rounds over these edges.
 
+With ``verify`` (which the pipeline does not set, see the README) fingerprints only propose:
+within each component, distinct texts are compared by exact Jaccard of their five-word
+shingles, and components are taken again from the pairs at ``ALIKE`` or more. Most pairs of
+a group of near copies need no comparison: the shingles' Jaccard distance is a metric.
+
 Defined cases: null text counts as empty and has fingerprint zero, as has text without
 words; a null id gets a component like any other and stands before all ids as smallest;
 repeated rows are copies; an empty table gives no rows; extra columns are not read.
@@ -44,6 +49,11 @@ DISTANCE = 3
 GROUPS = 7
 #: Distinct fingerprints up to which a cell is compared in one go.
 CELL = 4096
+#: Words of a shingle and least Jaccard similarity (4 / 5) at which near copies are verified.
+VERIFY = 5
+ALIKE = (4, 5)
+#: Shingles up to which a component is verified in one go; larger ones by pairs of blocks.
+BLOCK = 1_000_000
 
 
 def _majority(hashes: list[int]) -> int:
@@ -54,6 +64,19 @@ def _majority(hashes: list[int]) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _shingles(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
+    """Hashes of the shingles; fewer words than one takes are one shingle."""
+    if len(words) <= shingle:
+        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else []
+    line, at, starts = b" ".join(words), 0, []
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    ends = [s - 1 for s in starts[shingle:]] + [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)]
+
+
 def word_fingerprint(text: str | None, seed: int = SEED) -> int:
     """64-bit SimHash of the set of a text's words."""
     digest = xxhash.xxh64_intdigest
@@ -63,30 +86,18 @@ def word_fingerprint(text: str | None, seed: int = SEED) -> int:
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of one text's word shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        line, at, starts = b" ".join(words), 0, []
-        for w in words:
-            starts.append(at)
-            at += len(w) + 1
-        ends = [s - 1 for s in starts[shingle:]] + [len(line)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)]
-    return _majority(hashes)
-
-
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, word_seeds: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    hashes = _shingles((text or "").encode().lower().split(), shingle, seed)
+    return _majority(hashes) if hashes else 0
+
+
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, word_seeds: tuple[int, ...] = (), keep: tuple[str, ...] = ("doc_id",), with_key: bool = False) -> DataFrame:
     """The columns of keep and fps, an array of bigints (64 bits as they are): that of the
-    shingles, or one for each of word_seeds, of the words."""
+    shingles, or one for each of word_seeds, of the words; with_key, key (of _key) too."""
     bounded_batches(docs.sparkSession)
     each = (lambda t: [word_fingerprint(t, s) for s in word_seeds]) if word_seeds else (lambda t: [text_fingerprint(t, shingle)])
     width = len(word_seeds) or 1
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("fps", T.ArrayType(T.LongType()))])
+    schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("fps", T.ArrayType(T.LongType()))] + [T.StructField("key", T.BinaryType())] * with_key)
 
     def run(batches):
         for b in batches:
@@ -94,7 +105,8 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, wo
             fps = np.array([each(t.as_py()) for t in b.column(at)], "<u8").reshape(-1).view("<i8")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, width, dtype=np.int32)), pa.array(fps))
             rest = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), lists], names=[*(b.schema.names[i] for i in rest), "fps"])
+            keys = [pa.array([_key((t.as_py() or "").encode().lower().split()) for t in b.column(at)], pa.binary())] if with_key else []
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), lists, *keys], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -227,13 +239,126 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = ()) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    """id (null as the smallest of all), key (a digest of the text's words in their order)
+    and shingles, sorted hashes of the distinct ones; no row for texts without words."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            ids, keys, sets = [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = (t or "").encode().lower().split()
+                if words:
+                    ids.append(i)
+                    keys.append(_key(words))
+                    sets.append(np.unique(np.array(_shingles(words, VERIFY), "<u8")).view("<i8"))
+            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.array([], np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), lists], names=["id", "key", "shingles"])
+
+    return docs.select("id", F.col("text").cast("string")).mapInArrow(run, "id bigint, key binary, shingles array<bigint>")
+
+
+def _key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def alike(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set (of one hash or more) the first one of its component; two sets link if
+    their Jaccard similarity is ALIKE or more.
+
+    A set that is not alike to an earlier leader becomes one and is compared with all. What
+    is alike to a set near a leader is at twice that distance from the leader at most
+    (Jaccard distance is a metric), so only sets in between are compared with all besides."""
+    p, q = ALIKE
+    size = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, label = np.zeros(len(names), bool), np.arange(len(sets))
+
+    def compare(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = at[starts[k] : starts[k] + size[k]]
+        mark[own] = True
+        both = np.add.reduceat(mark[at], starts, dtype=np.int64)
+        mark[own] = False
+        return both, size + size[k] - both
+
+    def link(k: int, both: np.ndarray, union: np.ndarray) -> np.ndarray:
+        near = both * q >= union * p
+        found = np.unique(label[near])
+        label[np.isin(label, found)] = found[0]
+        return near
+
+    free, between = np.ones(len(sets), bool), []
+    while free.any():
+        k = int(np.argmax(free))
+        both, union = compare(k)
+        near = link(k, both, union)
+        free &= ~near
+        between += [(k, x) for x in np.flatnonzero((both * q >= union * (2 * p - q)) & ~near)]
+    done = set()
+    for k, x in between:
+        if x not in done and label[x] != label[k]:
+            link(x, *compare(x))
+            done.add(x)
+    return label
+
+
+def _verify():
+    """mapInArrow function: rows (_group, id, shingles) sorted by group -> edges (u, v)."""
+
+    def out(ids: list[int], sets: list[np.ndarray]):
+        label = alike(sets)
+        ids = np.array(ids, np.int64)
+        far = ids != ids[label]
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label][far])], names=["u", "v"])
+
+    def run(batches):
+        group, ids, sets = None, [], []
+        for b in batches:
+            at, values = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+            for k, (g, i) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if g != group and ids:
+                    yield out(ids, sets)
+                    ids, sets = [], []
+                group = g
+                ids.append(i)
+                sets.append(values[at[k] : at[k + 1]].copy())
+        if ids:
+            yield out(ids, sets)
+
+    return run
+
+
+def verified(docs: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the distinct texts (key, id, fps) of each component (fps,
+    root) as all their pairs at ALIKE do."""
+    lowest = F.lit(-(1 << 63)).cast("bigint")
+    members = keys.join(roots, "fps").select("id", "key", "_root")
+    several = materialize(members.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_root"), "simhash-several")
+    members = materialize(members.join(several, "_root"), "simhash-members")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    sets = _keyed(own).groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets.join(members, ["id", "key"]), "simhash-sets")
+    blocks = sets.groupBy("_root").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("_b"))
+    # a component of several blocks is compared by pairs of them, so each pair of texts meets
+    one, b = F.pmod(F.xxhash64("key"), F.col("_b")).cast("int"), F.col("_b")
+    mates = F.when(b == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), b - 1), lambda x: x != F.col("_one")))
+    dealt = sets.join(materialize(blocks, "simhash-blocks"), "_root").withColumn("_one", one).withColumn("_two", F.explode(mates))
+    group = F.xxhash64("_root", F.least("_one", "_two"), F.greatest("_one", "_two")).alias("_group")
+    dealt = dealt.select(group, "id", "shingles").repartition("_group").sortWithinPartitions("_group")
+    return dealt.mapInArrow(_verify(), "u bigint, v bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = (), verify: bool = False) -> DataFrame:
     """doc_id, fps, component_id. Documents link if a fingerprint of theirs, of one seed,
-    differs in `distance` bits or fewer."""
-    rows = materialize(fingerprints(docs, shingle=shingle, word_seeds=word_seeds), "simhash")
+    differs in `distance` bits or fewer; with verify, if their shingles are alike too."""
+    rows = materialize(fingerprints(docs, shingle=shingle, word_seeds=word_seeds, with_key=verify), "simhash")
     # a null id is held as the smallest of all
     lowest = F.lit(-(1 << 63)).cast("bigint")
-    vectors = materialize(rows.groupBy("fps").agg(F.min(F.coalesce(F.col("doc_id"), lowest)).alias("id")), "simhash-vectors")
+    least = F.min(F.coalesce(F.col("doc_id"), lowest)).alias("id")
+    vectors = materialize(rows.groupBy("fps").agg(least), "simhash-vectors")
     each = vectors.select("id", F.posexplode("fps").alias("seed", "fp"))
     nodes = materialize(each.groupBy("seed", "fp").agg(F.min("id").alias("id")), "simhash-nodes")
     edges = links(nodes, distance, groups)
@@ -242,8 +367,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
         edges = edges.unionByName(shared.select(F.col("id").alias("u"), "v"))
     roots = components(edges)
     named = vectors.join(roots, "id", "left").select("fps", F.coalesce("root", "id").alias("_root"))
+    by = "fps"
+    if verify:
+        keys = materialize(rows.groupBy("key", "fps").agg(least), "simhash-keys")
+        roots = components(verified(docs, keys, named))
+        by, named = "key", keys.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("_root"))
     root = F.when(F.col("_root") != lowest, F.col("_root"))
-    return rows.join(named, "fps").select("doc_id", "fps", root.alias("component_id"))
+    return rows.join(named, by).select("doc_id", "fps", root.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:

@@ -1,10 +1,13 @@
 """The pipeline's stages on their own input, and the whole of it."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
+from quernstone.llm import simhash
 
-from .conftest import DOCS, corpus
+from .conftest import DOCS, corpus, words
 
 
 def test_stages(spark, docs):
@@ -27,3 +30,45 @@ def test_run(spark, tmp_path):
     assert P.run(spark, str(tmp_path)).count() > 0
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert P.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_near_duplicates_are_verified(spark):
+    """Equal word sets without a common shingle both stay; a chain of near copies goes."""
+    rng = random.Random(3)
+    text = words(rng, 120).split()
+    chain = [text[:]]
+    for k in range(4):  # each is alike to the one before, the last not to the first
+        chain.append(chain[-1][:])
+        chain[-1][10 + 25 * k] = "changed"
+        chain[-1][20 + 25 * k] = "anew"
+    mixed = sorted(text)
+    rows = [(k, " ".join(t), "en", "src0", None) for k, t in enumerate([*chain, mixed, mixed[::-1]])] + [(9, " ".join(text).upper(), "en", "src0", None)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, DOCS), word_seeds=P.NEAR_SEEDS, groups=6, verify=True).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 5, 6]
+
+
+def test_alike():
+    rng = random.Random(4)
+    for _ in range(150):
+        seeds = [rng.sample(range(60), 20) for _ in range(3)]
+        sets = [np.array(sorted({*rng.choice(seeds)[: rng.randint(8, 20)], *rng.sample(range(60), rng.randint(0, 3))})) for _ in range(rng.randint(1, 30))]
+        want = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 5 * len({*a} & {*b}) >= 4 * len({*a} | {*b}):
+                    low, high = sorted((want[i], want[j]))
+                    want = [low if w == high else w for w in want]
+        assert list(simhash.alike(sets)) == want
+
+
+def test_blocks(spark, monkeypatch):
+    """A component of several blocks is verified as in one go."""
+    rng = random.Random(6)
+    text, rows = words(rng, 100).split(), []
+    for k in range(30):
+        t = text[:]
+        t[k * 3] = "changed"
+        rows.append((k, " ".join(t), "en", "src0", None))
+    monkeypatch.setattr(simhash, "BLOCK", 500)
+    out = simhash.one_of_each(spark.createDataFrame(rows, DOCS), word_seeds=P.NEAR_SEEDS, groups=6, verify=True).collect()
+    assert [r["doc_id"] for r in out] == [0]
