@@ -5,7 +5,8 @@ phrases are found exactly at word boundaries. Notices are found with edits: a no
 characters may have k = m // ``PER_EDIT`` of them, so when it is split into k + 1 parts,
 one part at least stands in the text unchanged (pigeonhole). One pass of an automaton over
 all parts finds these seeds; around each, the regex library matches the whole notice with a
-bounded number of insertions, deletions and substitutions, and gives the span and the edits.
+bounded number of insertions, deletions and substitutions, and gives the span and the edits;
+what stands before and after a match is searched again.
 Matches that overlap a better one (fewer edits for its length) are dropped.
 
 Defined cases: null and empty texts have no words and no labels, score 0; a text that says
@@ -82,27 +83,37 @@ class Scanner:
                 k = line.find(phrase, k + 1)
         return out
 
-    def fuzzy(self, line: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, label, edits, similarity) of the best matches without overlap."""
-        windows: dict[int, list[list[int]]] = {}
+    def matches(self, line: str) -> list[tuple[int, int, str, int, float]]:
+        """(start, end, label, edits, similarity) of each notice's matches: the best of each
+        window, and again of what stands before and after it."""
+        windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, where) in self.seeds.iter(line):
             for n, offset in where:
                 text, _, edits, _ = self.notices[n]
                 start = last - size + 1 - offset
-                a, b = max(0, start - edits), start + len(text) + edits
-                own = windows.setdefault(n, [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], b)
-                else:
-                    own.append([a, b])
+                windows.setdefault(n, []).append((max(0, start - edits), min(len(line), start + len(text) + edits)))
         found = []
         for n, spans in windows.items():
-            text, label, _, pattern = self.notices[n]
-            for a, b in spans:
-                while (m := pattern.search(line, a, b)) is not None:
+            text, label, most, pattern = self.notices[n]
+            open_: list[list[int]] = []
+            for a, b in sorted(spans):
+                if open_ and a <= open_[-1][1]:
+                    open_[-1][1] = max(open_[-1][1], b)
+                else:
+                    open_.append([a, b])
+            while open_:
+                a, b = open_.pop()
+                if b - a < len(text) - most:  # no match is shorter
+                    continue
+                if (m := pattern.search(line, a, b)) is not None:
                     edits = sum(m.fuzzy_counts)
                     found.append((m.start(), m.end(), label, edits, 1 - edits / len(text)))
-                    a = max(m.end(), m.start() + 1)
+                    open_ += [[a, m.start()], [m.end(), b]]
+        return found
+
+    def fuzzy(self, line: str) -> list[tuple[int, int, str, int, float]]:
+        """(start, end, label, edits, similarity) of the best matches without overlap."""
+        found = self.matches(line)
         kept: list[tuple[int, int, str, int, float]] = []
         for f in sorted(found, key=lambda f: (-f[4], f[0] - f[1], f[0], f[2])):
             if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):

@@ -90,6 +90,34 @@ def test_seeds_find_every_bounded_edit():
             assert label in scanner.scan("some words before " + "".join(t) + " and after")[5].split(",")
 
 
+def test_repeated_and_dual_notices():
+    """Worse matches before a better one count; each place within the bound meets a match."""
+    scanner = licenses.Scanner()
+    spans = lambda t: [(s["label"], s["edits"]) for s in scanner.scan(t)[7]]
+    assert spans("licenced under cc by 4 0 and licensed under cc by 4 0") == [("cc-by", 1), ("cc-by", 0)]
+    dual = "licenced undr the gnu general public license version 3 or licensed under the gnu general public license version 2"
+    assert spans(dual) == [("gpl-3", 2), ("gpl-2", 0)]
+    rng = random.Random(8)
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            t = list(rng.choice(scanner.notices[:16])[0])
+            for k in rng.sample(range(len(t)), rng.randint(0, len(t) // 10)):
+                t[k] = rng.choice(["", "q", t[k] + "x"])
+            parts.append("".join(t))
+        line = f" {rng.choice([' or ', ' ', ' and also ']).join(parts)} "
+        found = scanner.matches(line)
+        for text, label, most, _ in scanner.notices:
+            row = [(i, 0) for i in range(len(text) + 1)]  # least edits and latest start, by characters of the notice
+            for end, c in enumerate(line, 1):
+                new = [(0, -end)]
+                for i, x in enumerate(text, 1):
+                    new.append(min((row[i - 1][0] + (x != c), row[i - 1][1]), (row[i][0] + 1, row[i][1]), (new[i - 1][0] + 1, new[i - 1][1])))
+                row = new
+                if row[-1][0] <= most:
+                    assert any(f[2] == label and f[0] < end and f[1] > -row[-1][1] for f in found), (line, text)
+
+
 # --- 3
 
 
