@@ -45,9 +45,11 @@ def page_clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paragraph_clauses(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraph fallback over the conversations' turns as lines."""
+    """Paragraph fallback over the conversations' turns as lines, a blank line after each."""
     c = P.table(spark, sf, "conversations").where("text IS NOT NULL")
-    rows = c.select(F.col("conv_id").alias("document_id"), F.lit(1).alias("version"), F.col("turn").cast("int").alias("line_no"), F.lit(1).alias("page"), F.when(F.col("turn") % 2 == 0, "").otherwise(F.col("text")).alias("text"), F.lit(False).alias("is_ocr"))
+    line = F.col("turn").cast("int") * 2
+    two = F.explode(F.array(F.struct(line.alias("line_no"), F.col("text").alias("text")), F.struct((line + 1).alias("line_no"), F.lit("").alias("text")))).alias("x")
+    rows = c.select("conv_id", two).select(F.col("conv_id").alias("document_id"), F.lit(1).alias("version"), "x.line_no", F.lit(1).alias("page"), "x.text", F.lit(False).alias("is_ocr"))
     out = G.paragraphs(rows)
     return out.groupBy("document_id").agg(F.count(F.lit(1)).alias("clauses"), F.sum(F.length("text")).alias("chars"))
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import chunk as C
 from quernstone.operators import segment as G
+from quernstone.plans import documents
 
 LINES = "document_id string, version int, line_no int, page int, text string, is_ocr boolean, is_heading boolean"
 
@@ -113,3 +114,20 @@ def test_chunks(spark):
 def test_pinned_summary_skips_what_is_unknown(spark):
     df = spark.createDataFrame([("d", 2, "Loan", None)], "document_id string, version int, title string, loan_type string")
     assert C.pinned_summary(df).first()["summary"] == "Title: Loan\nVersion: 2"
+
+
+def test_paragraph_clauses_have_all_turns(spark):
+    sf, want, turns = "/root/testdata/sf0.001", {}, {}
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").where("text IS NOT NULL").collect():
+        turns.setdefault(r["conv_id"], []).append((r["turn"], r["text"]))
+    for conv, lines_ in turns.items():
+        done, cur = [], None
+        for _, t in sorted(lines_):
+            if t.strip(" "):
+                cur = t if cur is None else f"{cur}\n{t}"
+            if cur is not None and len(cur) >= G.PARAGRAPH:
+                done, cur = [*done, cur], None
+        done += [cur] if cur is not None else []
+        if done:
+            want[conv] = (len(done), sum(len(x.strip(" ")) for x in done))
+    assert {r["document_id"]: (r["clauses"], r["chars"]) for r in documents.paragraph_clauses(spark, sf).collect()} == want
