@@ -19,8 +19,9 @@ NEAR_SEEDS = (42, 43, 44, 45, 46)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the outlier estimates reject go."""
-    return quality.kept_documents(docs)
+    """Documents that the base rules or the outlier estimates reject go; small groups take
+    pooled estimates."""
+    return quality.kept_documents(docs, pooled=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

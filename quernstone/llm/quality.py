@@ -11,8 +11,10 @@ whole numbers, so results don't depend on the order of rows.
 
 Defined cases: null text has no words and fails the base rules, as does empty text; null
 language or source form groups of their own; a group of fewer than ``LEAST`` texts
-estimates nothing and rejects nothing; repeated rows count each; an empty table gives no
-rows; extra columns are not read.
+estimates nothing and, in the query and its SQL, rejects nothing; with ``pooled``, as in the
+pipeline, it takes the estimate of its language over all sources, or else of all texts
+(fewer than ``LEAST`` texts in all still reject nothing); repeated rows count each; an empty
+table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -158,11 +160,28 @@ def _vectors(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return statistics(own, ("doc_id", *_GROUP, *keep)).withColumns(dict(zip(_X, _vector(), strict=True)))
 
 
-def _estimates(rows: DataFrame) -> DataFrame:
+def _estimates(rows: DataFrame, pooled: bool = False) -> DataFrame:
     # texts that the base rules reject are no part of what a group's good texts look like
     good = rows.where(~F.col("base_failed"))
     cells = materialize(good.groupBy(*_GROUP, *_X).agg(F.count(F.lit(1)).alias("_w")), "quality-cells")
-    return materialize(mcd(cells, _GROUP), "quality-mcd")
+    own = materialize(mcd(cells, _GROUP), "quality-mcd")
+    return materialize(_pooled(cells, own), "quality-pooled") if pooled else own
+
+
+def _pooled(cells: DataFrame, own: DataFrame) -> DataFrame:
+    """own, and for the groups that it leaves out the estimates of their languages or of all."""
+    small = materialize(cells.select(*_GROUP).distinct().join(own, list(_GROUP), "left_anti"), "quality-small")
+    if small.isEmpty():
+        return own
+    count = F.sum("_w").alias("_w")
+    mates = cells.join(small.select("_lang").distinct(), "_lang", "left_semi").groupBy("_lang", *_X).agg(count)
+    by_lang = materialize(mcd(mates, ("_lang",)), "quality-lang")
+    rest = materialize(small.join(by_lang, "_lang", "left_anti"), "quality-rest")
+    found = own.unionByName(small.join(by_lang, "_lang"))
+    if rest.isEmpty():
+        return found
+    every = materialize(cells.groupBy(*_X).agg(count).withColumn("_any", F.lit(1)), "quality-all")
+    return found.unionByName(rest.crossJoin(mcd(every, ("_any",)).drop("_any")))
 
 
 def _verdicts(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -170,18 +189,18 @@ def _verdicts(rows: DataFrame, params: DataFrame) -> DataFrame:
     return _spread(rows, params, _GROUP).withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, pooled: bool = False) -> DataFrame:
     """doc_id, the base counts, base_failed and kept."""
     rows = materialize(_vectors(docs), "quality")
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    return _verdicts(rows, _estimates(rows)).select("doc_id", *base, "kept")
+    return _verdicts(rows, _estimates(rows, pooled)).select("doc_id", *base, "kept")
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, pooled: bool = False) -> DataFrame:
     """The rows of docs that pass, with their columns. Counts are made twice, once for the
     estimates and once beside the texts, so that texts are neither stored nor shuffled."""
     names = docs.columns
-    params = _estimates(_vectors(docs))
+    params = _estimates(_vectors(docs), pooled)
     packed = docs.select("doc_id", "text", "lang", "source", F.struct(*names).alias("_row"))
     return _verdicts(_vectors(packed, keep=("_row",)), params).where("kept").select(*(F.col("_row").getField(n).alias(n) for n in names))
 

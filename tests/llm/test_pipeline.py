@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as P
 import numpy as np
-from quernstone.llm import simhash
+from quernstone.llm import quality, simhash
 
 from .conftest import DOCS, corpus, words
 
@@ -47,6 +47,20 @@ def test_near_duplicates_are_verified(spark):
     assert sorted(r["doc_id"] for r in out) == [0, 5, 6]
 
 
+def test_small_groups_take_pooled_estimates(spark):
+    """A text of symbols goes from groups of one, by its language or else by all texts."""
+    rng = random.Random(12)
+    plain = lambda: " ".join(rng.choice(["house", "river", "at", "on", "paper", "stone"]) + str(rng.randint(0, 999)) for _ in range(80))
+    odd = lambda: " ".join(rng.choice("abcdef") + str(rng.randint(0, 9999)) + "###$$$" for _ in range(80))
+    rows = [(i, plain(), "en", "s", None) for i in range(100)]
+    few = [("en", "t"), ("en", None), ("xx", "s"), (None, None)]
+    rows += [(1000 + 2 * i + j, (plain, odd)[j](), lang, source, None) for i, (lang, source) in enumerate(few) for j in (0, 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    kept = {r["doc_id"] for r in P.quality_rules(spark, df, "").collect()}
+    assert kept == {r[0] for r in rows if r[0] < 1000 or r[0] % 2 == 0}
+    assert kept == {r["doc_id"] for r in quality.judge(df, pooled=True).where("kept").collect()}
+
+
 def test_alike():
     rng = random.Random(4)
     for _ in range(150):
