@@ -35,7 +35,8 @@ def reuse_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_embedding_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of one document's first version with a vector for each distinct text."""
+    """Chunks of one document's first version (src0, 1: the operator's scope, a search within
+    one version) with a vector for each distinct text."""
     c = P.chunks(spark, sf)
     v = P.vectors(spark, sf).withColumnRenamed("chunk_id", "vec_id")
     stored = v.join(c, F.col("vec_id") == F.col("chunk_id")).groupBy("content_hash").agg(F.min("vec_id").alias("vec_id"))
@@ -95,6 +96,8 @@ def hash_set_equality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def version_pointer_copy(spark: SparkSession, sf: str) -> DataFrame:
+    """One document's first version (src0, 1: the operator's scope, one upload that equals a
+    version held) pointed to from its third."""
     c = P.chunks(spark, sf).where("document_id = 'src0' AND version = 1")
     cited = c.withColumn("chunk_id", F.format_string("%s-v%d-%d", "document_id", "version", "chunk_id")).withColumn("clause_id", F.lit(None).cast("string"))
     cited = cited.withColumn("citation", F.struct(F.col("chunk_id").alias("chunk_id"), F.col("document_id").alias("document_id"), F.col("version").alias("version")))
@@ -103,7 +106,8 @@ def version_pointer_copy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """English chunks are held; all chunks come again with their text in upper case."""
+    """English chunks are held; all chunks come again with their source in upper case as text
+    and the hash of their source (not of their text, as the SQL has it)."""
     c = P.chunks(spark, sf).withColumn("citation", F.col("lang")).select("chunk_id", "document_id", "version", "text", "content_hash", "citation", "source_kind")
     held = c.where("citation = 'en'")
     new = c.withColumns({"text": F.upper(F.col("document_id")), "content_hash": F.sha2(F.col("document_id").cast("binary"), 256), "source_kind": F.lit("changed")})
