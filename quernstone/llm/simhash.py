@@ -18,14 +18,17 @@ gets a cell that grows with the corpus. Within a part, the links are reduced to
 forest before they leave the task. Components come from alternating large-star and
 small-star rounds over these edges.
 
-With ``verify`` (which the pipeline does not set, see the README) fingerprints only propose:
-within each component, distinct texts are compared by exact Jaccard of their five-word
-shingles, and components are taken again from the pairs at ``ALIKE`` or more. Most pairs of
+With ``verify`` fingerprints only propose: within each component, distinct texts are
+compared by exact Jaccard of their five-word shingles, and components are taken again from
+the pairs at ``ALIKE`` (or what the caller states) or more. Most pairs of
 a group of near copies need no comparison: the shingles' Jaccard distance is a metric.
 
 Defined cases: null text counts as empty and has fingerprint zero, as has text without
-words; a null id gets a component like any other and stands before all ids as smallest;
-repeated rows are copies; an empty table gives no rows; extra columns are not read.
+words; a null id (and -2**63, which stands for it) gets a component like any other and
+stands before all ids as smallest; different texts under one id, or without one, are
+documents of their own; repeated rows are copies; very long texts are hashed in pieces of
+65,536 shingles; a bit that half the hashes have is 0; an empty table gives no rows; extra
+columns, whatever their names, are not read, and one_of_each gives them back.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +56,8 @@ VERIFY = 5
 ALIKE = (4, 5)
 #: Shingles up to which a component is verified in one go; larger ones by pairs of blocks.
 BLOCK = 1_000_000
+#: A null id, held as the smallest of all.
+_NO_ID = -(1 << 63)
 
 
 def _majority(hashes: list[int]) -> int:
@@ -77,11 +81,37 @@ def _shingles(words: list[bytes], shingle: int, seed: int = SEED) -> list[int]:
     return [digest(line[a:b], seed) for a, b in zip(starts, ends, strict=False)]
 
 
+def word_fingerprints(texts: list[str | None], seeds: tuple[int, ...]) -> np.ndarray:
+    """64-bit SimHashes of the sets of the texts' words (texts x seeds). A word is hashed
+    once; each seed mixes that hash anew, so more seeds cost no more hashing."""
+    digest = xxhash.xxh64_intdigest
+    out = np.zeros((len(texts), len(seeds)), np.uint64)
+    sizes, hashes = [], []
+    for t in texts:
+        words = set((t or "").encode().lower().split())
+        sizes.append(len(words))
+        hashes.append(np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words)))
+    every, size = np.concatenate([np.array([], np.uint64), *hashes]), np.array(sizes, np.int64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    ones = np.zeros((len(texts), 64), np.int64)
+    for k, seed in enumerate(seeds):
+        ones[:] = 0
+        for a in range(0, len(every), 65536):  # long texts in pieces
+            h = every[a : a + 65536] + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            own = owner[a : a + 65536]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+        out[:, k] = np.packbits(ones * 2 > size[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def word_fingerprint(text: str | None, seed: int = SEED) -> int:
     """64-bit SimHash of the set of a text's words."""
-    digest = xxhash.xxh64_intdigest
-    words = set((text or "").encode().lower().split())
-    return _majority([digest(w, seed) for w in words]) if words else 0
+    return int(word_fingerprints([text], (seed,))[0, 0])
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -94,7 +124,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, wo
     """The columns of keep and fps, an array of bigints (64 bits as they are): that of the
     shingles, or one for each of word_seeds, of the words; with_key, key (of _key) too."""
     bounded_batches(docs.sparkSession)
-    each = (lambda t: [word_fingerprint(t, s) for s in word_seeds]) if word_seeds else (lambda t: [text_fingerprint(t, shingle)])
+    each = (lambda ts: word_fingerprints(ts, word_seeds)) if word_seeds else (lambda ts: [text_fingerprint(t, shingle) for t in ts])
     width = len(word_seeds) or 1
     rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
     schema = T.StructType([f for f in rows.schema if f.name != "_text"] + [T.StructField("fps", T.ArrayType(T.LongType()))] + [T.StructField("key", T.BinaryType())] * with_key)
@@ -102,10 +132,11 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, wo
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("_text")
-            fps = np.array([each(t.as_py()) for t in b.column(at)], "<u8").reshape(-1).view("<i8")
+            texts = b.column(at).to_pylist()
+            fps = np.array(each(texts), "<u8").reshape(-1).view("<i8")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(fps) + 1, width, dtype=np.int32)), pa.array(fps))
             rest = [i for i in range(b.num_columns) if i != at]
-            keys = [pa.array([_key((t.as_py() or "").encode().lower().split()) for t in b.column(at)], pa.binary())] if with_key else []
+            keys = [pa.array([_key((t or "").encode().lower().split()) for t in texts], pa.binary())] if with_key else []
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), lists, *keys], names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -156,15 +187,20 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _links(distance: int):
     """mapInArrow function: rows (_cell, fp, id) sorted by cell -> edges of a forest."""
 
+    odd = np.uint64(0x5555555555555555)
+
     def pairs(cell: np.ndarray, fp: np.ndarray, ids: np.ndarray):
         u, v, held = [], [], 0
+        high, low = (fp >> np.uint64(1)) & odd, fp & odd
+        unary = (low | high) | ((low & high) << np.uint64(1))  # as embed()
         d, here = 1, np.arange(len(cell))
         while True:
             here = here[here + d < len(cell)]
             here = here[cell[here] == cell[here + d]]
             if not len(here):
                 break
-            near = here[np.bitwise_count(fp[here] ^ fp[here + d]) <= distance]
+            near = here[np.bitwise_count(unary[here] ^ unary[here + d]) <= distance]  # Manhattan distance: never above Hamming's
+            near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= distance]
             u.append(ids[near])
             v.append(ids[near + d])
             held += len(near)
@@ -264,14 +300,14 @@ def _key(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def alike(sets: list[np.ndarray]) -> np.ndarray:
+def alike(sets: list[np.ndarray], alike_at: tuple[int, int] = ALIKE) -> np.ndarray:
     """For each set (of one hash or more) the first one of its component; two sets link if
-    their Jaccard similarity is ALIKE or more.
+    their Jaccard similarity is `alike_at` or more.
 
     A set that is not alike to an earlier leader becomes one and is compared with all. What
     is alike to a set near a leader is at twice that distance from the leader at most
     (Jaccard distance is a metric), so only sets in between are compared with all besides."""
-    p, q = ALIKE
+    p, q = alike_at
     size = np.array([len(x) for x in sets])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     names, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -305,11 +341,11 @@ def alike(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def _verify():
-    """mapInArrow function: rows (_group, id, shingles) sorted by group -> edges (u, v)."""
+def _verify(alike_at: tuple[int, int]):
+    """mapInArrow function: rows (_group, node, shingles) sorted by group -> edges (u, v)."""
 
     def out(ids: list[int], sets: list[np.ndarray]):
-        label = alike(sets)
+        label = alike(sets, alike_at)
         ids = np.array(ids, np.int64)
         far = ids != ids[label]
         return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label][far])], names=["u", "v"])
@@ -331,61 +367,75 @@ def _verify():
     return run
 
 
-def verified(docs: DataFrame, keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the distinct texts (key, id, fps) of each component (fps,
-    root) as all their pairs at ALIKE do."""
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    members = keys.join(roots, "fps").select("id", "key", "_root")
+def verified(docs: DataFrame, keys: DataFrame, roots: DataFrame, alike_at: tuple[int, int] = ALIKE) -> DataFrame:
+    """Edges (u, v) that connect the distinct texts (key, fps, node, and id and hash of a row
+    that has it) of each component (fps, _root) as all their pairs at `alike_at` do."""
+    members = keys.join(roots, "fps").select("id", "hash", "key", "node", "_root")
     several = materialize(members.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_root"), "simhash-several")
     members = materialize(members.join(several, "_root"), "simhash-members")
-    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), lowest).alias("id"), "text").join(members.select("id").distinct(), "id", "left_semi")
+    own = docs.select("id", "hash", "text").join(members.select("id", "hash").distinct(), ["id", "hash"], "left_semi")
     sets = _keyed(own).groupBy("id", "key").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets.join(members, ["id", "key"]), "simhash-sets")
+    sets = materialize(sets.join(members, ["id", "key"]).select("node", "key", "shingles", "_root"), "simhash-sets")
     blocks = sets.groupBy("_root").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("_b"))
     # a component of several blocks is compared by pairs of them, so each pair of texts meets
     one, b = F.pmod(F.xxhash64("key"), F.col("_b")).cast("int"), F.col("_b")
     mates = F.when(b == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), b - 1), lambda x: x != F.col("_one")))
     dealt = sets.join(materialize(blocks, "simhash-blocks"), "_root").withColumn("_one", one).withColumn("_two", F.explode(mates))
     group = F.xxhash64("_root", F.least("_one", "_two"), F.greatest("_one", "_two")).alias("_group")
-    dealt = dealt.select(group, "id", "shingles").repartition("_group").sortWithinPartitions("_group")
-    return dealt.mapInArrow(_verify(), "u bigint, v bigint")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = (), verify: bool = False) -> DataFrame:
-    """doc_id, fps, component_id. Documents link if a fingerprint of theirs, of one seed,
-    differs in `distance` bits or fewer; with verify, if their shingles are alike too."""
-    rows = materialize(fingerprints(docs, shingle=shingle, word_seeds=word_seeds, with_key=verify), "simhash")
-    # a null id is held as the smallest of all
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    least = F.min(F.coalesce(F.col("doc_id"), lowest)).alias("id")
-    vectors = materialize(rows.groupBy("fps").agg(least), "simhash-vectors")
-    each = vectors.select("id", F.posexplode("fps").alias("seed", "fp"))
-    nodes = materialize(each.groupBy("seed", "fp").agg(F.min("id").alias("id")), "simhash-nodes")
+    dealt = dealt.select(group, "node", "shingles").repartition("_group").sortWithinPartitions("_group")
+    return dealt.mapInArrow(_verify(alike_at), "u bigint, v bigint")
+
+
+def _grouped(docs: DataFrame, shingle: int, distance: int, groups: int, word_seeds: tuple[int, ...], verify: tuple[int, int] | None) -> DataFrame:
+    """id (a null one as _NO_ID), hash (of the text), fps, group (a number) of each row, and
+    least, the smallest id of its group.
+
+    Fingerprints and texts are numbered, as ids may be null or repeated; the numbers are
+    written with the table, so all who read it see the same."""
+    text = F.col("text").cast("string")
+    own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID).cast("bigint")).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))
+    rows = materialize(fingerprints(own, shingle=shingle, word_seeds=word_seeds, keep=("id", "hash"), with_key=verify is not None), "simhash")
+    numbered = lambda df, node: df.withColumn(node, F.monotonically_increasing_id())
+    vectors = materialize(numbered(rows.groupBy("fps").agg(F.min("id").alias("least")), "node"), "simhash-vectors")
+    each = vectors.select("node", F.posexplode("fps").alias("seed", "fp"))
+    nodes = materialize(each.groupBy("seed", "fp").agg(F.min("node").alias("id")), "simhash-nodes")
     edges = links(nodes, distance, groups)
     if len(word_seeds) > 1:  # vectors that share the fingerprint of one seed only
-        shared = each.join(nodes.withColumnRenamed("id", "v"), ["seed", "fp"]).where("id <> v")
-        edges = edges.unionByName(shared.select(F.col("id").alias("u"), "v"))
-    roots = components(edges)
-    named = vectors.join(roots, "id", "left").select("fps", F.coalesce("root", "id").alias("_root"))
-    by = "fps"
-    if verify:
-        keys = materialize(rows.groupBy("key", "fps").agg(least), "simhash-keys")
-        roots = components(verified(docs, keys, named))
-        by, named = "key", keys.join(roots, "id", "left").select("key", F.coalesce("root", "id").alias("_root"))
-    root = F.when(F.col("_root") != lowest, F.col("_root"))
-    return rows.join(named, by).select("doc_id", "fps", root.alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs without all but one of each component: the one of smallest id."""
-    lowest = F.lit(-(1 << 63)).cast("bigint")
-    key = F.coalesce(F.col("doc_id").cast("bigint"), lowest)
-    found = near_duplicates(docs, **how)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__near_id")).distinct()
-    kept = docs.withColumn("__near_id", key).join(materialize(first, "simhash-first"), "__near_id", "left_semi")
-    # rows that repeat an id are in one component: one of them stays
-    only = W.partitionBy("__near_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return kept.withColumn("__near_k", F.row_number().over(only)).where("__near_k = 1").select(*docs.columns)
+        shared = each.join(nodes.withColumnRenamed("id", "v"), ["seed", "fp"]).where("node <> v")
+        edges = edges.unionByName(shared.select(F.col("node").alias("u"), "v"))
+    by, tops = "fps", components(edges)
+    if verify is not None:
+        named = vectors.join(tops, vectors["node"] == tops["id"], "left").select("fps", F.coalesce("root", "node").alias("_root"))
+        first = rows.groupBy("key", "fps").agg(F.min(F.struct("id", "hash")).alias("r")).select("key", "fps", "r.*", F.col("r.id").alias("least"))
+        vectors = materialize(numbered(first, "node"), "simhash-keys")
+        by, tops = "key", components(verified(own, vectors, named, verify))
+    vectors = vectors.join(tops.withColumnRenamed("id", "node"), "node", "left").select(by, F.coalesce("root", "node").alias("group"), "least")
+    vectors = materialize(vectors, "simhash-groups")
+    least = vectors.groupBy("group").agg(F.min("least").alias("least"))
+    return rows.join(vectors.drop("least").join(least, "group"), by).select("id", "hash", "fps", "group", "least")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = (), verify: bool = False, alike_at: tuple[int, int] = ALIKE) -> DataFrame:
+    """doc_id, fps, component_id. Documents link if a fingerprint of theirs, of one seed,
+    differs in `distance` bits or fewer; with verify, if their shingles are alike too."""
+    found = _grouped(docs, shingle, distance, groups, word_seeds, alike_at if verify else None)
+    id_ = lambda c, name: F.when(F.col(c) != _NO_ID, F.col(c)).alias(name)
+    return found.select(id_("id", "doc_id"), "fps", id_("least", "component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, groups: int = GROUPS, word_seeds: tuple[int, ...] = (), verify: bool = False, alike_at: tuple[int, int] = ALIKE) -> DataFrame:
+    """The rows of docs without all but one of each component: the one of smallest id (of
+    least hash of the text where several texts have it, null ids first). Rows are told
+    apart by id and text, so texts that share an id, or have none, stay if not alike."""
+    found = _grouped(docs, shingle, distance, groups, word_seeds, alike_at if verify else None)
+    first = materialize(found.groupBy("group").agg(F.min(F.struct("id", "hash")).alias("r")).select(F.col("r.id").alias("__near_id"), F.col("r.hash").alias("__near_h")), "simhash-first")
+    # of rows equal in both one stays; counted before the shuffle, so that a crowd of them doesn't travel
+    key = {"__near_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID).cast("bigint")), "__near_h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))}
+    row = F.struct(*docs.columns)
+    rest = [c for c in docs.columns if c != "text"]
+    single = docs.withColumns(key).groupBy(*key).agg(F.min_by(row, F.md5(F.to_json(F.struct(*rest)).cast("binary"))).alias("__near_row"))
+    kept = single.join(first, list(key), "left_semi")
+    return kept.select(*(F.col("__near_row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

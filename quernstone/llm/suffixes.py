@@ -17,8 +17,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere
    shorter extensions, in both orders, say which.
 4. A gram with more than ``CLASS`` distinct runs (a passage that very many documents quote
    in other surroundings) is split: its strings go to blocks of 16 offsets that share their
-   common bytes; equal blocks are counted first, and of those that differ, each string
-   goes by its own hash. No task gets a class that grows with the corpus.
+   common bytes (known by a 128-bit digest, as equal runs are); equal blocks are counted
+   first, and of those that differ, each string goes by its offset and all its bytes beyond
+   the common ones. No task gets a class that grows with the corpus.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH lose nothing; repeated
 rows are copies of each other and go wholly if they are long enough; very long texts are
@@ -300,7 +301,7 @@ def _sort_classes(length: int):
 
 def _split_classes(length: int):
     """mapInArrow function: rows of large classes -> one row for each block of offsets."""
-    names = ["ah", "u1", "u2", "n", "block", "c1", "c2", "b1", "b2", "lo", "hashes"]
+    names = ["ah", "u1", "u2", "n", "block", "c1", "c2", "b1", "b2", "lo", "at", "ends"]
 
     def run(batches):
         digest = xxhash.xxh3_128_digest
@@ -311,12 +312,14 @@ def _split_classes(length: int):
                 for block in range((off - many + 1) // BLOCK, off // BLOCK + 1):
                     lo, hi = max(0, off - block * BLOCK - BLOCK + 1), min(many - 1, off - block * BLOCK)
                     common = off - block * BLOCK
-                    c = np.frombuffer(digest(view[common : common + length - BLOCK + 1]), "<i8")
+                    after = common + length - BLOCK + 1
+                    c = np.frombuffer(digest(view[common:after]), "<i8")
                     e = np.frombuffer(digest(view[lo : hi + length]), "<i8")
-                    each = b"".join(xxhash.xxh3_64_digest(view[i : i + length]) for i in range(lo, hi + 1))
-                    for col, v in zip(out, (ah, u1, u2, n, block, c[0], c[1], e[0], e[1], lo, each), strict=True):
+                    # what each string has besides the common bytes: BLOCK - 1 bytes, before and after
+                    each = b"".join(data[i:common] + data[after : i + length] for i in range(lo, hi + 1))
+                    for col, v in zip(out, (ah, u1, u2, n, block, c[0], c[1], e[0], e[1], lo, common, each), strict=True):
                         col.append(v)
-            kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 4 + [pa.int32(), pa.binary()]
+            kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
@@ -327,23 +330,23 @@ _FOUND = "ah bigint, u1 bigint, u2 bigint, lo int, hi int"
 
 def _large_classes(rows: DataFrame, length: int) -> DataFrame:
     """Repeated starts (ah, u1, u2, lo, hi) in classes of many distinct runs."""
-    schema = "ah bigint, u1 bigint, u2 bigint, n bigint, block int, c1 bigint, c2 bigint, b1 bigint, b2 bigint, lo int, hashes binary"
+    schema = "ah bigint, u1 bigint, u2 bigint, n bigint, block int, c1 bigint, c2 bigint, b1 bigint, b2 bigint, lo int, at int, ends binary"
     blocks = materialize(rows.select(*_CLASS_COLUMNS).mapInArrow(_split_classes(length), schema), "suffix-blocks")
-    size = F.floor(F.octet_length("hashes") / 8).cast("int")
+    width = BLOCK - 1
+    size = F.floor(F.octet_length("ends") / width).cast("int")
     common = ["ah", "block", "c1", "c2"]
-    same = blocks.groupBy(*common, "b1", "b2").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "lo", "hashes")).alias("r"))
+    same = blocks.groupBy(*common, "b1", "b2").agg(F.sum("n").alias("n"), F.min(F.struct("u1", "u2", "lo", "at", "ends")).alias("r"))
     same = materialize(same, "suffix-equal-blocks")
     twice = same.where("n > 1").select(*common, "b1", "b2")
     whole = blocks.join(twice, [*common, "b1", "b2"]).select("ah", "u1", "u2", "lo", (F.col("lo") + size - 1).alias("hi"))
-    # blocks that differ, where others share their common bytes: each string by its hash
+    # blocks that differ, where others share their common bytes: each string by the rest of its bytes
     shared = same.groupBy(*common).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*common)
     differ = same.join(shared, common).select(*common, "n", "r.*")
     each = differ.select("*", F.posexplode(F.sequence(F.lit(0), size - 1)).alias("i", "_x"))
-    at = (F.col("lo") + F.col("i")).cast("int")
-    # strings of a class and block at one offset from the anchor: block ends fix that offset
-    each = each.select(*common, "n", "u1", "u2", at.alias("start"), F.substring("hashes", F.col("i") * 8 + 1, F.lit(8)).alias("h"))
-    counts = each.groupBy(*common, "h").agg(F.sum("n").alias("s")).where("s > 1").select(*common, "h")
-    single = each.where("n = 1").join(counts, [*common, "h"]).select("ah", "u1", "u2", F.col("start").alias("lo"), F.col("start").alias("hi"))
+    start = (F.col("lo") + F.col("i")).cast("int")
+    each = each.select(*common, "n", "u1", "u2", start.alias("start"), (F.col("at") - start).alias("l"), F.substring("ends", F.col("i") * width + 1, F.lit(width)).alias("e"))
+    counts = each.groupBy(*common, "l", "e").agg(F.sum("n").alias("s")).where("s > 1").select(*common, "l", "e")
+    single = each.where("n = 1").join(counts, [*common, "l", "e"]).select("ah", "u1", "u2", F.col("start").alias("lo"), F.col("start").alias("hi"))
     return whole.unionByName(single)
 
 
@@ -370,7 +373,8 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole = distinct.where("n > 1").select(*key, F.lit(0).alias("lo"), (F.col("many") - 1).alias("hi"))
     # runs that occur once, and those of their classes they are to be compared with
     open_ = distinct.where("m > 1 and least = 1")
-    own = _keyed(docs).select("_k1", "_k2", "_bytes")
+    # rows that repeat id and text are one row here, made so before the shuffle
+    own = _keyed(docs).groupBy("_k1", "_k2").agg(F.min("_bytes").alias("_bytes"))
     joined = open_.join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     cut = F.substring("_bytes", F.col("start") + 1, F.col("many") + (length - 1))
     rows = materialize(joined.select(*key, "n", "off", "many", "m", cut.alias("bytes")), "suffix-classes")

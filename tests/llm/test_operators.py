@@ -11,7 +11,7 @@ import xxhash
 
 from quernstone.llm import fingerprints, licenses, mixing, pieces, quality, registry, sharding, simhash, suffixes, toxicity, urls
 
-from .conftest import corpus
+from .conftest import DOCS, corpus
 
 ROWS = [(r[0], r[1] or "") for r in corpus()]
 
@@ -44,6 +44,22 @@ def test_suffixes(docs, monkeypatch, largest):
     same(got, [(i, *w) for (i, _), w in zip(ROWS, want, strict=True)])
 
 
+def test_suffixes_of_crowds_and_long_texts(spark):
+    """Thousands of equal rows without id are one run's copies; a passage across the slice's
+    end of a very long text is found there too."""
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    noise = lambda n: "".join(rng.choices(letters, k=n))
+    crowd, passage = noise(1500), noise(900)
+    at = suffixes.SLICE - 450
+    long = noise(at - 1) + "1" + passage + "2" + noise(90_000)
+    rows = [(None, crowd)] * 3000 + [(1, long), (2, noise(500) + "3" + passage + "4" + noise(500)), (3, "5" + crowd[300:1300] + "6")]
+    got = suffixes.dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).drop("kept").collect()
+    cut = lambda t, a, z: (len(t), z - a, 1, hashlib.sha256((t[:a] + t[z:]).encode()).hexdigest())
+    want = [(None, *cut(crowd, 0, 1500))] * 3000 + [(1, *cut(long, at, at + 900)), (2, *cut(rows[3001][1], 501, 1401)), (3, *cut(rows[3002][1], 1, 1001))]
+    same(got, want)
+
+
 def test_suffix_order():
     rng = random.Random(2)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(60, 90))) for _ in range(60)]
@@ -413,6 +429,31 @@ def test_simhash(docs):
     same([(r["doc_id"], r["fps"][0], r["component_id"]) for r in simhash.near_duplicates(docs).collect()], want)
 
 
+def test_one_of_each_by_id_and_text(spark):
+    """Texts that share an id, or have none, are documents of their own; equal rows are not."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=1)[0] * rng.randint(1, 9) for _ in range(60)) for _ in range(9)]
+    rows = [(None, t, "en", None, k) for k, t in enumerate(texts[:5])] + [(5, t, "en", None, 0) for t in texts[5:8]] + [(5, texts[7], "en", None, 0)] * 2
+    rows += [(9, texts[8], "de", None, 1), (3, texts[8], "fr", None, 2), (None, texts[5], "xx", None, 3)]
+    df = spark.createDataFrame(rows, DOCS)
+    for how in ({}, {"word_seeds": (1, 2), "groups": 6}, {"word_seeds": (1, 2), "verify": True}):
+        got = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(df, **how).collect()]
+        same(got, [(None, t) for t in texts[:6]] + [(5, texts[6]), (5, texts[7]), (3, texts[8])])
+    # an id that joins two groups through different texts doesn't make them one
+    rows = [(7, texts[0]), (7, texts[1]), (2, texts[0]), (9, texts[1])]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(2, 2), (7, 2), (7, 7), (9, 7)]
+
+
+def test_fingerprints_of_long_texts(spark):
+    rng = random.Random(22)
+    long = " ".join(str(rng.randint(0, 10**6)) for _ in range(70_000))
+    assert simhash.text_fingerprint(long) == fingerprint(long)
+    both = simhash.word_fingerprints([long, None, "a b a", long + " " + long], (1, 2))
+    assert both[0].tolist() == both[3].tolist() and both[1].tolist() == [0, 0] and both[0, 0] != both[0, 1]
+    assert int(both[2, 1]) == simhash.word_fingerprint("b a", 2)
+
+
 @pytest.mark.parametrize("cell", [4096, 3])
 def test_links_of_crowds(spark, monkeypatch, cell):
     """Fingerprints around a few centres, with large cells split and not."""
