@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from quernstone.llm import mixing, pieces, quality, simhash, suffixes
 from quernstone.llm.common import materialize, table
 
-#: Seeds of the near-duplicate stage's fingerprints. One fingerprint within three bits
-#: finds half of the near copies of similarity 0.8; five find 98 in 100.
-NEAR_SEEDS = (42, 43, 44, 45, 46)
+#: Seeds of the near-duplicate stage's fingerprints. Of the pairs of different texts at sf0.1
+#: whose similarity is 0.8 or more, one fingerprint within three bits finds 25 of 47, five
+#: find 42, nine all.
+NEAR_SEEDS = tuple(range(42, 51))
+#: Similarity on five-word shingles at which texts that the fingerprints propose are near copies.
+NEAR = (7, 10)
+#: Bytes of a string that goes where it comes twice: fifty words of four letters and a space.
+PASSAGE = 250
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +30,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays."""
-    return simhash.one_of_each(docs, word_seeds=NEAR_SEEDS, groups=6)
+    """Of each group of near copies the document of smallest id stays (a null id is the
+    smallest; of several texts under that id the one of least hash). Texts are near copies if
+    their fingerprints link and their shingles are alike; texts that share an id, or have
+    none, are told apart; of repeated rows, and of texts without a word, one stays."""
+    return simhash.one_of_each(docs, word_seeds=NEAR_SEEDS, groups=6, verify=True, alike_at=NEAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that come twice or more go from all texts; no document goes."""
-    return suffixes.deduped_documents(docs)
+    """Strings of PASSAGE bytes that come twice or more go from all places, the first one
+    included; no document goes. Null text becomes empty, n_chars is that of what is left;
+    characters of which a part goes are left out."""
+    return suffixes.deduped_documents(docs, PASSAGE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
