@@ -15,7 +15,7 @@ from quernstone.llm.common import materialize, table
 
 #: Seeds of the near-duplicate stage's fingerprints. Of the pairs of different texts at sf0.1
 #: whose similarity is 0.8 or more, one fingerprint within three bits finds 25 of 47, five
-#: find 42, nine all.
+#: find 42, nine 45.
 NEAR_SEEDS = tuple(range(42, 51))
 #: Similarity on five-word shingles at which texts that the fingerprints propose are near copies.
 NEAR = (7, 10)
