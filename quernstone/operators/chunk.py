@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-# fixed values: most characters of a chunk, overlap of parts, least characters
+# Most characters of a chunk, overlap of parts, least characters, labels of web
+# pages (a whole chunk, or several in a short one).
 MOST, OVERLAP, LEAST = 1800, 200, 25
-NAV = ("home", "about us", "contact", "sitemap", "login", "search", "privacy policy", "terms of use", "help", "feedback", "subscribe", "read more", "next", "previous")
-_FURNITURE = r"(?i)^\W*(?:home|menu|search|skip to (?:main )?content|back to top|print this page|share|last updated.*|copyright.*|all rights reserved.*|page [0-9]+(?: of [0-9]+)?)\W*$"
+FURNITURE = (
+    r"(?i)^(more links\s*:?|e-lms|rss|follow rbi|sitemap|search|notifications?|master circulars?|master directions?|feedback|disclaimer|"
+    r"important websites?|tenders?|faqs?|contact us|useful links)\W*$"
+)
+NAV = (
+    "home", "about us", "notifications", "press releases", "speeches", "publications", "statistics", "regulatory reporting", "complaints",
+    "rss", "e-lms", "sitemap", "more links", "follow rbi",
+)
+NAV_HITS, NAV_LENGTH = 3, 400
 
 
 def is_boilerplate(text: Column) -> Column:
-    low = F.lower(text)
+    """Whether a chunk is only a label, or short and mostly navigation."""
+    even = F.trim(F.regexp_replace(text, rf"{X.SPACE}+", " "))
+    low = F.lower(even)
     hits = sum((F.when(low.contains(n), 1).otherwise(0) for n in NAV), F.lit(0))
-    return text.rlike(_FURNITURE) | ((hits >= 3) & (F.length(text) < 400))
+    return even.rlike(FURNITURE) | ((hits >= NAV_HITS) & (F.length(even) < NAV_LENGTH))
 
 
 def sentences(text: Column) -> Column:
@@ -87,6 +97,15 @@ def report(clauses: DataFrame) -> DataFrame:
 
 def pinned_summary(documents: DataFrame) -> DataFrame:
     """document_id, version, summary: facts in a fixed order, those unknown left out."""
-    fact = lambda label, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(label + ": "), F.col(c).cast("string")))
-    facts = (("Title", "title"), ("Version", "version"), ("Loan type", "loan_type"), ("Borrower type", "borrower_type"), ("Lender class", "lender_class"), ("Agreement date", "agreement_date"), ("Currency", "currency"), ("Clauses", "n_clauses"))
-    return documents.select("document_id", "version", F.concat_ws("\n", *(fact(a, c) for a, c in facts if c in documents.columns)).alias("summary"))
+    has = lambda c: c in documents.columns
+    col = lambda c: F.col(c) if has(c) else F.lit(None).cast("string")
+    fact = lambda label, c: F.concat(F.lit(label + ": "), c.cast("string"))
+    plain = lambda c: F.replace(col(c), F.lit("_"), F.lit(" "))
+    revised = F.col("kind") == "amendment" if has("kind") else F.lit(False)
+    effective = F.col("amends.effective_from") if has("amends") else F.lit(None).cast("date")
+    facts = (
+        fact("Document", F.coalesce(col("title"), F.col("document_id"))), fact("Type", plain("kind")), fact("Version", F.col("version")), fact("Loan type", col("loan_type")),
+        fact("Borrower", col("borrower_type")), fact("Lender class", plain("lender_class")), fact("Dated", col("agreement_date")), F.when(revised, fact("Revision effective", effective)),
+        F.when(revised, F.lit("This version revises an earlier agreement; unlisted clauses carry forward.")), fact("Clauses in force", col("n_clauses")),
+    )
+    return documents.select("document_id", "version", F.concat_ws("\n", *facts).alias("summary"))

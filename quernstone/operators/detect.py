@@ -6,43 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# fixed values: dominance ratio, title zones, reach of a citation cue
+# Dominance ratio, zones in characters, reach of a citation cue, markers.
 DOMINANCE = 3
-ZONE, KIND_ZONE, CUE_ZONE = 700, 3000, 90
+ZONE, KIND_ZONE, DATE_ZONE, TAIL_ZONE, CUE_ZONE, AMENDMENT_ZONE = 700, 3000, 2500, 1200, 90, 6000
+BORROWER_WINDOW, BORROWER_MOST = 180, 40
+EVIDENCE = 2
 
-_QUOTED_CUE = r"(?i)\b(?:circular|guidelines?|directions?|notification|act|regulations?|rules)\b"
-_CIRCULAR = r"(?i)\bnotification\b|\bmaster (?:direction|circular)\b|\b[A-Z]{2,6}/[0-9]{4}-[0-9]{2}/[0-9]+"
+_QUOTED_CUE = r"(?i)(circular|notification|master direction|master circular|directions,\s*[0-9]{4}|RBI/[0-9]{4}-[0-9]{2}|DOR\.|DNBS|DNBR)"
+_CIRCULAR = r"(?i)\bRBI/[0-9]{4}-[0-9]{2}/[0-9]+\b|\b(master circular|master direction|notification)\b"
 #: Title markers of each kind of document, in the order in which they are tried.
 KINDS = (
-    ("amendment", ("amendment agreement", "supplementary agreement", "supplemental agreement", "deed of variation")),
-    ("key_fact_statement", ("key fact statement", "key facts statement", "kfs")),
-    ("sanction_letter", ("sanction letter", "letter of sanction", "loan offer letter")),
-    ("loan_agreement", ("loan agreement", "facility agreement", "credit agreement", "terms and conditions of loan")),
+    ("key_facts_statement", ("key facts statement", "key fact statement")),
+    ("sanction_letter", ("sanction letter", "letter of sanction", "sanction advice")),
+    ("loan_agreement", ("loan agreement", "loan cum hypothecation", "facility agreement", "credit agreement")),
 )
 #: Words that name each family of loans.
 LOANS = {
-    "home": ("home loan", "housing loan", "dwelling"),
-    "personal": ("personal loan", "unsecured loan"),
-    "vehicle": ("vehicle loan", "car loan", "auto loan"),
+    "home": ("home loan", "housing loan", "mortgage loan"),
+    "vehicle": ("vehicle loan", "car loan", "auto loan", "two wheeler loan"),
     "education": ("education loan", "student loan"),
-    "gold": ("gold loan", "pledge of gold"),
-    "business": ("business loan", "working capital", "overdraft"),
-    "microfinance": ("microfinance", "joint liability group"),
-    "property": ("loan against property", "mortgage loan"),
+    "gold": ("gold loan", "loan against gold", "gold jewellery"),
+    "microfinance": ("microfinance loan", "micro finance loan", "jlg loan"),
+    "credit_card": ("credit card agreement", "cardholder agreement"),
+    "business": ("business loan", "working capital", "msme loan", "term loan to msme"),
+    "personal": ("personal loan", "consumer loan"),
 }
 #: Lender classes, the specific before the generic.
 LENDERS = (
-    ("housing_finance_company", ("housing finance",)),
+    ("housing_finance_company", ("housing finance company", "housing finance limited")),
+    ("nbfc_mfi", ("nbfc-mfi", "nbfc mfi", "micro finance institution")),
+    ("nbfc", ("non-banking financial company", "non banking financial company", "nbfc")),
     ("small_finance_bank", ("small finance bank",)),
     ("regional_rural_bank", ("regional rural bank", "gramin bank")),
-    ("cooperative_bank", ("co-operative bank", "cooperative bank")),
-    ("payments_bank", ("payments bank",)),
-    ("microfinance_institution", ("microfinance institution", "nbfc-mfi")),
-    ("nbfc", ("non-banking financial", "nbfc")),
-    ("bank", ("bank",)),
+    ("cooperative_bank", ("co-operative bank", "cooperative bank", "urban co-op")),
+    ("scheduled_commercial_bank", ("scheduled commercial bank", "banking regulation act, 1949")),
 )
-INDIVIDUAL = ("an individual", "individuals", "son of", "daughter of", "aged about", "residing at")
-BUSINESS = ("private limited", "pvt ltd", "limited liability", "partnership firm", "proprietor", "registered office")
+BUSINESS = ("private limited", "pvt. ltd", "pvt ltd", "llp", "partnership firm", "proprietorship", "msme", "udyam", "gstin")
+INDIVIDUAL = ("an individual", "individual borrower", "co-borrower", "aadhaar", "mr.", "ms.", "mrs.", "shri", "smt")
+_ACCOUNT = r"(?i)loan (?:account|a/c)(?:\s*no\.?|\s*number)?\s*:?\s*([A-Z0-9][A-Z0-9/\-]{5,40})"
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -53,15 +54,16 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def detect_kind(text: Column, hint: Column | None = None) -> Column:
-    """The hint, else circular by reference or title, else the first title marker found in
-    the first 700 characters, then in the first 3,000."""
+    """The hint, else a circular by its reference or title in the first 700 characters, else
+    the first title marker found there, else in the first 3,000. Amendments are loan
+    agreements here; detect_amendment tells them apart."""
     head, more = F.lower(F.substring(text, 1, ZONE)), F.lower(F.substring(text, 1, KIND_ZONE))
-    out = F.when(F.substring(text, 1, ZONE).rlike(_CIRCULAR), "circular")
+    out = F.when(F.substring(text, 1, ZONE).rlike(_CIRCULAR), "rbi_circular")
     for zone in (head, more):
         for kind, marks in KINDS:
             out = out.when(_any(zone, marks), kind)
-    out = out.otherwise("other")
-    return out if hint is None else F.coalesce(hint, out)
+    out = out.otherwise("unknown")
+    return out if hint is None else F.coalesce(F.when(hint != "unknown", hint), out)
 
 
 def quoted_at(text: Column, position: Column) -> Column:
@@ -81,8 +83,8 @@ def occurrences(text: Column, word: str) -> Column:
 def loan_type_scores(docs: DataFrame, key: str) -> DataFrame:
     """key, loan_type, n, in_title: unquoted mentions of each family."""
     low = docs.select(key, F.lower("text").alias("t"))
-    each = F.array(*(F.struct(F.lit(k).alias("loan_type"), F.filter(occurrences(F.col("t"), w), lambda p: ~quoted_at(F.col("t"), p)).alias("at")) for k, ws in LOANS.items() for w in ws))
-    rows = low.select(key, F.explode(each).alias("e")).select(key, "e.loan_type", F.size("e.at").alias("n"), F.size(F.filter("e.at", lambda p: p <= ZONE)).alias("z"))
+    each = F.array(*(F.struct(F.lit(k).alias("loan_type"), F.filter(occurrences(F.col("t"), w), lambda p: ~quoted_at(F.col("t"), p)).alias("at"), F.lit(len(w)).alias("size")) for k, ws in LOANS.items() for w in ws))
+    rows = low.select(key, F.explode(each).alias("e")).select(key, "e.loan_type", F.size("e.at").alias("n"), F.size(F.filter("e.at", lambda p: p + F.col("e.size") <= ZONE + 1)).alias("z"))
     return rows.groupBy(key, "loan_type").agg(F.sum("n").alias("n"), F.sum("z").alias("in_title")).where("n > 0")
 
 
@@ -113,80 +115,137 @@ def detect_lender_class(text: Column) -> Column:
     return out
 
 
-def detect_borrower_type(docs: DataFrame, key: str) -> DataFrame:
-    """key, borrower_type from up to 40 windows of 180 characters around "borrower", each
-    ending at the nearest "lender"."""
-    low = docs.select(key, F.lower("text").alias("t"))
-    spots = low.select(key, "t", F.explode(F.slice(occurrences(F.col("t"), "borrower"), 1, 40)).alias("p"))
-    before = F.substring("t", F.greatest(F.col("p") - 180, F.lit(1)), F.least(F.col("p") - 1, F.lit(180)))
-    after = F.substring("t", F.col("p") + 8, F.lit(180))
-    near = F.concat_ws(" ", F.element_at(F.split(before, "lender"), -1), F.element_at(F.split(after, "lender"), 1))
+def borrower_context(text: Column) -> Column:
+    """What stands around the first 40 places of "borrower", each window cut at the nearest
+    "lender"; the windows are joined by spaces."""
+    low, n = F.lower(text), BORROWER_WINDOW
+
+    def window(p: Column) -> Column:
+        before = F.substring(low, F.greatest(p - n, F.lit(1)), p - F.greatest(p - n, F.lit(1)))
+        after = F.substring(low, p, F.lit(n))
+        return F.concat(F.element_at(F.split(before, "lender"), -1), F.element_at(F.split(after, "lender"), 1))
+
+    return F.array_join(F.transform(F.slice(occurrences(low, "borrower"), 1, BORROWER_MOST), window), " ")
+
+
+def borrower_type(text: Column) -> Column:
+    """individual or business: the only one whose markers stand around "borrower", or the one
+    with at least three times the other's; else null."""
+    near = borrower_context(text)
     count = lambda words: sum((F.regexp_count(near, F.lit(rf"\Q{w}\E")) for w in words), F.lit(0))
-    per = spots.groupBy(key).agg(F.sum(count(INDIVIDUAL)).alias("individual"), F.sum(count(BUSINESS)).alias("business"))
-    a, b = F.col("individual"), F.col("business")
-    kind = F.when((a > 0) & (a >= b * DOMINANCE), "individual").when((b > 0) & (b >= a * DOMINANCE), "business")
-    return per.select(key, kind.alias("borrower_type")).where("borrower_type IS NOT NULL")
+    found = F.transform(F.array(F.struct(count(INDIVIDUAL).alias("a"), count(BUSINESS).alias("b"))), lambda x: (
+        F.when((x["a"] > 0) & (x["a"] >= x["b"] * DOMINANCE), "individual").when((x["b"] > 0) & (x["b"] >= x["a"] * DOMINANCE), "business")
+    ))
+    return found.getItem(0)
+
+
+def detect_borrower_type(docs: DataFrame, key: str) -> DataFrame:
+    """key, borrower_type of the documents that have one."""
+    return docs.select(key, borrower_type(F.col("text")).alias("borrower_type")).where("borrower_type IS NOT NULL")
 
 
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_DATE = r"(?i)\b(?:([0-9]{1,2})(?:st|nd|rd|th)?\s+(?:day of\s+)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*,?\s+([0-9]{4})|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+([0-9]{1,2}),?\s+([0-9]{4})|([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}))\b"
+#: Dates as they are written, in the order in which they are looked for, and which group is
+#: the day, the month and the year.
+DATES = (
+    (r"\b([0-9]{1,2})[stndrh]{0,2}\s+([A-Za-z]{3,9})[,\s]+([0-9]{4})\b", (1, 2, 3)),
+    (r"\b([A-Za-z]{3,9})\s+([0-9]{1,2})[stndrh]{0,2}[,\s]+([0-9]{4})\b", (2, 1, 3)),
+    (r"\b([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})\b", (1, 2, 3)),
+)
+
+
+def matches_at(text: Column, pattern: str) -> Column:
+    """Array of (m, p): each match of a pattern and its position (from 1)."""
+    found, between = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern)
+    start = F.struct(F.array().cast("array<struct<m:string,p:int>>").alias("a"), F.lit(1).alias("n"))
+    both = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
 
+    def step(s: Column, x: Column) -> Column:
+        at = s["n"] + x["b"]
+        return F.struct(F.concat(s["a"], F.array(F.struct(x["m"].alias("m"), at.cast("int").alias("p")))).alias("a"), (at + F.length(x["m"])).cast("int").alias("n"))
 
-def _date(written: Column) -> Column:
-    g = lambda i: F.regexp_extract(written, _DATE, i)
-    month = lambda name: F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(name, 1, 3))).cast("int")
-    first = lambda *cs: F.coalesce(*(F.when(c != "", c) for c in cs))
-    year, day = first(g(3), g(6), g(9)), first(g(1), g(5), g(7))
-    m = F.coalesce(F.when(g(2) != "", month(g(2))), F.when(g(4) != "", month(g(4))), F.try_to_number(g(8), F.lit("99")).cast("int"))
-    return F.try_to_date(F.concat_ws("-", year, F.lpad(m.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+    return F.aggregate(both, start, step, lambda s: s["a"])
+
+
+def _written_date(written: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
+    day, month, year = (F.regexp_extract(written, pattern, g) for g in groups)
+    named = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(F.substring(month, 1, 3))).cast("string")
+    number = F.when(month.rlike("^[0-9]"), month).otherwise(F.when(named != "0", named))
+    return F.try_to_date(F.concat(year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
+def first_date(zone: Column) -> Column:
+    """First real date of a text that no citation cue stands before: those with a month's
+    name first, the day before it or after it, then those in figures."""
+    found = []
+    for pattern, groups in DATES:
+        free = F.filter(matches_at(zone, pattern), lambda x: ~quoted_at(zone, x["p"]))
+        days = F.filter(F.transform(free, lambda x: _written_date(x["m"], pattern, groups)), lambda d: d.isNotNull())  # noqa: B023
+        found.append(F.get(days, F.lit(0)))
+    return F.coalesce(*found)
 
 
 def detect_agreement_date(text: Column) -> Column:
     """First date not quoted from a regulation in the first 2,500 characters, else in the
     last 1,200 of a longer text."""
-
-    def first_in(zone: Column) -> Column:
-        whole = F.regexp_extract_all(zone, F.lit(_DATE), F.lit(0))
-        real = F.filter(whole, lambda d: ~quoted_at(zone, F.instr(zone, d)) & _date(d).isNotNull())
-        return F.get(F.transform(real, _date), F.lit(0))
-
-    tail = F.when(F.length(text) > 2500, first_in(F.substring(text, -1200, 1200)))
-    return F.coalesce(first_in(F.substring(text, 1, 2500)), tail)
+    tail = F.when(F.length(text) > DATE_ZONE, first_date(F.substring(text, -TAIL_ZONE, TAIL_ZONE)))
+    return F.coalesce(first_date(F.substring(text, 1, DATE_ZONE)), tail)
 
 
-#: Cues of an amendment and the evidence they are.
+# Cues of an amendment and the evidence they are, in order; what dates follow.
 CUES = (
-    ("names_amendment", r"(?i)\bamendment (?:agreement|letter|no)\b"), ("names_amendment", r"(?i)\bfirst|second|third amendment\b"),
-    ("amends_base", r"(?i)\b(?:amends?|modif(?:y|ies)|var(?:y|ies)) the (?:loan|facility|original) agreement\b"),
-    ("base_dated", r"(?i)\boriginal agreement dated\b|\bagreement dated\b"),
-    ("supplemental", r"(?i)\bsupplement(?:al|ary) to\b"), ("replaces", r"(?i)\bshall be (?:replaced|substituted)\b"),
-    ("deletes", r"(?i)\b(?:is|stands|shall be) deleted\b"), ("carries_forward", r"(?i)\bother terms\b.{0,40}\bunchanged\b"), ("effective", r"(?i)\bwith effect from\b"),
-)
+    ("carry-forward clause", r"(?i)save as (?:expressly |otherwise )?(?:revised|amended|varied)"),
+    ("carry-forward clause", r"(?i)continue in full force"),
+    ("carry-forward clause", r"(?i)(?:remain|continue)s? (?:unchanged|in effect|to apply)"),
+    ("not restated", r"(?i)not restated in this document"),
+    ("names a base agreement", r"(?i)\boriginal agreement\b"),
+    ("revision summary", r"(?i)summary of revisions?"),
+    ("per-clause revision", r"(?i)this revises clause\b"),
+    ("version marker", r"(?i)\brevised\s*[-–—]?\s*version\s*[0-9]+"),
+    ("stands revised", r"(?i)stands? revised\b"),
+)
+EFFECTIVE_FROM = (
+    r"(?i)this revision effective\s*:?\s*([^\n|]{6,40})",
+    r"(?i)with effect from\s+([^\n,.;|]{6,40})",
+    r"(?i)effective\s+(?:from\s+)?([0-9]{1,2}\s+\w+\s+[0-9]{4})",
+)
+BASE_DATED = (
+    r"(?i)original agreement dated\s*:?\s*([^\n|]{6,40})",
+    r"(?i)agreement dated\s+([0-9]{1,2}\s+\w+\s+[0-9]{4})",
+)
 
 
 def amendment_evidence(text: Column) -> Column:
-    """Distinct labels of the cues in the first 6,000 characters."""
-    zone = F.substring(text, 1, 6000)
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(zone.rlike(p), F.lit(label)) for label, p in CUES)))))
+    """Distinct labels of the cues in the first 6,000 characters, in the cues' order."""
+    zone = F.substring(text, 1, AMENDMENT_ZONE)
+    return F.array_distinct(F.array_compact(F.array(*(F.when(zone.rlike(p), F.lit(label)) for label, p in CUES))))
+
+
+def _first_match(text: Column, patterns: tuple[str, ...]) -> Column:
+    found = [F.regexp_extract(text, p, 1) for p in patterns]
+    return F.coalesce(*(F.when(x != "", x) for x in found))
 
 
 def detect_amendment(text: Column, kind: Column) -> Column:
     """Struct of account number, base and effective date and evidence, if the document is a
     loan agreement with two or more kinds of evidence; else null."""
+    head = F.substring(text, 1, AMENDMENT_ZONE)
     found = amendment_evidence(text)
-    account = F.regexp_extract(text, r"(?i)\b(?:loan )?account (?:no|number)\.?\s*:?\s*([A-Z0-9][A-Z0-9/-]{3,})", 1)
-    dated = lambda cue: _date(F.regexp_extract(text, rf"(?i){cue}\s+([^.\n]{{6,40}})", 1))
-    target = F.struct(F.when(account != "", account).alias("loan_account_number"), dated("agreement dated").alias("base_dated"), dated("with effect from").alias("effective_from"), found.alias("evidence"))
-    return F.when((kind == "loan_agreement") & (F.size(found) >= 2), target)
+    account = _first_match(head, (_ACCOUNT,))
+    target = F.struct(
+        account.alias("loan_account_number"), detect_agreement_date(_first_match(head, BASE_DATED)).alias("base_dated"),
+        detect_agreement_date(_first_match(head, EFFECTIVE_FROM)).alias("effective_from"), found.alias("evidence"),
+    )
+    return F.when((kind == "loan_agreement") & (F.size(found) >= EVIDENCE), target)
 
 
 def document_key(text: Column, filename: Column) -> Column:
     """``loan-`` and the account number, or ``doc-`` and the file's stem, as a slug."""
-    account = F.regexp_extract(text, r"(?i)\b(?:loan )?account (?:no|number)\.?\s*:?\s*([A-Z0-9][A-Z0-9/-]{3,})", 1)
-    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-    return F.when(account != "", F.concat(F.lit("loan-"), slug(account))).otherwise(F.concat(F.lit("doc-"), slug(F.regexp_replace(filename, r"\.[^.]*$", ""))))
+    account = _first_match(text, (_ACCOUNT,))
+    slug = lambda c: F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", "")
+    return F.when(account.isNotNull(), F.concat(F.lit("loan-"), slug(account))).otherwise(F.concat(F.lit("doc-"), F.lower(slug(F.regexp_replace(filename, r"\.[^.]*$", "")))))
 
 
 def resolve_metadata(kind: Column, hint: Column, detected: Column) -> Column:
     """A hint wins; detectors say nothing about circulars."""
-    return F.coalesce(hint, F.when(kind != "circular", detected))
+    return F.coalesce(hint, F.when(kind != "rbi_circular", detected))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import materialize
 
 # fixed values: BM25, fusion weights, near-duplicate threshold, reserved places
 K1, B = 1.5, 0.75
@@ -21,8 +22,19 @@ NEAR_DUPLICATE = 0.92
 QUERY_BLOCK = 1000
 RESERVED = 4
 
-_MONEY = r"(?i)\b(how much|rate|charge|fee|cost|amount|interest|penalty|percent|emi)\b|%"
-_REGULATORY = r"(?i)\b(rbi|regulation|regulator|circular|guideline|direction|law|legal|allowed|permitted)\b"
+# Questions about money and about what is permitted, passages that state a
+# figure or only point elsewhere, and what each is worth.
+_MONEY = (
+    r"(?i)\b(charge|charges|fee|fees|cost|costs|rate|penalty|penal|percent|%|rs|rupees|how much|amount|emi|premium|lock-?in|period|months?|years?)\b"
+)
+_REGULATORY = (
+    r"(?i)\b(allowed|permitted|permissible|legal|lawful|is it legal|rbi|reserve bank|regulations?|rules?|compliant|complies|comply|entitled to charge|"
+    r"are they allowed|supposed to)\b"
+)
+_HAS_FIGURE = r"(?i)(?:[0-9]+(?:\.[0-9]+)?\s*%|rs\.?\s*[0-9,]+|[0-9]+\s*(?:months?|days?|years?))"
+_CROSS_REFERENCE = r"(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:refer|please refer|see|as (?:set out|specified|provided))\b"
+OVERSIZED = 1200
+BONUS = {"document": 0.06, "document_asked_rules": 0.03, "corpus_asked_rules": 0.10, "cross_reference": -0.08, "oversized": -0.05, "figure": 0.05, "numbered": 0.02, "topic": 0.12}
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,28 +73,37 @@ def dense_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+
+
 def bm25(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     """query_id, chunk_id, bm25 of candidates (query_id, chunk_id, text) for questions
     (query_id, question). N, document frequencies and the average length are those of
-    each query's candidates; a term that a question repeats counts as often."""
-    docs = candidates.select("query_id", "chunk_id", X.tokens(F.col("text")).alias("t"))
-    docs = docs.withColumn("len", F.size("t"))
-    per_query = docs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    tf = docs.select("query_id", "chunk_id", "len", F.explode("t").alias("term")).groupBy("query_id", "chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    asked = questions.select("query_id", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    hits = tf.join(asked, ["query_id", "term"])
-    df = hits.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    return _bm25_sum(hits.join(df, ["query_id", "term"]).join(per_query, "query_id"))
+    each query's candidates; a term that a question repeats counts as often.
+
+    Texts are cut into tokens once: what is kept of them, a row for each asked term in a
+    text and one for the text itself, is a table that all sums are taken from."""
+    docs = candidates.select("query_id", "chunk_id", X.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    every = docs.select("query_id", "chunk_id", "len", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    hits = every.join(_asked(questions), ["query_id", "term"], "left").where("qf IS NOT NULL OR term = ''")
+    hits = materialize(hits.groupBy("query_id", "chunk_id", "len", "term", "qf").agg(F.count(F.lit(1)).alias("tf")), "bm25-hits")
+    own, texts = hits.where("term <> ''"), hits.where("term = ''")
+    per_query = texts.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    df = own.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    return _bm25_sum(own.join(df, ["query_id", "term"]).join(per_query, "query_id"))
 
 
 def bm25_corpus(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """As bm25(), all queries sharing one candidate set (chunk_id, text). Only terms that
-    some question asks are shuffled."""
+    some question asks are shuffled and kept."""
     docs = corpus.select("chunk_id", X.tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    asked = questions.select("query_id", F.explode(X.tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    tf = docs.select("chunk_id", "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = _asked(questions)
+    wanted = asked.select("term").distinct().withColumn("_wanted", F.lit(True))
+    every = docs.select("chunk_id", "len", F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    hits = every.join(wanted, "term", "left").where("_wanted OR term = ''")
+    hits = materialize(hits.groupBy("chunk_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "bm25-hits")
+    tf, whole = hits.where("term <> ''"), hits.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return _bm25_sum(tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(whole)))
 
@@ -129,16 +150,15 @@ def topic_overlap(question_tokens: Column, topic_tokens: Column) -> Column:
 
 def rerank_bonus(question: Column, text: Column, source_kind: Column, clause_number: Column, overlap: Column) -> Column:
     corpus = source_kind != "user_document"
-    regulation = wants_regulation(question)
-    part = lambda cond, value: F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
-    kind = F.when(regulation, F.when(corpus, 0.10).otherwise(0.03)).otherwise(F.when(corpus, 0.0).otherwise(0.06))
+    part = lambda cond, name: F.when(cond, F.lit(BONUS[name])).otherwise(F.lit(0.0))
+    asked_rules = F.when(corpus, BONUS["corpus_asked_rules"]).otherwise(BONUS["document_asked_rules"])
     return (
-        kind
-        + part(text.rlike(r"(?i)^\W*(?:see|refer to|as per|subject to)\b[^.]{0,80}\.?\s*$"), -0.08)
-        + part(F.length(text) > 1200, -0.05)
-        + part(wants_figure(question) & text.rlike("[0-9]"), 0.05)
-        + part(F.coalesce(clause_number, F.lit("")) != "", 0.02)
-        + F.when(corpus, overlap * 0.12).otherwise(F.lit(0.0))
+        F.when(wants_regulation(question), asked_rules).otherwise(part(~corpus, "document"))
+        + part(text.rlike(_CROSS_REFERENCE), "cross_reference")
+        + part(F.length(text) > OVERSIZED, "oversized")
+        + part(wants_figure(question) & text.rlike(_HAS_FIGURE), "figure")
+        + part(F.coalesce(clause_number, F.lit("")) != "", "numbered")
+        + F.when(corpus, overlap * BONUS["topic"]).otherwise(F.lit(0.0))
     )
 
 

@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DOC = ("document_id", "version")
-# fixed values: lines at a page's edge, most characters of a running header, paragraph size
-EDGE, CHROME_LENGTH = 2, 120
-PARAGRAPH = 900
+from ..functions import text as X
 
-_DECIMAL = r"^\s*([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+[\p{L}\"'(]"
-_DECIMAL_REST = r"^\s*[0-9]{1,2}(?:\.[0-9]{1,2}){0,3}[.)]?\s+(.*)$"
-_STRUCTURAL = r"(?i)^\s*((?:schedule|annexure|appendix|article|section|part|chapter|clause)\s+[0-9A-Za-z.]+)"
+DOC = ("document_id", "version")
+# Lines at a page's edge, most characters of a running header, paragraph size,
+# words of a heading, and how clauses start.
+EDGE, CHROME_LENGTH, PARAGRAPH, HEADING_WORDS, LEAST_CLAUSES = 2, 120, 900, 12, 3
+_NUMBERED = r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+([A-Za-z\"'(].*)$"
+_STRUCTURAL = r"(?i)^((?:SCHEDULE|ANNEXURE|ANNEX|APPENDIX|PART|SECTION|ARTICLE|CLAUSE)(?:\s+[IVXLC0-9]+[A-Z]?)?)\b[:.\-\s]*(.*)$"
 
 
 def strip_running_headers(lines: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
@@ -45,41 +45,44 @@ def is_capitalised_heading(line: Column) -> Column:
 
 
 def looks_like_heading(text: Column) -> Column:
-    """A one-line clause that is only a title: no closing mark, few words, no figure, no
-    ``label: value``."""
-    t = F.trim(text)
-    rest = F.regexp_replace(t, r"^\s*[0-9.]+[.)]?\s*", "")
-    return ~t.rlike(r"[.;:,]$") & (F.size(F.split(rest, r"\s+")) <= 12) & ~rest.rlike(r"\S\s*:\s*\S") & ~rest.rlike("[0-9]") & (F.length(rest) > 0)
+    """Whether a lone line is only a title: no closing mark, few words beside its number, no
+    figure, no ``label: value``."""
+    t = X.strip(text)
+    numbered, structural = F.regexp_extract(t, _NUMBERED, 2), F.regexp_extract(t, _STRUCTURAL, 1)
+    rest = F.when(numbered != "", numbered).when(structural != "", F.regexp_extract(t, _STRUCTURAL, 2)).otherwise(t)
+    return (F.length(t) > 0) & ~t.rlike(r"[.;:,]$") & (F.size(F.split(X.strip(rest), r"\s+")) <= HEADING_WORDS) & ~rest.rlike(r":\s*\S") & ~rest.rlike("[0-9]")
 
 
 def find_starts(lines: DataFrame) -> DataFrame:
-    """lines with is_start, number, start_heading."""
-    t = F.col("text")
-    decimal = F.regexp_extract(t, _DECIMAL, 1)
-    word = F.regexp_extract(t, _STRUCTURAL, 1)
-    structural = (word != "") & ((F.upper(t) == t) | (F.length(F.trim(t)) <= 90))
-    declared = F.coalesce(F.col("is_heading"), F.lit(False))
-    head = declared | is_capitalised_heading(t)
-    number = F.when(decimal != "", decimal).when(structural, F.upper(word))
+    """lines with is_start, number, start_heading and is_decimal (a number that was not
+    declared a heading)."""
+    t = X.strip(F.col("text"))
+    decimal, word = F.regexp_extract(t, _NUMBERED, 1), F.regexp_extract(t, _STRUCTURAL, 1)
+    declared = F.coalesce(F.col("is_heading"), F.lit(False)) & (F.length(t) > 0)
+    structural = (word != "") & ((F.upper(t) == t) | (F.length(t) <= 90))
+    capital = is_capitalised_heading(t)
+    title = F.when(declared, t).when(decimal != "", F.when(looks_like_heading(t), X.strip(F.regexp_extract(t, _NUMBERED, 2)))).when(structural | capital, t)
     return lines.withColumns({
-        "is_start": (F.length(F.trim(t)) > 0) & (declared | (decimal != "") | structural | head),
-        "number": number,
-        "start_heading": F.when(declared | structural | ((decimal == "") & head), F.trim(t)),
-        "is_decimal": decimal != "",
+        "is_start": declared | (decimal != "") | structural | capital,
+        "number": F.when(decimal != "", decimal).when(declared & (word != ""), word).when(structural, F.upper(word)),
+        "start_heading": title,
+        "is_decimal": ~declared & (decimal != ""),
+        "is_declared": declared,
     })
 
 
 def blocks(started: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
-    """One row a block: from a start to before the next; block 0 is what stands before."""
+    """One row a block: from a start to before the next; block 0 is what stands before.
+    has_body: whether a line after the first has text."""
     order = W.partitionBy(*key).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
     rows = started.withColumn("block", F.sum(F.col("is_start").cast("int")).over(order))
     first = lambda c: F.min_by(c, "line_no").alias(c)
     out = rows.groupBy(*key, "block").agg(
         F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("_l"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
-        F.bool_or("is_ocr").alias("is_ocr"), first("number"), first("start_heading"), first("is_decimal"),
+        F.bool_or("is_ocr").alias("is_ocr"), first("number"), first("start_heading"), first("is_decimal"), first("is_declared"),
     )
-    text = F.regexp_replace(F.array_join(F.transform("_l", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
-    return out.withColumn("text", text).drop("_l").where(F.length("text") > 0)
+    text = X.strip(F.array_join(F.transform("_l", lambda x: x["text"]), "\n"))
+    return out.withColumns({"text": text, "has_body": text.contains("\n")}).drop("_l").where(F.length("text") > 0)
 
 
 def promote_headings(rows: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
@@ -87,48 +90,51 @@ def promote_headings(rows: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
     join to a section, which holds for the blocks until the next; a structural block that
     isn't a number ends it."""
     w = W.partitionBy(*key).orderBy("block")
-    # the title of what is only a title, without its number
-    title = F.trim(F.regexp_replace("text", r"^\s*[0-9.]+[.)]?\s+", ""))
-    bare = (F.col("block") > 0) & ~F.col("text").contains("\n") & looks_like_heading(F.col("text")) & F.lead("block").over(w).isNotNull()
-    rows = rows.withColumn("_bare", bare).withColumn("_title", title)
-    change = F.col("_bare") & ~F.coalesce(F.lag("_bare").over(w), F.lit(False))
-    reset = ~F.col("_bare") & F.col("number").isNotNull() & ~F.col("is_decimal")
+    heading_only = F.col("is_declared") | looks_like_heading(F.col("text"))
+    bare = (F.col("block") > 0) & ~F.col("has_body") & heading_only & F.lead("block").over(w).isNotNull()
+    rows = rows.withColumn("_bare", bare)
+    after_bare = F.coalesce(F.lag("_bare").over(w), F.lit(False))
+    reset = ~F.col("_bare") & ~after_bare & F.coalesce(~F.col("number").rlike("^[0-9]"), F.lit(False))
+    change = F.col("_bare") & ~after_bare
     run = F.sum((change | reset).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("_run", run)
-    titles = F.filter(F.collect_list(F.when(F.col("_bare"), F.col("_title"))).over(W.partitionBy(*key, "_run").orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), lambda x: x.isNotNull())
+    title = F.coalesce("start_heading", "text")
+    titles = F.filter(F.collect_list(F.when(F.col("_bare"), title)).over(W.partitionBy(*key, "_run").orderBy("block").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), lambda x: x.isNotNull())
     rows = rows.withColumn("section", F.array_join(titles, " / "))
     kept = rows.where(~F.col("_bare"))
     heading = F.concat_ws(" / ", F.when(F.col("section") != "", F.col("section")), "start_heading")
-    return kept.withColumn("heading", F.when(heading != "", heading)).drop("_bare", "_title", "_run", "section")
+    return kept.withColumn("heading", F.when(heading != "", heading)).drop("_bare", "_run", "section")
 
 
 def paragraphs(lines: DataFrame, key: tuple[str, ...] = DOC, target: int = PARAGRAPH) -> DataFrame:
-    """Fallback: non-blank lines gather until a blank line follows at target characters."""
+    """Fallback: non-blank lines gather until a blank line follows at target characters (line
+    ends not counted)."""
     packed = lines.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line_no", "text", "page", F.coalesce("is_ocr", F.lit(False)).alias("o")))).alias("l"))
-    kind = "struct<done:array<struct<text:string,p:int,q:int,o:boolean>>,cur:struct<text:string,p:int,q:int,o:boolean>>"
-    none = F.lit(None).cast("struct<text:string,p:int,q:int,o:boolean>")
+    one = "struct<text:string,n:int,p:int,q:int,o:boolean>"
+    kind = f"struct<done:array<{one}>,cur:{one}>"
+    none = F.lit(None).cast(one)
 
     def step(s: Column, x: Column) -> Column:
-        blank = F.length(F.trim(x["text"])) == 0
+        blank = F.length(X.strip(x["text"])) == 0
         cur = s["cur"]
-        full = cur.isNotNull() & (F.length(cur["text"]) >= target)
+        full = cur.isNotNull() & (cur["n"] >= target)
         grown = F.struct(
             F.when(cur.isNull(), x["text"]).otherwise(F.concat(cur["text"], F.lit("\n"), x["text"])).alias("text"),
-            F.coalesce(cur["p"], x["page"]).cast("int").alias("p"), x["page"].cast("int").alias("q"), (F.coalesce(cur["o"], F.lit(False)) | x["o"]).alias("o"),
+            (F.coalesce(cur["n"], F.lit(0)) + F.length(x["text"])).cast("int").alias("n"), F.coalesce(cur["p"], x["page"]).cast("int").alias("p"), x["page"].cast("int").alias("q"), (F.coalesce(cur["o"], F.lit(False)) | x["o"]).alias("o"),
         )
         flushed = F.struct(F.concat(s["done"], F.array(cur)).alias("done"), none.alias("cur"))
         return F.when(blank & full, flushed.cast(kind)).when(blank, s).otherwise(F.struct(s["done"].alias("done"), grown.alias("cur")).cast(kind))
 
-    start = F.struct(F.array().cast("array<struct<text:string,p:int,q:int,o:boolean>>").alias("done"), none.alias("cur")).cast(kind)
+    start = F.struct(F.array().cast(f"array<{one}>").alias("done"), none.alias("cur")).cast(kind)
     end = lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"])))
     parts = packed.select(*key, F.posexplode(F.aggregate("l", start, step, end)).alias("block", "x"))
-    return parts.select(*key, "block", F.trim("x.text").alias("text"), F.col("x.p").alias("page_start"), F.col("x.q").alias("page_end"), F.col("x.o").alias("is_ocr"))
+    return parts.select(*key, "block", X.strip(F.col("x.text")).alias("text"), F.col("x.p").alias("page_start"), F.col("x.q").alias("page_end"), F.col("x.o").alias("is_ocr"))
 
 
 def pages(lines: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
     """Fallback: a clause a page."""
     out = lines.groupBy(*key, "page").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"), F.bool_or("is_ocr").alias("is_ocr"))
-    text = F.regexp_replace(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), r"^\s+|\s+$", "")
+    text = X.strip(F.array_join(F.transform("l", lambda x: x["text"]), "\n"))
     return out.select(*key, F.col("page").alias("block"), text.alias("text"), F.col("page").alias("page_start"), F.col("page").alias("page_end"), "is_ocr").where(F.length("text") > 0)
 
 
@@ -137,15 +143,16 @@ def segment(lines: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
     numbering or headings, paragraphs, pages. Columns: key, strategy, notes, ordinal,
     number, heading, text, page_start, page_end, is_ocr."""
     started = find_starts(lines)
-    numbered = started.groupBy(*key).agg((F.count_if("is_decimal") >= 3).alias("_numbered"))
+    numbered = started.groupBy(*key).agg((F.count_if("is_decimal") >= LEAST_CLAUSES).alias("_numbered"), F.bool_or("is_start").alias("_started"))
     structured = promote_headings(blocks(started, key), key).withColumn("heading", F.when(F.col("block") == 0, F.lit("Preamble")).otherwise(F.col("heading")))
     para, page = paragraphs(lines, key), pages(lines, key)
     count = lambda d, n: d.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
-    plan = numbered.join(count(structured.where("block > 0"), "_s"), list(key), "left").join(count(para, "_p"), list(key), "left")
+    plan = numbered.join(count(structured, "_s"), list(key), "left").join(count(para, "_p"), list(key), "left")
+    enough = F.col("_started") & (F.coalesce("_s", F.lit(0)) >= LEAST_CLAUSES)
     strategy = (
-        F.when((F.coalesce("_s", F.lit(0)) >= 3) & F.col("_numbered"), "clause_numbering")
-        .when(F.coalesce("_s", F.lit(0)) >= 3, "headings")
-        .when(F.coalesce("_p", F.lit(0)) >= 3, "paragraphs")
+        F.when(enough & F.col("_numbered"), "clause_numbering")
+        .when(enough, "headings")
+        .when(F.coalesce("_p", F.lit(0)) >= LEAST_CLAUSES, "paragraphs")
         .otherwise("pages")
     )
     note = {"headings": "no clause numbers found: headings were used", "paragraphs": "no clause structure found: paragraphs were used", "pages": "no structure found: pages were used"}
@@ -161,17 +168,22 @@ def segment(lines: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
     return rows.withColumn("ordinal", F.row_number().over(order) - 1).select(*key, "strategy", "notes", "ordinal", "number", "heading", "text", "page_start", "page_end", "is_ocr")
 
 
-_DULL = r"(?i)^(preamble|index|contents|table of contents|page [0-9]+|date|dated)$"
+# Headings that identify nothing; lengths of a title.
+DULL = (
+    "preamble", "search", "notifications", "master circulars", "master directions", "annex", "annexure", "schedule",
+    "more links :", "more links", "e-lms", "rss", "follow rbi",
+)
+TITLE = (6, 120)
 
 
 def titles(clauses: DataFrame, names: DataFrame, key: tuple[str, ...] = DOC) -> DataFrame:
     """key, title: the first telling heading or first line of the first five clauses, else
-    the file's name. names: key and filename."""
-    line = F.trim(F.coalesce("heading", F.element_at(F.split("text", "\n"), 1)))
-    told = F.filter(F.transform(F.split(line, " / "), F.trim), lambda p: ~p.rlike(_DULL))
-    rows = clauses.where("ordinal < 5").withColumn("_t", F.array_join(told, " / ")).where(F.length("_t").between(6, 120))
+    the file's name, else the document's id. names: key and filename."""
+    line = X.strip(F.coalesce(F.when(F.col("heading") != "", F.col("heading")), F.element_at(F.split("text", "\n"), 1)))
+    told = F.filter(F.transform(F.split(line, " / "), X.strip), lambda p: (p != "") & ~F.lower(p).isin(*DULL))
+    rows = clauses.where("ordinal < 5").withColumn("_t", F.array_join(told, " / ")).where(F.length("_t").between(*TITLE))
     best = rows.groupBy(*key).agg(F.min_by("_t", "ordinal").alias("_t"))
-    return names.join(best, list(key), "left").select(*key, F.coalesce("_t", "filename").alias("title"))
+    return names.join(best, list(key), "left").select(*key, F.coalesce("_t", F.when(F.col("filename") != "", F.col("filename")), F.col(key[0]).cast("string")).alias("title"))
 
 
 FEW, OVERSIZED, GAP_FROM = 3, 4000, 5

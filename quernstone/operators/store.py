@@ -107,8 +107,28 @@ def search_scope(chunks: DataFrame, embeddings: DataFrame, document_id=None, ver
     return rows.join(embeddings, "content_hash")
 
 
+def scoped(chunks: DataFrame, embeddings: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Chunks of each scope (document_id, version) with their vectors, for a table of scopes."""
+    return chunks.join(scopes, ["document_id", "version"], "left_semi").join(embeddings, "content_hash")
+
+
+def point_to_versions(chunks: DataFrame, pointers: DataFrame) -> DataFrame:
+    """As point_to_version, for a table of pointers (document_id, version, new_version): rows
+    of each version named, under the new one; ids that exist are left out."""
+    rows = chunks.join(pointers, ["document_id", "version"])
+    new = F.format_string("%s-v%d-%s", F.col("document_id"), F.col("new_version").cast("int"), F.coalesce("clause_id", "chunk_id"))
+    rows = rows.withColumns({"_id": new, "version": F.col("new_version").cast(chunks.schema["version"].dataType)})
+    if "citation" in chunks.columns:
+        rows = rows.withColumn("citation", F.col("citation").withField("version", F.col("version")).withField("chunk_id", F.col("_id")))
+    rows = rows.withColumn("chunk_id", F.col("_id")).drop("_id", "new_version")
+    return rows.join(chunks.select("chunk_id"), "chunk_id", "left_anti").select(*chunks.columns)
+
+
 def same_clauses(clauses: DataFrame, held: DataFrame) -> DataFrame:
-    """(document_id, version) of held documents whose set of clause hashes equals that of
-    an uploaded one (upload_id)."""
+    """(upload_id, document_id, version): the first held version whose set of clause hashes
+    equals an upload's (upload_id, and document_id if it is known; else any document's)."""
     digest = lambda d, *key: d.groupBy(*key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set("content_hash")), ","), 256).alias("set_hash"))
-    return digest(clauses, "upload_id").join(digest(held, "document_id", "version"), "set_hash").select("upload_id", "document_id", "version")
+    known = ["document_id"] if "document_id" in clauses.columns else []
+    first = digest(held, "document_id", "version").groupBy(*known, "set_hash").agg(F.min(F.struct("document_id", "version")).alias("_first"))
+    found = digest(clauses, "upload_id", *known).join(first, [*known, "set_hash"])
+    return found.select("upload_id", F.col("_first.document_id").alias("document_id"), F.col("_first.version").alias("version"))

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_DELETES = r"(?i)\b(?:is|are|stands?|shall be|hereby)\s+(?:hereby\s+)?(?:deleted|omitted|removed|withdrawn)\b"
-_REFERENCE = r"(?i)\bclauses?\s+([0-9]+(?:\.[0-9]+)*(?:\s*(?:,|and|&)\s*[0-9]+(?:\.[0-9]+)*)*)"
-_CARRIES = r"(?i)\b(?:remains?|continues?)\s+(?:unchanged|unaltered|in (?:full )?force)\b|\ball other (?:terms|clauses|provisions)\b"
-_PARTIAL = r"(?i)\bonly (?:the )?(?:following )?(?:rows?|items?|entries)\b"
+# How an amendment says that clauses are deleted, carried forward, restated in
+# part or replaced, and the format of clause ids (renumber).
+_DELETES = r"(?i)\b(?:is|are|stand|stands)\s+(?:hereby\s+)?(?:deleted|superseded|withdrawn|of no further effect)\b"
+_NUMBER = r"[0-9]{1,2}(?:\.[0-9]{1,2})*"
+_REFERENCE = rf"(?i)clauses?\s+({_NUMBER}(?:\s*(?:,|and|&)\s*{_NUMBER})*)"
+_CARRIES = r"(?i)all other\b[^.]{0,200}?\b(?:remain|continue)s?\b[^.]{0,40}?(?:unchanged|in full force|in effect|to apply)"
+_PARTIAL = r"(?i)only\s+(?:the\s+)?(?:rows?|items?|entries|charges)\s+(?:changed|revised|amended|shown)"
 
 
 def deleted_numbers(text: Column) -> Column:
     """Numbers of clauses that a text says are deleted, distinct and sorted as strings."""
     sentences = F.split(F.regexp_replace(text, r"([.;])\s+", "$1\u0001"), "\u0001")
     lists = F.transform(F.filter(sentences, lambda s: s.rlike(_DELETES)), lambda s: F.array_join(F.regexp_extract_all(s, F.lit(_REFERENCE), F.lit(1)), " "))
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(lists, " "), F.lit(r"([0-9]+(?:\.[0-9]+)*)"), F.lit(1))))
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.array_join(lists, " "), F.lit(f"({_NUMBER})"), F.lit(1))))
 
 
 def is_carry_forward(text: Column) -> Column:
@@ -29,7 +32,7 @@ def is_partial_restatement(text: Column) -> Column:
 
 def replaces_as_well(text: Column) -> Column:
     t = F.lower(text)
-    return t.contains("replaced") | t.contains("substituted") | t.contains("supersede")
+    return t.contains("replaced as follows") | t.contains("substituted")
 
 
 def sort_key(number: Column, ordinal: Column) -> list[Column]:
@@ -50,55 +53,67 @@ def resolve_standalone(clauses: DataFrame) -> DataFrame:
     return renumber(clauses.withColumn("operation", F.lit("added")))
 
 
+def _text_of(clauses: DataFrame) -> DataFrame:
+    """document_id and the text of all its clauses, in order, a line each."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"])
+    return clauses.groupBy("document_id").agg(F.array_join(lines, "\n").alias("_text"), F.max("version").alias("version"))
+
+
 def resolve_amendment(base: DataFrame, amendment: DataFrame) -> DataFrame:
     """The version that an amendment makes of its base.
 
-    base, amendment: (document_id, version, ordinal, number, text, content_hash). Returns the
-    new version's rows with operation and previous_hash; rows of operation ``deleted`` only
-    record what went and have no ordinal or id.
+    base, amendment: (document_id, version, ordinal, number, text, content_hash). Deletions
+    are what the amendment as a whole says; a clause of it that only deletes, or only says
+    that the rest stands, enacts nothing. Base clauses that it is silent about, and sections
+    that it restates in part, stay. Returns the new version's rows with operation and
+    previous_hash; rows of operation ``deleted`` only record the hash of what went and have
+    no text, ordinal or id.
     """
-    doc = "document_id"
-    first = W.partitionBy(doc, "number").orderBy("ordinal")
+    doc, number = "document_id", "number"
+    first = W.partitionBy(doc, number).orderBy("ordinal")
     known = base.where("number IS NOT NULL").withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    known = known.select(doc, "number", F.col("content_hash").alias("b_hash"), F.col("text").alias("b_text"), F.col("ordinal").alias("b_ordinal"))
-    t = F.col("text")
-    named = deleted_numbers(t)
-    own = F.array_contains(named, F.coalesce(F.col("number"), F.lit("")))
-    change = amendment.withColumn("_named", named).withColumn("_deletes", (own | (F.size(named) > 0)) & ~replaces_as_well(t) & own)
-    new = change.join(known, [doc, "number"], "left").withColumn("_has", F.col("b_hash").isNotNull())
-    carries = ~F.col("_deletes") & is_carry_forward(t) & F.col("number").isNotNull()
-    kind = (
-        F.when(F.col("_deletes"), F.when(F.col("_has"), "deleted"))
-        .when(carries, F.when(F.col("_has"), "carried_forward"))
-        .when(F.col("_has"), F.when(F.col("b_hash") == F.col("content_hash"), "carried_forward").otherwise("replaced"))
-        .otherwise("added")
-    )
-    new = new.withColumn("operation", kind).withColumn("_carries", carries)
-    version = F.max("version").over(W.partitionBy(doc))
-    new = new.withColumn("version", version)
-    taken = lambda c, o: F.when(F.col("_carries"), F.col(c)).otherwise(F.col(o))
-    stated = new.where("operation IS NOT NULL").select(
-        doc, "version", taken("b_ordinal", "ordinal").alias("ordinal"), "number", taken("b_text", "text").alias("text"), taken("b_hash", "content_hash").alias("content_hash"),
-        "operation", F.when(F.col("operation") == "replaced", F.col("b_hash")).alias("previous_hash"),
+    known = known.select(doc, number, F.col("content_hash").alias("_b_hash"), F.col("text").alias("_b_text"), F.col("ordinal").alias("_b_ordinal"))
+    whole = _text_of(amendment)
+    deleted = whole.select(doc, F.explode(deleted_numbers(F.col("_text"))).alias(number)).withColumn("_deleted", F.lit(True))
+    versions = whole.select(doc, "version")
+
+    t, own, has = F.col("text"), F.col("_deleted").isNotNull(), F.col("_b_hash").isNotNull()
+    stated = amendment.drop("version").join(versions, doc).join(deleted, [doc, number], "left").join(known, [doc, number], "left")
+    way = (
+        F.when(own & ~replaces_as_well(t), "deletes").when(F.col(number).isNotNull() & is_carry_forward(t), "carries")
+        .when(has, F.when(F.col("_b_hash") == F.col("content_hash"), "same").otherwise("replaces")).otherwise("adds")
     )
-    # deletions that another clause names
-    numbers = change.select(doc, F.explode("_named").alias("number")).distinct()
-    restated = amendment.select(doc, "number").where("number IS NOT NULL").distinct()
-    versions = amendment.groupBy(doc).agg(F.max("version").alias("version"))
-    gone = numbers.join(restated, [doc, "number"], "left_anti").join(known, [doc, "number"]).join(versions, doc)
-    gone = gone.select(doc, "version", F.col("b_ordinal").alias("ordinal"), "number", F.col("b_text").alias("text"), F.col("b_hash").alias("content_hash"), F.lit("deleted").alias("operation"), F.lit(None).cast("string").alias("previous_hash"))
+    stated = stated.withColumn("_way", way)
+    none = F.lit(None).cast("string")
+
+    def rows(of: DataFrame, operation: str, stage: int, ordinal: str, text: str, hash_: str, previous: Column = none) -> DataFrame:
+        return of.select(doc, "version", F.col(ordinal).alias("ordinal"), number, F.col(text).alias("text"), F.col(hash_).alias("content_hash"), F.lit(operation).alias("operation"), previous.alias("previous_hash"), F.lit(stage).alias("src"))
+
+    said = lambda way: stated.where(F.col("_way") == way)
+    live = rows(said("replaces"), "replaced", 1, "ordinal", "text", "content_hash", F.col("_b_hash"))
+    live = live.unionByName(rows(said("same"), "carried_forward", 1, "ordinal", "text", "content_hash")).unionByName(rows(said("adds"), "added", 1, "ordinal", "text", "content_hash"))
+    live = live.unionByName(rows(said("carries").where(has), "carried_forward", 1, "_b_ordinal", "_b_text", "_b_hash"))
     # base clauses that nothing consumed
-    consumed = restated.unionByName(numbers).distinct()
-    kept = base.drop("version").join(consumed, [doc, "number"], "left_anti").join(versions, doc)
-    kept = kept.select(doc, "version", "ordinal", "number", "text", "content_hash", F.lit("carried_forward").alias("operation"), F.lit(None).cast("string").alias("previous_hash"))
+    restated = amendment.where("number IS NOT NULL").select(doc, number).distinct()
+    consumed = restated.unionByName(deleted.select(doc, number)).distinct()
+    live = live.unionByName(rows(base.drop("version").join(consumed, [doc, number], "left_anti").join(versions, doc), "carried_forward", 2, "ordinal", "text", "content_hash"))
     # sections restated in part keep the original beside the new rows
-    partial = new.where((F.col("operation") == "replaced") & is_partial_restatement(t))
-    original = partial.select(doc, "version", F.col("b_ordinal").alias("ordinal"), "number", F.col("b_text").alias("text"), F.col("b_hash").alias("content_hash"), F.lit("carried_forward").alias("operation"), F.lit(None).cast("string").alias("previous_hash"))
-    alive = stated.where("operation <> 'deleted'").unionByName(kept)
-    original = original.join(alive.select(doc, "content_hash").distinct(), [doc, "content_hash"], "left_anti")
-    live = renumber(alive.unionByName(original))
-    dead = stated.where("operation = 'deleted'").unionByName(gone).withColumn("ordinal", F.lit(None).cast("int")).withColumn("clause_id", F.lit(None).cast("string"))
-    return live.unionByName(dead)
+    partial = stated.where(has & is_partial_restatement(t)).select(doc, "version", number, "_b_ordinal", "_b_text", "_b_hash").distinct()
+    kept = said("carries").select(doc, number).distinct()
+    live = live.unionByName(rows(partial.join(kept, [doc, number], "left_anti"), "carried_forward", 3, "_b_ordinal", "_b_text", "_b_hash"))
+    # what went: deletions that a clause announces, and those that another one names
+    named = deleted.join(restated, [doc, number], "left_anti").join(known, [doc, number]).join(versions, doc)
+    gone = said("deletes").where(has).select(doc, "version", number, "_b_hash").unionByName(named.select(doc, "version", number, "_b_hash"))
+    kind = base.schema["ordinal"].dataType
+    dead = gone.select(doc, "version", F.lit(None).cast(kind).alias("ordinal"), number, none.alias("text"), none.alias("content_hash"), F.lit("deleted").alias("operation"), F.col("_b_hash").alias("previous_hash"))
+    return renumber(live).drop("src").unionByName(dead.withColumn("clause_id", none))
+
+
+def partial_notes(amendment: DataFrame) -> DataFrame:
+    """document_id, numbers: the sections that an amendment restates only in part, in order;
+    both versions of these stay in the resolved version."""
+    rows = amendment.where(F.col("number").isNotNull() & is_partial_restatement(F.col("text")))
+    return rows.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "number"))), lambda x: x["number"]).alias("numbers"))
 
 
 def resolve_chain(base: DataFrame, amendments: list[DataFrame], save) -> DataFrame:
@@ -116,6 +131,11 @@ def embedding_required(resolved: DataFrame) -> DataFrame:
     return resolved.where(F.col("operation").isin("added", "replaced")).select("document_id", "version", "content_hash").distinct()
 
 
+def reused(resolved: DataFrame) -> DataFrame:
+    """(document_id, version, content_hash) whose vector the version takes over."""
+    return resolved.where("operation = 'carried_forward'").select("document_id", "version", "content_hash").distinct()
+
+
 def diff(earlier: DataFrame, later: DataFrame, key: list[str]) -> DataFrame:
     """Hashes of two versions (key.., content_hash) by side: added, removed, unchanged."""
     a = earlier.select(*key, "content_hash").distinct().withColumn("_a", F.lit(1))

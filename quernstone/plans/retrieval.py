@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieve as R
+from ..scratch import materialize
 from . import base as P
 
 TOP_K, TOP_N = 32, 8
@@ -52,12 +53,19 @@ def _vector_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The dense candidates with their texts: top k rows a query, a table that all steps read."""
     dense = R.dense_topk(P.vector_queries(spark, sf), P.vectors(spark, sf), TOP_K)
-    return dense.join(P.chunks(spark, sf), "chunk_id")
+    return materialize(dense.join(P.chunks(spark, sf), "chunk_id"), "candidates")
+
+
+def _scored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and their lexical scores."""
+    c = _candidates(spark, sf)
+    return c, R.bm25(_vector_questions(spark, sf), c.select("query_id", "chunk_id", "text"))
 
 
 def bm25_over_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25(_vector_questions(spark, sf), _candidates(spark, sf).select("query_id", "chunk_id", "text"))
+    return _scored(spark, sf)[1]
 
 
 CANDIDATES_SQL = _cosine_sql(TOP_K) + f""",
@@ -73,8 +81,8 @@ cbm AS (SELECT query_id, chunk_id, round(sum(qf * ln(1 + (n - df + 0.5) / (df +
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    c = _candidates(spark, sf)
-    return R.fuse(c.join(bm25_over_candidates(spark, sf), ["query_id", "chunk_id"], "left"))
+    c, lexical = _scored(spark, sf)
+    return R.fuse(c.join(lexical, ["query_id", "chunk_id"], "left"))
 
 
 def minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,29 +96,27 @@ fused AS (SELECT *, round({R.DENSE_WEIGHT} * CASE WHEN dh - dl < 1e-9 THEN 0 ELS
                        + {R.LEXICAL_WEIGHT} * CASE WHEN bh - bl < 1e-9 THEN 0 ELSE (bm25 - bl) / (bh - bl) END, 6) AS fused FROM f1)"""
 
 
-def _topics() -> F.Column:
-    """Topic words of a corpus document, as a manifest would list them."""
-    return F.array_distinct(X.tokens(F.concat_ws(" ", F.lit("rate charge document"), F.substring("text", 1, 200))))
+#: What every document of the manifest declares as a topic beside its own words.
+_DECLARED = "rate charge document"
 
 
 def rerank_bonus(spark: SparkSession, sf: str) -> DataFrame:
-    q = P.questions(spark, sf)
-    c = P.chunks(spark, sf)
+    q, c = P.questions(spark, sf), P.chunks(spark, sf)
     hits = bm25_topk(spark, sf).select("query_id", "chunk_id").join(q, "query_id").join(c, "chunk_id")
-    overlap = R.topic_overlap(X.tokens(F.col("question")), _topics())
+    topics = F.array_distinct(X.tokens(F.concat_ws(" ", F.lit(_DECLARED), "text")))
+    overlap = R.topic_overlap(X.tokens(F.col("question")), topics)
     bonus = R.rerank_bonus(F.col("question"), F.col("text"), F.col("source_kind"), F.when(F.col("chunk_id") % 3 == 0, "1.1"), overlap)
     return hits.select("query_id", "chunk_id", F.round(bonus, 4).alias("bonus"), F.round(overlap.cast("double"), 4).alias("overlap"))
 
 
 def topic_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    q = P.questions(spark, sf)
-    c = P.chunks(spark, sf).where("source_kind = 'corpus'").groupBy("document_id").agg(F.min_by("text", "chunk_id").alias("text"))
-    topics = c.select("document_id", _topics().alias("topics"))
-    pairs = q.select("query_id", X.tokens(F.col("question")).alias("t")).join(topics)
-    return pairs.select("query_id", "document_id", F.round(R.topic_overlap(F.col("t"), F.col("topics")).cast("double"), 4).alias("overlap"))
-
-
-TOPICS_SQL = "list_distinct(" + P.tokens_sql("'rate charge document ' || substr(text, 1, 200)") + ")"
+    """Share of each question's tokens among the topics of each corpus document (a source,
+    all its texts): questions' terms meet documents' terms, so no pair without one is made."""
+    asked = P.questions(spark, sf).select("query_id", F.array_distinct(X.tokens(F.col("question"))).alias("t")).withColumn("n", F.size("t"))
+    corpus = P.chunks(spark, sf).where("source_kind = 'corpus'")
+    words = corpus.select("document_id", F.explode(F.array_distinct(X.tokens(F.concat_ws(" ", F.lit(_DECLARED), "text")))).alias("w")).distinct()
+    met = asked.select("query_id", "n", F.explode("t").alias("w")).join(words, "w")
+    return met.groupBy("query_id", "document_id").agg(F.round(F.count(F.lit(1)) / F.first("n"), 4).alias("overlap"))
 
 
 def jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,16 +160,15 @@ merged AS (SELECT query_id, chunk_id, source_kind, dense, fused, row_number() OV
 
 
 def evidence_gate(spark: SparkSession, sf: str) -> DataFrame:
-    merged = R.reserved_merge(_fused(spark, sf), TOP_N)
-    dense = _candidates(spark, sf).select("query_id", "chunk_id", "dense")
-    passages = merged.join(dense, ["query_id", "chunk_id"])
+    fused = materialize(_fused(spark, sf).select("query_id", "chunk_id", "source_kind", "dense", "fused"), "fused")
+    passages = R.reserved_merge(fused, TOP_N).join(fused.select("query_id", "chunk_id", "dense"), ["query_id", "chunk_id"])
     everyone = P.vectors(spark, sf).select(F.col("chunk_id").alias("query_id"))
     return R.gate(everyone, passages)
 
 
 def hybrid_answer(spark: SparkSession, sf: str) -> DataFrame:
     """The whole answer path: candidates, fusion, near-duplicates, reserved places."""
-    ranked = _ranked(spark, sf)
+    ranked = materialize(_ranked(spark, sf).select("query_id", "chunk_id", "rank", "text", "source_kind", "fused"), "ranked")
     kept = R.drop_near_duplicates(ranked, TOP_N).select("query_id", "chunk_id")
     merged = R.reserved_merge(ranked.join(kept, ["query_id", "chunk_id"]), TOP_N)
     return merged.select("query_id", "chunk_id", "source_kind", F.round("fused", 4).alias("fused"), F.col("rank").cast("bigint").alias("rank"))
@@ -189,20 +194,22 @@ SQL = {
     "cosine_topk": f"WITH {_cosine_sql(TOP_N)} SELECT query_id, chunk_id, dense, rank FROM top",
     "bm25_over_candidates": f"WITH {CANDIDATES_SQL} SELECT * FROM cbm",
     "minmax_fusion": f"WITH {FUSED_SQL} SELECT query_id, chunk_id, round(fused, 4) AS fused FROM fused",
-    "rerank_bonus": f"""WITH {BM25_SQL}, {_BM25_TOP},
+    "rerank_bonus": rf"""WITH {BM25_SQL}, {_BM25_TOP},
 h AS (SELECT bt.query_id, bt.chunk_id, b.text AS question, d.text, bt.chunk_id % 4 = 0 AS corpus, {P.tokens_sql('b.text')} AS qt,
-      list_distinct({P.tokens_sql("'rate charge document ' || substr(d.text, 1, 200)")}) AS tt
+      list_distinct({P.tokens_sql("'rate charge document ' || d.text")}) AS tt
       FROM bt JOIN benchmark b ON b.item_id = bt.query_id JOIN documents d ON d.doc_id = bt.chunk_id),
 o AS (SELECT *, CASE WHEN len(qt) > 0 THEN len(list_intersect(list_distinct(qt), tt))::DOUBLE / len(list_distinct(qt)) ELSE 0 END AS ov FROM h)
 SELECT query_id, chunk_id, round(
-  CASE WHEN regexp_matches(question, '{R._REGULATORY}') THEN CASE WHEN corpus THEN 0.10 ELSE 0.03 END ELSE CASE WHEN corpus THEN 0.0 ELSE 0.06 END END::DOUBLE
-  + CASE WHEN regexp_matches(text, '(?i)^\\W*(?:see|refer to|as per|subject to)\\b[^.]{{0,80}}\\.?\\s*$') THEN -0.08 ELSE 0 END::DOUBLE
+  CASE WHEN regexp_matches(question, '(?i)\b(allowed|permitted|permissible|legal|lawful|is it legal|rbi|reserve bank|regulations?|rules?|compliant|complies|comply|entitled to charge|are they allowed|supposed to)\b')
+    THEN CASE WHEN corpus THEN 0.10 ELSE 0.03 END ELSE CASE WHEN corpus THEN 0.0 ELSE 0.06 END END::DOUBLE
+  + CASE WHEN regexp_matches(text, '(?i)^\s*(?:[0-9]+(?:\.[0-9]+)*\s+)?(?:refer|please refer|see|as (?:set out|specified|provided))\b') THEN -0.08 ELSE 0 END::DOUBLE
   + CASE WHEN length(text) > 1200 THEN -0.05 ELSE 0 END::DOUBLE
-  + CASE WHEN regexp_matches(question, '{R._MONEY}') AND regexp_matches(text, '[0-9]') THEN 0.05 ELSE 0 END::DOUBLE
+  + CASE WHEN regexp_matches(question, '(?i)\b(charge|charges|fee|fees|cost|costs|rate|penalty|penal|percent|%|rs|rupees|how much|amount|emi|premium|lock-?in|period|months?|years?)\b')
+      AND regexp_matches(text, '(?i)(?:[0-9]+(?:\.[0-9]+)?\s*%|rs\.?\s*[0-9,]+|[0-9]+\s*(?:months?|days?|years?))') THEN 0.05 ELSE 0 END::DOUBLE
   + CASE WHEN chunk_id % 3 = 0 THEN 0.02 ELSE 0 END::DOUBLE + CASE WHEN corpus THEN ov * 0.12 ELSE 0 END, 4) AS bonus, round(ov, 4) AS overlap FROM o""",
-    "topic_overlap": f"""WITH c AS (SELECT source AS document_id, arg_min(text, doc_id) AS text FROM documents WHERE doc_id % 4 = 0 GROUP BY source),
-t AS (SELECT document_id, {TOPICS_SQL} AS tt FROM c), q AS (SELECT item_id AS query_id, list_distinct({P.tokens_sql('text')}) AS qt FROM benchmark)
-SELECT query_id, document_id, round(CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, tt))::DOUBLE / len(qt) ELSE 0 END, 4)::DOUBLE AS overlap FROM q, t""",
+    "topic_overlap": f"""WITH t AS (SELECT DISTINCT document_id, w FROM (SELECT source AS document_id, unnest({P.tokens_sql("'rate charge document ' || text")}) AS w FROM documents WHERE doc_id % 4 = 0)),
+q AS (SELECT item_id AS query_id, list_distinct({P.tokens_sql('text')}) AS qt FROM benchmark)
+SELECT query_id, document_id, round(count(*)::DOUBLE / first(len(qt)), 4)::DOUBLE AS overlap FROM (SELECT query_id, qt, unnest(qt) AS w FROM q) JOIN t USING (w) GROUP BY ALL""",
     "jaccard_pairs": f"""WITH c AS (SELECT conv_id, turn, list_distinct({P.tokens_sql("coalesce(text, '')")}) AS t FROM conversations),
 n AS (SELECT *, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM c)
 SELECT conv_id, turn, round(CASE WHEN len(t) = 0 OR len(u) = 0 THEN 0 ELSE len(list_intersect(t, u))::DOUBLE / (len(t) + len(u) - len(list_intersect(t, u))) END, 4)::DOUBLE AS jaccard FROM n WHERE u IS NOT NULL""",

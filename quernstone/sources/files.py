@@ -42,6 +42,17 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return rows.select("path", name.alias("filename"), media_type(F.col("path")).alias("media_type"), "content", F.concat(F.lit("doc-"), X.fingerprint(F.col("content"))).alias("document_id"))
 
 
+MOST_BYTES = 20 * 1024 * 1024
+
+
+def upload_status(content: Column, filename: Column) -> Column:
+    """Why an upload is refused: 400 (empty), 413 (over 20 MB) or 415 (neither PDF nor DOCX),
+    in this order; 200 if it is not."""
+    known = F.lower(filename).endswith(".pdf") | F.lower(filename).endswith(".docx")
+    size = F.coalesce(F.octet_length(content), F.lit(0))
+    return F.when(size == 0, 400).when(size > MOST_BYTES, 413).when(~F.coalesce(known, F.lit(False)), 415).otherwise(200)
+
+
 def supports(kind: str, media: Column, filename: Column) -> Column:
     suffix = f".{kind}"
     return (F.lower(media) == MEDIA[suffix]) | F.lower(filename).endswith(suffix)

@@ -46,3 +46,10 @@ def checked(entries: DataFrame) -> DataFrame:
     )
     verdict = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("manifest entry "), F.col("id"), F.lit(": "), fault))).otherwise(F.col("id"))
     return rows.withColumn("id", verdict).select(*entries.columns)
+
+
+def amendments(entries: DataFrame) -> DataFrame:
+    """id, amended_by: each entry that a later one changes, said by either of the two."""
+    told = entries.where("amended_by IS NOT NULL").select("id", "amended_by")
+    said = entries.where("amends IS NOT NULL").select(F.col("amends").alias("id"), F.col("id").alias("amended_by"))
+    return told.unionByName(said).distinct().join(entries.select("id"), "id", "left_semi")

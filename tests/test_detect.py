@@ -17,8 +17,12 @@ def one(spark, text, make):
 
 def test_kind(spark):
     assert one(spark, "LOAN AGREEMENT between", D.detect_kind) == "loan_agreement"
-    assert one(spark, "Notification about a loan agreement", D.detect_kind) == "circular"
-    assert one(spark, "x" * 800 + " key fact statement", D.detect_kind) == "key_fact_statement"
+    assert one(spark, "Notification about a loan agreement", D.detect_kind) == "rbi_circular"
+    assert one(spark, "Ref. RBI/2025-26/64 of the bank", D.detect_kind) == "rbi_circular"
+    assert one(spark, "x" * 800 + " key fact statement", D.detect_kind) == "key_facts_statement"
+    assert one(spark, "x" * 800 + " RBI/2025-26/64 loan agreement", D.detect_kind) == "loan_agreement"
+    assert one(spark, "no marks", D.detect_kind) == "unknown"
+    assert one(spark, "loan agreement", lambda t: D.detect_kind(t, F.lit("unknown"))) == "loan_agreement"
     assert one(spark, "loan agreement", lambda t: D.detect_kind(t, F.lit("hinted"))) == "hinted"
 
 
@@ -36,27 +40,45 @@ def test_loan_type(spark):
 
 
 def test_lender_and_borrower(spark):
-    text = "Alpha Housing Finance Private Limited (the lender) lends to Asha, an individual (the borrower)."
+    text = "Alpha Housing Finance Limited, a private limited company (the lender) lends to Asha, an individual (the borrower)."
     assert one(spark, text, D.detect_lender_class) == "housing_finance_company"
     assert kinds(spark, text, D.detect_borrower_type, "borrower_type") == "individual"
+    classes = {"an NBFC-MFI": "nbfc_mfi", "the NBFC": "nbfc", "Small Finance Bank, an nbfc": "nbfc", "Gramin Bank": "regional_rural_bank", "a plain bank": None}
+    assert [one(spark, t, D.detect_lender_class) for t in classes] == list(classes.values())
+    who = {"Mr. Rao, the co-borrower": "individual", "XYZ LLP with GSTIN (the Borrower)": "business", "Shri Rao of Rao Pvt Ltd (the borrower)": None, "Shri Rao": None}
+    assert [kinds(spark, t, D.detect_borrower_type, "borrower_type") for t in who] == list(who.values())
 
 
-@pytest.mark.parametrize(("text", "day"), [("dated 3rd March 2024", dt.date(2024, 3, 3)), ("March 3, 2024", dt.date(2024, 3, 3)), ("on 03/04/2024", dt.date(2024, 4, 3)), ("31/02/2024", None), ("under the circular of 1 May 2020, and " + "as both sides say " * 6 + "agreed on 2 June 2021", dt.date(2021, 6, 2)), ("none", None)])
+@pytest.mark.parametrize(("text", "day"), [("dated 3rd March 2024", dt.date(2024, 3, 3)), ("March 3, 2024", dt.date(2024, 3, 3)), ("on 03/04/2024", dt.date(2024, 4, 3)), ("31/02/2024", None), ("under the circular of 1 May 2020, and " + "as both sides say " * 6 + "agreed on 2 June 2021", dt.date(2021, 6, 2)), ("none", None),
+    ("the circular of 2 May 2020, " + "as both sides say " * 6 + "the day being 2 May 2020", dt.date(2020, 5, 2)), ("on 07/08/2021 or 3 May 2020", dt.date(2020, 5, 3)), ("x" * 2600 + " 1 May 2020" + "y" * 1300, None), ("x" * 2600 + " 1 May 2020", dt.date(2020, 5, 1))])
 def test_agreement_date(spark, text, day):
     assert one(spark, text, D.detect_agreement_date) == day
 
 
 def test_amendment(spark):
-    text = "Amendment agreement. Loan account no. AB-1234/9. The original agreement dated 1 January 2023 is varied with effect from 5 May 2024."
+    text = "Amendment agreement. Loan account no. AB-1234/9. The original agreement dated 1 January 2023 stands revised with effect from 5 May 2024."
     got = one(spark, text, lambda t: D.detect_amendment(t, F.lit("loan_agreement")))
     assert (got["loan_account_number"], got["base_dated"], got["effective_from"]) == ("AB-1234/9", dt.date(2023, 1, 1), dt.date(2024, 5, 5))
-    assert one(spark, text, lambda t: D.detect_amendment(t, F.lit("circular"))) is None
-    assert one(spark, text, lambda t: D.document_key(t, F.lit("x.pdf"))) == "loan-ab-1234-9"
+    assert got["evidence"] == ["names a base agreement", "stands revised"]
+    assert one(spark, text, lambda t: D.detect_amendment(t, F.lit("rbi_circular"))) is None
+    assert one(spark, "First of all, the second floor.", D.amendment_evidence) == []
+    assert one(spark, "the original agreement and the Original Agreement", lambda t: D.detect_amendment(t, F.lit("loan_agreement"))) is None
+    cues = {
+        "Save as expressly revised": "carry-forward clause", "all terms continue in full force": "carry-forward clause", "terms remain unchanged": "carry-forward clause",
+        "are not restated in this document": "not restated", "summary of revision": "revision summary", "This revises clause 4": "per-clause revision", "REVISED - VERSION 2": "version marker", "clause 9 stands revised": "stands revised",
+    }
+    assert [one(spark, t, D.amendment_evidence) for t in cues] == [[v] for v in cues.values()]
+    assert one(spark, text, lambda t: D.document_key(t, F.lit("x.pdf"))) == "loan-AB-1234-9"
     assert one(spark, "none", lambda t: D.document_key(t, F.lit("My File.v2.pdf"))) == "doc-my-file-v2"
 
 
 def test_deleted_numbers(spark):
     assert one(spark, "Clauses 11.4, 11.5 and 12 stand deleted. Clause 3 stays.", V.deleted_numbers) == ["11.4", "11.5", "12"]
+    said = {"Clause 2 is hereby superseded": ["2"], "clauses 3 & 4.1 are of no further effect; clause 5 is not": ["3", "4.1"], "Clause 6 shall be deleted.": [], "Clause 7 stands withdrawn": ["7"]}
+    assert [one(spark, t, V.deleted_numbers) for t in said] == list(said.values())
+    assert one(spark, "All other provisions of Clause 9 remain unchanged.", V.is_carry_forward) and not one(spark, "The rest remains in force.", V.is_carry_forward)
+    assert one(spark, "Only the rows revised appear.", V.is_partial_restatement) and not one(spark, "Only the following rows change.", V.is_partial_restatement)
+    assert one(spark, "deleted and replaced as follows: none", V.replaces_as_well) and not one(spark, "is replaced", V.replaces_as_well)
 
 
 # --- sources
@@ -116,6 +138,18 @@ def test_manifest(spark, tmp_path):
         manifest.read_manifest(spark, str(tmp_path / "m.json")).collect()
 
 
+def test_uploads_refused(spark):
+    rows = [(b"", "a.pdf"), (None, "a.pdf"), (b"x", "a.txt"), (b"x", "A.DOCX"), (b"x", None), (b"x" * (20 * 1024 * 1024 + 1), "a.txt")]
+    df = spark.createDataFrame(rows, "c binary, f string")
+    assert [r[0] for r in df.select(files.upload_status(F.col("c"), F.col("f"))).collect()] == [400, 400, 415, 200, 415, 413]
+
+
+def test_amended_by(spark):
+    rows = [("a", None, "c"), ("b", "a", None), ("c", "a", None), ("d", "z", None)]
+    df = spark.createDataFrame(rows, "id string, amends string, amended_by string")
+    assert sorted(map(tuple, manifest.amendments(df).collect())) == [("a", "b"), ("a", "c")]
+
+
 def test_ingest_twice_changes_nothing(spark, tmp_path):
     schema = "chunk_id string, content_hash string, text string"
     spark.createDataFrame([("a", "h1", "one"), ("b", "h1", "one"), ("c", "h2", "two")], schema).write.parquet(str(tmp_path / "in"))

@@ -87,16 +87,16 @@ def check(spark, text, question=""):
 def test_verification(spark):
     good = "A prepayment penalty of 12 percent applies to floating rate loans [1]."
     assert check(spark, good) == (True, "")
-    assert check(spark, good.replace("12", "18")) == (False, "figures not in the source: 18")
+    assert check(spark, good.replace("12", "18")) == (False, "states a figure its source does not contain: 18")
     assert check(spark, good.replace("12", "18"), "Is it 18 percent?")[0]
     assert check(spark, good.replace(" [1]", "")) == (False, "no citation")
-    assert check(spark, good.replace("[1]", "[99]")) == (False, "the citation points at nothing")
+    assert check(spark, good.replace("[1]", "[99]")) == (False, "citation points at nothing")
     assert not check(spark, good.replace("[1]", "[2]"))[0]
     assert check(spark, "In short, a lender decides upon everything without citation.")[0]
 
 
 def test_claims(spark):
-    said = {"A loan is money lent.": None, "The RBI caps it.": "regulatory", "Your loan costs more.": "document_specific", "Lenders must tell you.": "obligation", "It is 3 percent.": "figure"}
+    said = {"A loan is money lent.": None, "The RBI caps it.": "regulatory claim", "Your loan costs more.": "claim about the borrower's document", "Lenders must tell you.": "statement of obligation or permission", "It is 3 percent.": "specific figure"}
     df = spark.createDataFrame([(1, " ".join(said))], "id int, text string")
     assert {r["sentence"]: r["label"] for r in N.filter_claims(df, "id").collect()} == said
 

@@ -103,7 +103,7 @@ def test_split_text(spark):
 
 def test_chunks(spark):
     body = "A clause of enough length to be kept."
-    rows = [("d", 1, 0, "d-v1-c0000", body, "h0"), ("d", 1, 1, "d-v1-c0001", "too short", "h1"), ("d", 1, 2, "d-v1-c0002", "home login search sitemap contact", "h2"), ("d", 1, 3, "d-v1-c0003", (body + " ") * 80, "h3")]
+    rows = [("d", 1, 0, "d-v1-c0000", body, "h0"), ("d", 1, 1, "d-v1-c0001", "too short", "h1"), ("d", 1, 2, "d-v1-c0002", "Home | About us | Sitemap and more", "h2"), ("d", 1, 3, "d-v1-c0003", (body + " ") * 80, "h3")]
     df = spark.createDataFrame(rows, "document_id string, version int, ordinal int, clause_id string, text string, content_hash string")
     got = C.chunk_clauses(df).orderBy("ordinal").collect()
     assert got[0]["chunk_id"] == "d-v1-c0000" and got[0]["content_hash"] == "h0"
@@ -113,7 +113,7 @@ def test_chunks(spark):
 
 def test_pinned_summary_skips_what_is_unknown(spark):
     df = spark.createDataFrame([("d", 2, "Loan", None)], "document_id string, version int, title string, loan_type string")
-    assert C.pinned_summary(df).first()["summary"] == "Title: Loan\nVersion: 2"
+    assert C.pinned_summary(df).first()["summary"] == "Document: Loan\nVersion: 2"
 
 
 def test_paragraph_clauses_have_all_turns(spark):
@@ -123,11 +123,97 @@ def test_paragraph_clauses_have_all_turns(spark):
     for conv, lines_ in turns.items():
         done, cur = [], None
         for _, t in sorted(lines_):
-            if t.strip(" "):
-                cur = t if cur is None else f"{cur}\n{t}"
-            if cur is not None and len(cur) >= G.PARAGRAPH:
+            if t.strip():
+                cur = [*(cur or []), t]
+            if cur and sum(map(len, cur)) >= G.PARAGRAPH:
                 done, cur = [*done, cur], None
-        done += [cur] if cur is not None else []
+        done += [cur] if cur else []
         if done:
-            want[conv] = (len(done), sum(len(x.strip(" ")) for x in done))
+            want[conv] = (len(done), sum(len("\n".join(x).strip()) for x in done))
     assert {r["document_id"]: (r["clauses"], r["chars"]) for r in documents.paragraph_clauses(spark, sf).collect()} == want
+
+
+def starts(spark, *texts):
+    return [(r["is_start"], r["number"], r["start_heading"]) for r in G.find_starts(lines(spark, *texts)).orderBy("line_no").collect()]
+
+
+def test_clause_starts(spark):
+    got = starts(spark, "SCHEDULE OF CHARGES", "ANNEX II", "Part 3: Fees", "  12.3.1) Rate of interest", "7.5% per annum", "1,00,000 is due", "Section 21 of the Act " + "is long " * 15, "article 5", "4. FEES", "plain text")
+    assert got == [
+        (True, "SCHEDULE", "SCHEDULE OF CHARGES"), (True, "ANNEX II", "ANNEX II"), (True, "PART 3", "Part 3: Fees"), (True, "12.3.1", "Rate of interest"), (False, None, None), (False, None, None),
+        (False, None, None), (True, "ARTICLE 5", "article 5"), (True, "4", "FEES"), (False, None, None),
+    ]
+
+
+def test_looks_like_heading(spark):
+    said = {"7. DEFAULT": True, "SCHEDULE II": True, "3.1 Rate: 9": False, "Fees and charges": True, "ends here.": False, "Rate 9": False, "label: value": False, "label:": False, "": False, "one " * 13: False}
+    df = spark.createDataFrame(list(enumerate(said)), "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(G.looks_like_heading(F.col("t"))).collect()] == list(said.values())
+
+
+def walk(texts):
+    """(strategy, numbers, headings, texts) of one page's lines, one after another."""
+    import re
+
+    number = re.compile(r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})[.)]?\s+([A-Za-z\"'(].*)$")
+    word = re.compile(r"^((?:SCHEDULE|ANNEXURE|ANNEX|APPENDIX|PART|SECTION|ARTICLE|CLAUSE)(?:\s+[IVXLC0-9]+[A-Z]?)?)\b[:.\-\s]*(.*)$", re.I)
+
+    def only_title(t):
+        m, w = number.match(t), word.match(t)
+        rest = m[2] if m else w[2] if w else t
+        return bool(t) and t[-1] not in ".;:," and len(rest.split()) <= 12 and not re.search(r":\s*\S", rest) and not re.search("[0-9]", rest)
+
+    parts, decimals = [[None, None, []]], 0
+    for line in texts:
+        t = line.strip()
+        m, w = number.match(t), word.match(t)
+        caps = 3 <= len(t) <= 90 and t[-1:] != "." and len(t.split()) <= 12 and sum(map(str.isalpha, t)) >= 3 and sum(map(str.isupper, t)) >= 0.85 * sum(map(str.isalpha, t))
+        if m:
+            decimals += 1
+            parts.append([m[1], m[2].strip() if only_title(t) else None, []])
+        elif w and (t.isupper() or len(t) <= 90):
+            parts.append([w[1].upper(), t, []])
+        elif caps:
+            parts.append([None, t, []])
+        parts[-1][2].append(line)
+    front, body = parts[0], parts[1:]
+    found, pending, section = [], [], None
+    for k, (n, h, ls) in enumerate(body):
+        if not any(x.strip() for x in ls[1:]) and k + 1 < len(body) and only_title(ls[0].strip()):
+            pending.append(h or ls[0].strip())
+            continue
+        if pending:
+            section, pending = " / ".join(pending), []
+        elif n and not n[0].isdigit():
+            section = None
+        found.append((n, " / ".join(x for x in (section, h) if x) or None, "\n".join(ls).strip()))
+    if any(x.strip() for x in front[2]):
+        found.insert(0, (None, "Preamble", "\n".join(front[2]).strip()))
+    if body and len(found) >= 3:
+        return ("clause_numbering" if decimals >= 3 else "headings"), found
+    done, cur = [], []
+    for line in texts:
+        if line.strip():
+            cur.append(line)
+        elif sum(map(len, cur)) >= 900:
+            done, cur = [*done, cur], []
+    done = [(None, None, "\n".join(c).strip()) for c in [*done, cur] if c]
+    if len(done) >= 3:
+        return "paragraphs", done
+    whole = "\n".join(texts).strip()
+    return "pages", [(None, None, whole)] * bool(whole)
+
+
+def test_segmentation_against_a_walk_over_the_lines(spark):
+    import random
+
+    rng = random.Random(31)
+    pool = ["1. DEFINITIONS", "1.1 The loan is a loan.", "2. INTEREST AND FEES", "2.1 Rate: 9 percent", "2.2 Early payment", "SCHEDULE OF CHARGES", "PART A", "Part b of a sentence that is lower case", "ANNEX II", "some text", "", "  ", "more text here.", "OTHER TERMS", "CHARGES.", "3) Fees", "Section 21 of the Act"]
+    docs = {f"d{k}": [rng.choice(pool) for _ in range(rng.randint(0, 14))] for k in range(150)}
+    docs |= {f"p{k}": [rng.choice(["word " * rng.randint(20, 90), "", "tail words here"]) for _ in range(40)] for k in range(20)}
+    rows = [(d, 1, k, 1, t, False, False) for d, ts in docs.items() for k, t in enumerate(ts)]
+    got = {}
+    for r in G.segment(spark.createDataFrame(rows, LINES)).orderBy("document_id", "ordinal").collect():
+        got.setdefault(r["document_id"], (r["strategy"], []))[1].append((r["number"], r["heading"], r["text"]))
+    want = {d: w for d, ts in docs.items() if (w := walk(ts))[1]}
+    assert got == want

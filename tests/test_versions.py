@@ -35,10 +35,23 @@ def test_amendment(spark):
 
 def test_partial_restatement_keeps_the_original(spark):
     base = clauses(spark, 1, ("5", "whole fee table"), ("6", "six"))
-    out = V.resolve_amendment(base, clauses(spark, 2, ("5", "Only the following rows change: fee 3."))).where("operation <> 'deleted'")
+    out = V.resolve_amendment(base, clauses(spark, 2, ("5", "Only the rows changed are shown: fee 3."))).where("operation <> 'deleted'")
     assert sorted((r["number"], r["operation"]) for r in out.collect()) == [("5", "carried_forward"), ("5", "replaced"), ("6", "carried_forward")]
 
 
+def test_what_the_amendment_says_as_a_whole(spark):
+    """A deletion that another clause names holds for a clause that is reprinted."""
+    base = clauses(spark, 1, ("3.1", "rate nine"), ("4", "four"), ("9", "nine"))
+    change = clauses(spark, 2, ("3.1", "rate nine, as it was"), ("9", "Clause 3.1 is deleted."), ("4", "Clause 4 is hereby deleted and replaced as follows: new four."), ("7", "All other terms remain unchanged."))
+    out = V.resolve_amendment(base, change).collect()
+    assert {(r["number"], r["operation"], r["previous_hash"]) for r in out if r["operation"] in ("deleted", "replaced")} == {
+        ("3.1", "deleted", "h:rate nine"), ("9", "replaced", "h:nine"), ("4", "replaced", "h:four"),
+    }
+    assert not [r for r in out if r["number"] == "7"] and [r["content_hash"] for r in out if r["operation"] == "deleted"] == [None]
+    assert [r["numbers"] for r in V.partial_notes(change).collect()] == [["7"]]
+    assert V.reused(V.resolve_amendment(base, change)).count() == 0
+
+
 def test_chain(spark):
     base = clauses(spark, 1, ("1", "one"), ("2", "two"))
     out = V.resolve_chain(base, [clauses(spark, 2, ("2", "two b")), clauses(spark, 3, ("1", "Clause 1 is deleted."), ("3", "three"))], lambda d: d.checkpoint())
