@@ -172,6 +172,7 @@ def label_model(masks: np.ndarray, counts: np.ndarray, given: np.ndarray, part:
             excess += (left * w[:, None]).T @ left
         scale = np.sqrt(np.maximum(np.diag(excess), 1e-9))
         rho = np.clip(excess / np.outer(scale, scale), 0, 1)
+        np.fill_diagonal(rho, 1)
         odds /= rho.sum(axis=1)[:, None]  # its own correlation is the one
         logit = evidence(votes, there, odds, prior)
         was, post = post, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

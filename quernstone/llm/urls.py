@@ -6,15 +6,20 @@ rule's; the longest one decides. Other pages are judged by the words in their UR
 1. Host and path are cut into runs of letters. Each distinct run is split into words by a
    unigram Viterbi over its substrings that are known words. Word counts come from the
    pages' text and from the other runs; a run's own count as a run is no evidence that it
-   is one word. The lattice of a run is gathered by joins, so no word list is broadcast.
-2. A multinomial naive Bayes is trained on all URLs: those with a seed word of unwanted
-   sites are one class, the others the other. It scores each URL's segmented words, so
-   names that keep company with the seeds count as well.
+   is one word. The lattice of a run is gathered by joins on the run's number, so no word
+   list is broadcast and no run travels with its substrings.
+2. A URL is taken for unwanted if a word of it is a seed word of unwanted sites, or if its
+   host speaks of such things: one in ``SPEAKING`` or more of the host's pages has two seed
+   words or more, and one word in ``RARE`` or more, in its visible text. A multinomial naive Bayes is trained on all URLs with these
+   two classes and scores each URL's segmented words, so names that keep company with the
+   seeds, in URLs or on pages, count as well.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no rule and
-has no words, so the class prior decides; several pages of one URL get one verdict;
-repeated rows each give a row; runs of any length are split, into words of ``LONGEST``
-letters or fewer; an empty table gives no rows; extra columns are not read.
+has no words, so the class prior decides; null html has no words; several pages of one URL
+get one verdict; repeated rows each give a row; a score of exactly 0 allows; of equal splits
+the one with the shorter last word; runs of any length are split, into words of ``LONGEST``
+letters or fewer (longer words of the text are not counted); an empty table gives no rows;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lower_ascii, materialize, table
+from .common import bounded_batches, let, lower_ascii, materialize, table
 
 #: The contract's rules (fixed values).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -33,6 +38,9 @@ SEEDS = tuple("casino poker betting bets bet slots jackpot gamble pills pharmacy
 #: Count that a seed word has beyond what the pages say.
 SEED_COUNT = 100
 LONGEST = 20
+#: A page speaks of unwanted things from two seed words on, if they are one word in so many.
+RARE = 100
+SPEAKING = 5
 _LETTERS = r"\p{L}+"
 
 
@@ -73,16 +81,18 @@ def segment(lattice: list[tuple[int, int, float]], size: int, total: float) -> l
 
 
 def _segments(parts: DataFrame, words: DataFrame) -> DataFrame:
-    """(part, tokens) of each distinct part; words: (word, text, url) counts."""
+    """(part, tokens) of each distinct part (id, part); words: (word, text, url) counts."""
     total = float(words.agg(F.coalesce(F.sum(F.col("text") + F.col("url")), F.lit(0))).first()[0])
     n = F.length("part")
-    starts = parts.select("part", n.alias("_n"), F.explode(F.sequence(F.lit(1), n)).alias("_s"))
-    most = F.least(F.lit(LONGEST), F.col("_n") - F.col("_s") + 1)
-    pieces = starts.select("part", "_s", F.explode(F.sequence(F.lit(1), most)).alias("_l"), "_n")
-    pieces = pieces.withColumn("word", F.substring(F.col("part"), F.col("_s"), F.col("_l")))
-    count = F.when(F.col("_l") == F.col("_n"), F.col("text")).otherwise(F.col("text") + F.col("url")).cast("double")
-    known = pieces.join(words, "word").select("part", F.struct((F.col("_s") - 1).alias("s"), F.col("_l").alias("n"), count.alias("c")).alias("x"))
-    lattices = known.groupBy("part").agg(F.collect_list("x").alias("x"))
+
+    def at(s: Column) -> Column:
+        window = F.substring(F.col("part"), s, F.lit(LONGEST))
+        return let(window, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda l: F.struct((s - 1).alias("s"), l.alias("n"), F.substring(w, F.lit(1), l).alias("word"))))
+
+    pieces = parts.select("id", n.alias("_n"), F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), at))).alias("x")).select("id", "_n", "x.*")
+    count = F.when(F.col("n") == F.col("_n"), F.col("text")).otherwise(F.col("text") + F.col("url")).cast("double")
+    known = pieces.join(words, "word").select("id", F.struct("s", "n", count.alias("c")).alias("x"))
+    lattices = known.groupBy("id").agg(F.collect_list("x").alias("x"))
 
     def run(batches):
         for b in batches:
@@ -90,35 +100,45 @@ def _segments(parts: DataFrame, words: DataFrame) -> DataFrame:
             out = [[p[a:z] for a, z in segment([(x["s"], x["n"], x["c"]) for x in lat or []], len(p), total)] for p, lat in zip(names, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["part", "tokens"])
 
-    return parts.join(lattices, "part", "left").select("part", "x").mapInArrow(run, "part string, tokens array<string>")
+    return parts.join(lattices, "id", "left").select("part", "x").mapInArrow(run, "part string, tokens array<string>")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_LETTERS), F.lit(0))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds of unwanted; of all pages)."""
     bounded_batches(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
-    own = pages.select("page_id", host.alias("host"), path.alias("path"))
+    visible = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    own = pages.select("page_id", host.alias("host"), path.alias("path"), _words(visible).alias("_words"))
+    # out of a generator, so that the text's words are cut once
+    said = F.explode(F.array(F.struct(F.size("_words").alias("n"), F.size(F.filter("_words", lambda w: w.isin(*seeds))).alias("k")))).alias("_s")
+    spoken = (F.col("_s.k") >= 2) & (F.col("_s.k") * RARE >= F.col("_s.n"))
+    own = own.select("page_id", "host", "path", said).select("page_id", "host", "path", spoken.alias("_spoken"))
     own = materialize(own.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)), "urls")
-    urls = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    share = F.count_if("_spoken") * SPEAKING >= F.count(F.lit(1))
+    hosts = materialize(own.groupBy("host").agg(share.alias("spoken")), "url-hosts")
+    urls = own.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).join(hosts, "host")
     runs = F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(_LETTERS), F.lit(0)))
-    runs = materialize(urls.select("host", "path", "n", runs.alias("part")), "url-parts")
-    parts = runs.groupBy("part").agg(F.sum("n").alias("url"))
-    plain = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " "))
-    text = pages.select(F.explode(F.regexp_extract_all(plain, F.lit(_LETTERS), F.lit(0))).alias("word")).where(F.length("word") <= LONGEST)
+    runs = materialize(urls.select("host", "path", "n", "spoken", runs.alias("part")), "url-parts")
+    parts = materialize(runs.groupBy("part").agg(F.sum("n").alias("url")).withColumn("id", F.monotonically_increasing_id()), "url-runs")
+    text = pages.select(F.explode(_words(visible)).alias("word")).where(F.length("word") <= LONGEST)
     counted = text.groupBy("word").agg(F.count(F.lit(1)).alias("text")).select("word", "text", F.lit(0).cast("bigint").alias("url"))
-    seeds = pages.sparkSession.createDataFrame([(w, SEED_COUNT, 0) for w in SEEDS], "word string, text bigint, url bigint")
+    given = pages.sparkSession.createDataFrame([(w, SEED_COUNT, 0) for w in seeds], "word string, text bigint, url bigint")
     seen = parts.select(F.col("part").alias("word"), F.lit(0).cast("bigint").alias("text"), "url")
-    words = counted.unionByName(seeds).unionByName(seen).groupBy("word").agg(F.sum("text").alias("text"), F.sum("url").alias("url"))
+    words = counted.unionByName(given).unionByName(seen).groupBy("word").agg(F.sum("text").alias("text"), F.sum("url").alias("url"))
     words = materialize(words, "url-words")
-    tokens = _segments(parts.select("part"), words)
-    split = materialize(runs.join(tokens, "part").select("host", "path", "n", F.explode("tokens").alias("token")), "url-tokens")
-    bad = F.max(F.col("token").isin(*SEEDS))
-    classed = split.join(split.groupBy("host", "path").agg(bad.alias("bad")), ["host", "path"])
+    tokens = _segments(parts.select("id", "part"), words)
+    split = materialize(runs.join(tokens, "part").select("host", "path", "n", "spoken", F.explode("tokens").alias("token")), "url-tokens")
+    bad = F.max(F.col("token").isin(*seeds) | F.col("spoken"))
+    marked = materialize(split.groupBy("host", "path").agg(bad.alias("bad"), F.first("n").alias("n")), "url-classes")
+    classed = split.join(marked.select("host", "path", "bad"), ["host", "path"])
     n, b = F.col("n"), F.col("bad")
     weights = classed.groupBy("token").agg(F.sum(F.when(b, n).otherwise(0)).alias("cb"), F.sum(F.when(b, 0).otherwise(n)).alias("cg"))
     weights = materialize(weights, "url-weights")
     tb, tg, v = (float(x or 0) for x in weights.agg(F.sum("cb"), F.sum("cg"), F.count(F.lit(1))).first())
-    marked = split.groupBy("host", "path").agg(bad.alias("bad"), F.first("n").alias("n"))
     nb = float(marked.where("bad").agg(F.sum("n")).first()[0] or 0)
     ng = float(own.agg(F.count(F.lit(1))).first()[0]) - nb
     prior = math.log((nb + 1) / (ng + 1))

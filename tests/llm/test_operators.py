@@ -344,6 +344,71 @@ def test_urls(spark):
         assert verdict is None or got[i]["verdict"] == verdict
 
 
+def test_urls_against_brute_force(spark):
+    """Segments and scores of every page from counts over the whole table; every third page
+    of some hosts speaks of seeds, their names don't."""
+    import math
+
+    rng = random.Random(44)
+    hosts = ["riverhouse.org", "paper-stone.org", "luckyspin.org", "spinlucky.net", "casinowin.org", "stoneriver.net"]
+    plain = ["river", "house", "paper", "stone", "lucky", "spin", "win"]
+    rows = []
+    for i in range(150):
+        h = rng.choice(hosts)
+        words_ = [rng.choice(plain) for _ in range(rng.randint(0, 30))]
+        if "spin" in h and i % 3 == 0:
+            words_ += ["casino", "poker", "slots"]
+        rows.append((i, f"http://{h}/{rng.choice(plain[:4])}{rng.choice(plain[:4])}/{i % 7}", f"<b>{' '.join(words_)}</b><script>casino casino</script>", "x"))
+    rows += [(500, None, None, "x"), (501, "nothing", "poker poker", "x"), (502, "http://1.2/3", "", "x"), (503, "http://" + "riverstone" * 60 + ".org/", "", "x")]
+    text = {i: re.findall(r"[a-z]+", re.sub(r"<script>.*?</script>|<[^>]*>", " ", h or "").lower()) for i, _, h, _ in rows}
+    url = {i: (u.split("://")[1].split("/")[0], "/" + u.split("://")[1].partition("/")[2]) if u and "://" in u else ("", "") for i, u, _, _ in rows}
+    url = {i: (h, p if "/" in (dict((r[0], r[1]) for r in rows)[i] or "").split("://")[-1] else "") for i, (h, p) in url.items()}
+    runs = {i: re.findall(r"[a-z]+", "/".join(x).lower()) for i, x in url.items()}
+    in_text, in_url = Counter(w for ws in text.values() for w in ws if len(w) <= 20), Counter(w for ws in runs.values() for w in set(ws))
+    in_url = Counter()
+    for u, n in Counter(url.values()).items():
+        for w in re.findall(r"[a-z]+", "/".join(u)):
+            in_url[w] += n
+    for w in urls.SEEDS:
+        in_text[w] += urls.SEED_COUNT
+    total = sum(in_text.values()) + sum(in_url.values())
+
+    def split(run):
+        best = {0: (0.0, ())}
+        for e in range(1, len(run) + 1):
+            for n in range(1, min(20, e) + 1):
+                w = run[e - n : e]
+                c = in_text[w] + (in_url[w] if n < len(run) else 0)
+                p = math.log(c / total) if c else math.log(10 / total) - n * math.log(10)
+                if e not in best or best[e - n][0] + p > best[e][0]:
+                    best[e] = (best[e - n][0] + p, (*best[e - n][1], w))
+        return best[len(run)][1]
+
+    tokens = {u: [t for r in re.findall(r"[a-z]+", "/".join(u).lower()) for t in split(r)] for u in set(url.values())}
+    says = Counter(url[i][0] for i, ws in text.items() if (k := sum(w in urls.SEEDS for w in ws)) >= 2 and k * urls.RARE >= len(ws))
+    spoken = {u for u in url.values() if says[u[0]] * urls.SPEAKING >= sum(x[0] == u[0] for x in url.values())}
+    bad = {u for u, ts in tokens.items() if ts and (u in spoken or any(t in urls.SEEDS for t in ts))}
+    pages = Counter(url.values())
+    cb, cg = Counter(), Counter()
+    for u, ts in tokens.items():
+        for t in ts:
+            (cb if u in bad else cg)[t] += pages[u]
+    v = len({*cb, *cg})
+    nb = sum(pages[u] for u in bad)
+    score = lambda u: math.log((nb + 1) / (len(rows) - nb + 1)) + sum(math.log((cb[t] + 1) / (sum(cb.values()) + v + 1)) - math.log((cg[t] + 1) / (sum(cg.values()) + v + 1)) for t in tokens[u])
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, part string")
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    assert len(got) == len(rows)
+    for i in got:
+        assert abs(got[i]["score"] - score(url[i])) < 1e-6, (i, url[i])
+        if got[i]["rule"] is None:
+            assert got[i]["verdict"] == ("block" if score(url[i]) > 0 else "allow")
+    # hosts that no seed names are found by what their pages say: nine in ten of their pages
+    hidden = [r for r in got.values() if "spin" in r["host"]]
+    assert sum(r["verdict"] == "block" for r in hidden) >= 0.9 * len(hidden)
+    assert not [r for r in got.values() if r["verdict"] == "block" and r["rule"] is None and not ("spin" in r["host"] or "casino" in r["host"])]
+
+
 def test_segmentation_is_the_likeliest():
     rng = random.Random(10)
     for _ in range(30):
