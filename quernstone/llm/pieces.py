@@ -1,9 +1,10 @@
 """Operator 4: SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-Texts are cut into words at their spaces, which no piece crosses. Words of equal length
-advance together: at each end position, the hashes of the substrings that end there probe
-the sorted hashes of the pieces, and a vectorised maximum over the admissible ones stores
-the backpointers.
+Texts are cut into words at their spaces, which no piece crosses. Sorted words of any
+lengths advance together, a letter at a time: prefixes of equal length are worked on at once,
+and a prefix that several words share is worked on once. At each end position, the hashes of
+the substrings that end there probe the sorted hashes of the pieces, and the backpointer is
+the longest of the admissible pieces (sizes are tried in rising order, the greatest stays).
 
 The vocabulary is a merge vocabulary: a segmentation isn't the one of greatest summed score
 but the one that merging by priority ends in. What a Viterbi step may take is therefore
@@ -17,9 +18,11 @@ Runs of two or more spaces, whose pieces tie for the lowest priority, are merged
 Characters outside the vocabulary become their UTF-8 bytes' pieces.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; the
-visible space U+2581 in a text is a space, as in the library; very long words are cut where
-no piece has the two characters side by side; repeated rows each give a row; an empty
-table gives no rows; extra columns are not read.
+visible space U+2581 in a text is a space, as in the library; very long texts are encoded
+whole, and very long words cut where no piece has the two characters side by side; pieces
+that tie in priority are merged from the left, as in the library; repeated rows each give a
+row; an empty table gives no rows; extra columns are kept where they are asked for, those
+named as a new one (ids, decoded) give way to it.
 """
 
 from __future__ import annotations
@@ -321,7 +324,9 @@ def _batches(texts: list[str], most: int = 2_000_000):
 def _with_text(docs: DataFrame, column: str, keep: list[str], fields: list[T.StructField], work) -> DataFrame:
     """keep and new fields from work(list of values of column) -> list of Arrow arrays."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, docs[column].alias("_value"))
+    keep = [c for c in keep if c not in {f.name for f in fields}]
+    value = "_value" + "_" * max(map(len, keep), default=0)  # a name that no column has
+    rows = docs.select(*keep, docs[column].alias(value))
     schema = T.StructType([rows.schema[c] for c in keep] + fields)
 
     def run(batches):
@@ -356,7 +361,7 @@ def decode(rows: DataFrame, model: str = MODEL, keep: list[str] | None = None) -
         coder = _coder(pieces)
         return lambda ids: [pa.array([coder.decode(np.array(x or [], "<i4").tobytes()) for x in ids])]
 
-    return _with_text(rows, "ids", keep or [c for c in rows.columns if c != "ids"], [T.StructField("decoded", T.StringType())], work)
+    return _with_text(rows, "ids", keep or rows.columns, [T.StructField("decoded", T.StringType())], work)
 
 
 def digests(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:

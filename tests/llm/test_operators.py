@@ -215,9 +215,50 @@ def test_pieces_on_tables(docs):
     assert all((r["text"] or "") == r["decoded"] for r in back)
 
 
+def test_pieces_of_long_texts_and_clashing_columns(spark, coder):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(61)
+    texts = ["x" * 70_000, "".join(rng.choice("abcdefgh") for _ in range(30_000)), " ".join(rng.choice(["house", "river", "stone"]) for _ in range(200_000)), None]
+    df = spark.createDataFrame([(t, 1, "d", "v") for t in texts], "text string, ids int, decoded string, _value string")
+    rows = pieces.encode(df).collect()
+    assert [r["ids"] for r in rows] == [sp.encode(t or "") for t in texts] and all(r["_value"] == "v" and r["decoded"] == "d" for r in rows)
+    back = pieces.decode(pieces.encode(df))
+    assert back.columns == ["text", "_value", "decoded"] or set(back.columns) >= {"text", "_value", "decoded"}
+    assert all((r["text"] or "") == r["decoded"] and r["_value"] == "v" for r in back.collect())
+
+
 # --- 5
 
 
+def test_label_model_and_regression():
+    """Rates of voters that are known are found again, votes that are copies of each other
+    count less, and the regression's gradient is zero where it ends."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    truth = rng.random(20_000) < 0.2
+    votes = np.zeros((20_000, toxicity.VOTERS), np.int64)
+    for k, (hit, miss) in enumerate([(0.8, 0.05), (0.6, 0.1), (0.7, 0.2), (0.9, 0.3)]):
+        votes[:, k] = rng.random(20_000) < np.where(truth, hit, miss)
+    votes[:, 4] = votes[:, 0]
+    masks = (votes << np.arange(toxicity.VOTERS)).sum(axis=1)
+    given = np.where(rng.random(20_000) < 0.2, truth, -1)
+    pattern, back, counts = np.unique(np.column_stack([masks, given]), axis=0, return_inverse=True, return_counts=True)
+    odds, prior = toxicity.label_model(pattern[:, 0], counts, pattern[:, 1], np.full(len(pattern), -1))
+    post = toxicity.evidence(votes, np.ones(votes.shape), odds, prior) > 0
+    best = sum(np.log(np.where(votes[:, k] == 1, h / m, (1 - h) / (1 - m))) for k, (h, m) in enumerate([(0.8, 0.05), (0.6, 0.1), (0.7, 0.2), (0.9, 0.3)])) + np.log(0.25) > 0
+    assert (post == truth).mean() >= (best == truth).mean() - 0.01
+    assert abs(odds[1, 1] - np.log(6)) < 0.5 and abs(odds[0, 1] + odds[4, 1] - np.log(16)) < 0.7
+
+    x = rng.random((400, 6)) < 0.4
+    target = 1 / (1 + np.exp(-(x @ np.array([2, -1, 0.5, 0, 1, -2]) - 0.3)))
+    w, bias = toxicity._regression([np.flatnonzero(r) for r in x], target, 6, steps=3000, ridge=1.0)
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (p - target) + w).max() < 0.5 and abs((p - target).sum()) < 0.5
+
+
 def test_toxicity_on_held_out(spark):
     rng = random.Random(8)
     rows, labels = [], []
