@@ -350,6 +350,15 @@ def test_quotas_by_highest_quotients(spark):
         assert {s: got.get((s, sh), 0) for s in votes} == {s: sum(b[1] == s for b in best) for s in votes}
 
 
+def test_targets_are_met_by_short_texts(spark):
+    """300 texts of two words beside 20,000 of 200; a source of one word; sources of many shards."""
+    df = spark.sql("SELECT id AS doc_id, CASE WHEN id < 300 THEN 'x y' WHEN id = 300 THEN 'z' ELSE repeat('w ', 200) END AS text, CASE WHEN id < 300 THEN 'b' WHEN id = 300 THEN 'c' ELSE 'a' END AS source FROM range(20301)")
+    rows = mixing.mix(df).groupBy("source_size", "target").sum("taken").collect()
+    got = {r["source_size"]: (r["target"], r["sum(taken)"]) for r in rows}
+    assert got[600][0] == 1800 and abs(got[600][1] - 1800) <= mixing.BLOCK
+    assert abs(got[4_000_000][0] - got[4_000_000][1]) <= 4 * mixing.BLOCK and got[1][1] in (0, 3)
+
+
 def test_mixed_documents(docs):
     rows = mixing.mixed_documents(docs)
     assert rows.columns == docs.columns
