@@ -1,12 +1,15 @@
 """Operator 1: exact-substring dedup by a hash-compared suffix sort.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else.
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts anywhere else. Beside
+these, bytes in repeated strings of another length can be counted in the same pass: strings
+of the least length are found, and all lengths read off the same sort.
 
 1. Anchors. Among the grams of ``GRAM`` bytes in a string of LENGTH bytes, the one of least
    polynomial hash (the leftmost of equals) is its anchor. Equal strings have equal
    anchors at equal offsets, so only strings with equal anchors need be compared. Strings
-   that start one after another and share an anchor form a *run*; a run's bytes are known
-   by a 128-bit digest. Runs whose anchor occurs once in the corpus are done.
+   that start one after another and share an anchor form a *run*; a run's bytes (and those
+   after it that longer strings reach) are known by a 128-bit digest. Runs whose anchor occurs
+   once in the corpus are done.
 2. Equal runs are counted, not compared: all strings in a run that occurs twice repeat.
 3. Distinct runs with one anchor gram are sorted as suffixes from the anchor on, and as
    reversed prefixes before it, in a mergesort. A comparison finds the common extension by
@@ -40,6 +43,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, materialize, table
 
 LENGTH = 400
+#: Bytes of a repeated passage: fifty words of four letters and a space.
+PASSAGE = 250
 GRAM = 48
 CLASS = 1024
 BLOCK = 16
@@ -113,8 +118,10 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def _find_runs(length: int, gram: int):
-    names = ["k1", "k2", "start", "many", "off", "ah", "u1", "u2"]
+def _find_runs(length: int, reach: int, gram: int):
+    """mapInArrow function: (k1, k2, bytes) -> the runs of strings of `length` bytes; size:
+    bytes of a run, up to the end of its last string of `reach` bytes or of the text."""
+    names = ["k1", "k2", "start", "many", "off", "size", "ah", "u1", "u2"]
 
     def pieces(offsets: np.ndarray):
         """(first text, one past the last, from byte, to byte): whole texts up to SLICE
@@ -135,16 +142,17 @@ def _find_runs(length: int, gram: int):
         for b in batches:
             data, offsets = _texts(b.column(2))
             k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
+            view, digest = memoryview(data), xxhash.xxh3_128_digest
             for i, j, a, z in pieces(offsets):
-                part = data[a:z]
                 ends = np.minimum(offsets[i + 1 : j + 1], z) - a
-                first, many, at, ah = runs_of(part, ends, length, gram, hashes)
+                first, many, at, ah = runs_of(data[a:z], ends, length, gram, hashes)
                 if not len(first):
                     continue
-                view, digest = memoryview(part), xxhash.xxh3_128_digest
-                u = np.frombuffer(b"".join([digest(view[s : s + m + length - 1]) for s, m in zip(first.tolist(), many.tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 text = i + np.searchsorted(ends, first, side="right")
-                cols = [k1[text], k2[text], a + first - offsets[text], many, at - first, ah.view(np.int64), u[:, 0], u[:, 1]]
+                begin = a + first
+                size = np.minimum(many + reach - 1, offsets[text + 1] - begin)
+                u = np.frombuffer(b"".join([digest(view[s : s + m]) for s, m in zip(begin.tolist(), size.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                cols = [k1[text], k2[text], begin - offsets[text], many, at - first, size, ah.view(np.int64), u[:, 0], u[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names=names)
 
     return run
@@ -223,13 +231,20 @@ class _Side:
 def repeated(cls: np.ndarray, copies: np.ndarray, off: np.ndarray, many: np.ndarray, texts: list[bytes], length: int = LENGTH) -> np.ndarray:
     """Matrix of members x string starts: whether that string also starts elsewhere.
     Members of a class stand together; off: the anchor's place in a member's bytes."""
-    n, most_off = len(cls), int(off.max())
-    right = np.zeros((n, length), np.uint8)
+    return repeated_at(cls, copies, off, many, texts, (length,))[0]
+
+
+def repeated_at(cls: np.ndarray, copies: np.ndarray, off: np.ndarray, many: np.ndarray, texts: list[bytes], lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """repeated() for strings of each of lengths, from one sort. A member's bytes may end
+    before its last starts' longer strings do; these are no strings."""
+    n, most_off, reach = len(cls), int(off.max()), max(lengths)
+    right = np.zeros((n, reach), np.uint8)
     left = np.zeros((n, max(1, most_off)), np.uint8)
     right_size = np.zeros(n, np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
     for k, (t, o) in enumerate(zip(texts, off.tolist(), strict=True)):
         x = np.frombuffer(t, np.uint8)
-        r = x[o : o + length]
+        r = x[o : o + reach]
         right[k, : len(r)] = r
         right_size[k] = len(r)
         left[k, :o] = x[:o][::-1]
@@ -245,16 +260,18 @@ def repeated(cls: np.ndarray, copies: np.ndarray, off: np.ndarray, many: np.ndar
             break
     else:
         raise RuntimeError("hash collisions with every multiplier")
-    out = np.zeros((n, int(many.max())), bool)
+    out = [np.zeros((n, int(many.max())), bool) for _ in lengths]
     group = np.empty((2, n), np.int64)
     for o in range(int((off - many + 1).min()), most_off + 1):
-        here = np.flatnonzero((off - many < o) & (o <= off))
-        if not len(here):
-            continue
-        for g, perm, x, t in zip(group, orders, near, (length - o, o), strict=True):
-            g[perm] = np.cumsum(x < t)  # t is 0 at the left for o = 0: classes still part at -1
-        _, at, count = np.unique(group[0, here] * (n + 1) + group[1, here], return_inverse=True, return_counts=True)
-        out[here, off[here] - o] = (count[at] > 1) | (copies[here] > 1)
+        starts = (off - many < o) & (o <= off)
+        for marks, length in zip(out, lengths, strict=True):
+            here = np.flatnonzero(starts & (off - o + length <= size))
+            if not len(here):
+                continue
+            for g, perm, x, t in zip(group, orders, near, (length - o, o), strict=True):
+                g[perm] = np.cumsum(x < t)  # t is 0 at the left for o = 0: classes still part at -1
+            _, at, count = np.unique(group[0, here] * (n + 1) + group[1, here], return_inverse=True, return_counts=True)
+            marks[here, off[here] - o] = (count[at] > 1) | (copies[here] > 1)
     return out
 
 
@@ -271,14 +288,17 @@ def _intervals(marks: np.ndarray):
 _CLASS_COLUMNS = ["ah", "u1", "u2", "n", "off", "many", "bytes"]
 
 
-def _sort_classes(length: int):
-    """mapInArrow function: rows sorted by class -> (ah, u1, u2, lo, hi) repeated starts."""
+def _sort_classes(lengths: tuple[int, ...]):
+    """mapInArrow function: rows sorted by class -> (ah, u1, u2, length, lo, hi) repeated starts."""
 
     def solve(t: pa.Table):
         ah, u1, u2, n, off, many = (t.column(c).to_numpy() for c in _CLASS_COLUMNS[:-1])
-        marks = repeated(ah, n, off.astype(np.int64), many.astype(np.int64), t.column("bytes").to_pylist(), length)
-        row, lo, hi = _intervals(marks)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (ah[row], u1[row], u2[row], lo.astype(np.int32), hi.astype(np.int32))], names=["ah", "u1", "u2", "lo", "hi"])
+        found = repeated_at(ah, n, off.astype(np.int64), many.astype(np.int64), t.column("bytes").to_pylist(), lengths)
+        parts = []
+        for length, marks in zip(lengths, found, strict=True):
+            row, lo, hi = _intervals(marks)
+            parts.append([ah[row], u1[row], u2[row], np.full(len(row), length, np.int32), lo.astype(np.int32), hi.astype(np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["ah", "u1", "u2", "length", "lo", "hi"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -308,7 +328,9 @@ def _split_classes(length: int):
         for b in batches:
             out: list[list] = [[] for _ in names]
             for ah, u1, u2, n, off, many, data in zip(*(b.column(c).to_pylist() for c in _CLASS_COLUMNS), strict=True):
-                view = memoryview(data)
+                view, many = memoryview(data), min(many, len(data) - length + 1)
+                if many < 1:
+                    continue
                 for block in range((off - many + 1) // BLOCK, off // BLOCK + 1):
                     lo, hi = max(0, off - block * BLOCK - BLOCK + 1), min(many - 1, off - block * BLOCK)
                     common = off - block * BLOCK
@@ -325,11 +347,11 @@ def _split_classes(length: int):
     return run
 
 
-_FOUND = "ah bigint, u1 bigint, u2 bigint, lo int, hi int"
+_FOUND = "ah bigint, u1 bigint, u2 bigint, length int, lo int, hi int"
 
 
 def _large_classes(rows: DataFrame, length: int) -> DataFrame:
-    """Repeated starts (ah, u1, u2, lo, hi) in classes of many distinct runs."""
+    """Repeated starts (ah, u1, u2, length, lo, hi) in classes of many distinct runs."""
     schema = "ah bigint, u1 bigint, u2 bigint, n bigint, block int, c1 bigint, c2 bigint, b1 bigint, b2 bigint, lo int, at int, ends binary"
     blocks = materialize(rows.select(*_CLASS_COLUMNS).mapInArrow(_split_classes(length), schema), "suffix-blocks")
     width = BLOCK - 1
@@ -347,7 +369,7 @@ def _large_classes(rows: DataFrame, length: int) -> DataFrame:
     each = each.select(*common, "n", "u1", "u2", start.alias("start"), (F.col("at") - start).alias("l"), F.substring("ends", F.col("i") * width + 1, F.lit(width)).alias("e"))
     counts = each.groupBy(*common, "l", "e").agg(F.sum("n").alias("s")).where("s > 1").select(*common, "l", "e")
     single = each.where("n = 1").join(counts, [*common, "l", "e"]).select("ah", "u1", "u2", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return whole.unionByName(single)
+    return whole.unionByName(single).withColumn("length", F.lit(length))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -355,12 +377,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID).cast("bigint")), "_k2": F.xxhash64(text), "_bytes": text.cast("binary")})
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(k1, k2, ranges) of each row that loses bytes; ranges: array of (from, to), which
-    may overlap. k1, k2: _k1 and _k2 of _keyed()."""
+def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram: int = GRAM) -> DataFrame:
+    """(k1, k2, ranges) of each row that has repeated strings; ranges: array of (a, z, l),
+    bytes from a to z in repeated strings of l bytes, which may overlap. k1, k2: _k1 and _k2
+    of _keyed()."""
     bounded_batches(docs.sparkSession)
-    found = _keyed(docs).select("_k1", "_k2", "_bytes").mapInArrow(_find_runs(length, gram), "k1 bigint, k2 bigint, start bigint, many bigint, off bigint, ah bigint, u1 bigint, u2 bigint")
-    small = ("start", "many", "off")
+    least, reach = min(lengths), max(lengths)
+    small = ("start", "many", "off", "size")
+    found = _keyed(docs).select("_k1", "_k2", "_bytes").mapInArrow(_find_runs(least, reach, gram), "k1 bigint, k2 bigint, start bigint, many bigint, off bigint, size bigint, ah bigint, u1 bigint, u2 bigint")
     runs = materialize(found.select("k1", "k2", *(F.col(c).cast("int").alias(c) for c in small), "ah", "u1", "u2"), "suffix-runs")
     # counts are tables of their own: joined to them, a frequent gram can be split over tasks
     again = materialize(runs.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah"), "suffix-repeats")
@@ -370,60 +394,74 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     distinct = materialize(distinct, "suffix-distinct")
     sizes = materialize(distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")), "suffix-sizes")
     distinct = distinct.join(sizes, "ah")
-    whole = distinct.where("n > 1").select(*key, F.lit(0).alias("lo"), (F.col("many") - 1).alias("hi"))
+    each = F.explode(F.array(*(F.lit(x) for x in lengths)))
+    whole = distinct.where("n > 1").withColumn("length", each).withColumn("hi", F.least(F.col("many"), F.col("size") - F.col("length") + 1) - 1)
+    whole = whole.where("hi >= 0").select(*key, "length", F.lit(0).alias("lo"), "hi")
     # runs that occur once, and those of their classes they are to be compared with
     open_ = distinct.where("m > 1 and least = 1")
     # rows that repeat id and text are one row here, made so before the shuffle
     own = _keyed(docs).groupBy("_k1", "_k2").agg(F.min("_bytes").alias("_bytes"))
     joined = open_.join(own, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    cut = F.substring("_bytes", F.col("start") + 1, F.col("many") + (length - 1))
+    cut = F.substring("_bytes", F.col("start") + 1, F.col("size"))
     rows = materialize(joined.select(*key, "n", "off", "many", "m", cut.alias("bytes")), "suffix-classes")
     classes = rows.where(F.col("m") <= CLASS).select(*_CLASS_COLUMNS).repartition("ah").sortWithinPartitions("ah")
-    starts = whole.unionByName(classes.mapInArrow(_sort_classes(length), _FOUND))
+    starts = whole.unionByName(classes.mapInArrow(_sort_classes(lengths), _FOUND))
     large = rows.where(F.col("m") > CLASS)
     if not large.isEmpty():
-        starts = starts.unionByName(_large_classes(large, length))
-    spans = runs.join(starts, key).select("k1", "k2", F.struct((F.col("start") + F.col("lo")).alias("a"), (F.col("start") + F.col("hi") + length).alias("z")).alias("s"))
+        for length in lengths:
+            starts = starts.unionByName(_large_classes(large, length))
+    a = F.col("start") + F.col("lo")
+    spans = runs.join(starts, key).select("k1", "k2", F.struct(a.alias("a"), (F.col("start") + F.col("hi") + F.col("length")).alias("z"), F.col("length").alias("l")).alias("s"))
     return spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("ranges"))
 
 
-def _cut(with_text: bool):
-    """mapInArrow function: drops the ranges from _bytes."""
+def _cut(with_text: bool, length: int, passage: int | None):
+    """mapInArrow function: drops the ranges of strings of `length` bytes from _bytes, and
+    counts the bytes in those of `passage` bytes."""
+
+    def covered(ranges: list[dict], of: int) -> list[tuple[int, int]]:
+        spans: list[tuple[int, int]] = []
+        for a, z in sorted((x["a"], x["z"]) for x in ranges if x["l"] == of):
+            if spans and a <= spans[-1][1]:
+                spans[-1] = spans[-1][0], max(z, spans[-1][1])
+            else:
+                spans.append((a, z))
+        return spans
 
     def run(batches):
         for b in batches:
             at = {n: i for i, n in enumerate(b.schema.names)}
             rest = [i for n, i in at.items() if n not in ("_bytes", "ranges")]
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for data, ranges in zip(b.column(at["_bytes"]), b.column(at["ranges"]), strict=True):
-                data, spans, kept, done = data.as_py(), 0, [], 0
-                end = -1
-                for r in sorted((x["a"], x["z"]) for x in (ranges.as_py() or [])):
-                    if r[0] > end:
-                        spans += 1
-                        kept.append(data[done : r[0]])
-                    end = done = max(end, r[1])
-                kept.append(data[done:])
-                left = b"".join(kept)
-                row = (len(data), len(data) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)
+                data, ranges = data.as_py(), ranges.as_py() or []
+                spans = covered(ranges, length)
+                ends = [0, *(z for _, z in spans)]
+                left = b"".join(data[a:z] for a, z in zip(ends, [*(a for a, _ in spans), len(data)], strict=True))
+                inside = sum(z - a for a, z in covered(ranges, passage)) if passage else None
+                row = (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None, inside)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             arrays = [b.column(i) for i in rest] + [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[b.schema.names[i] for i in rest] + ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[b.schema.names[i] for i in rest] + list(_NEW))
 
     return run
 
 
-def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, length: int = LENGTH) -> DataFrame:
+_NEW = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType(), "n_passage_bytes": T.LongType()}
+
+
+def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False, length: int = LENGTH, passage: int | None = None) -> DataFrame:
     """The columns of keep, n_bytes, n_removed, n_spans, kept_sha256, and kept (the text
-    left, if with_text, without characters of which a part went)."""
-    ranges = removed_ranges(docs, length)
+    left, if with_text, without characters of which a part went). With passage, also
+    n_passage_bytes: bytes in strings of that many bytes that start elsewhere as well."""
+    ranges = removed_ranges(docs, tuple(sorted({length, passage or length})))
     own = _keyed(docs).select(*keep, "_k1", "_k2", "_bytes")
     joined = own.join(ranges, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").select(*keep, "_bytes", "ranges")
-    kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType(), "kept": T.StringType()}
-    schema = T.StructType([joined.schema[c] for c in keep] + [T.StructField(n, k) for n, k in kinds.items()])
-    return joined.mapInArrow(_cut(with_text), schema)
+    schema = T.StructType([joined.schema[c] for c in keep] + [T.StructField(n, k) for n, k in _NEW.items()])
+    out = joined.mapInArrow(_cut(with_text, length, passage), schema)
+    return out if passage else out.drop("n_passage_bytes")
 
 
 def deduped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -438,4 +476,5 @@ def deduped_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+    """The contract's columns at LENGTH, and the bytes in repeated passages of PASSAGE."""
+    return dedup(table(spark, sf_dir, "documents"), passage=PASSAGE).drop("kept")

@@ -40,8 +40,29 @@ def test_suffixes(docs, monkeypatch, largest):
     """Also with every class split, as only very frequent passages are otherwise."""
     monkeypatch.setattr(suffixes, "CLASS", largest)
     got = suffixes.dedup(docs).drop("kept").collect()
-    want = removed([t.encode() for _, t in ROWS], 400)
+    texts = [t.encode() for _, t in ROWS]
+    want = list(removed(texts, 400))
     same(got, [(i, *w) for (i, _), w in zip(ROWS, want, strict=True)])
+    both = suffixes.dedup(docs, passage=250).drop("kept").collect()
+    same(both, [(i, *w, p[1]) for (i, _), w, p in zip(ROWS, want, removed(texts, 250), strict=True)])
+
+
+def test_passages_with_other_surroundings(spark, monkeypatch):
+    """Shared stretches of every length between the two, at text ends and inside."""
+    rng = random.Random(25)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    pool = [noise(900) for _ in range(4)]
+    rows = []
+    for i in range(60):
+        p = rng.choice(pool)
+        a = rng.randint(0, 600)
+        rows.append((i, noise(rng.randint(0, 80)) + p[a : a + rng.randint(200, 600)] + noise(rng.choice([0, 0, 60]))))
+    texts = [t.encode() for _, t in rows]
+    want = [(i, *w, p[1]) for (i, _), w, p in zip(rows, removed(texts, 400), removed(texts, 250), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for largest in (1024, 1):
+        monkeypatch.setattr(suffixes, "CLASS", largest)
+        same(suffixes.dedup(df, passage=250).drop("kept").collect(), want)
 
 
 def test_suffixes_of_crowds_and_long_texts(spark):
