@@ -10,9 +10,11 @@ are read off two index arrays without walking the text.
 
 Defined cases: null text counts as empty; a text without a spot takes every word as one;
 a text without words has the empty fingerprint; two empty fingerprints are alike (1.0),
-an empty and another are not (0.0); null ids come first in order; repeated rows each
-count, the one after being the next; a single row is its own next; an empty table gives
-no rows; extra columns are not read.
+an empty and another are not (0.0); null ids (and -2**63, which stands for them) come first
+in order; rows of one id follow each other by a hash of their texts; repeated rows each
+count, the one after being the next; a single row is its own next; very long texts are read
+whole, in one row's arrays; an empty table gives no rows; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TEXT_WORD, let, row_count, table
+from .common import TEXT_WORD, let, materialize, row_count, table
 
 CHAIN = 2
 #: Very common words of English, German, French and Spanish.
@@ -33,6 +35,10 @@ COMMON = tuple(sorted(set(
 )))
 
 
+#: Rows of a range of ids, most ranges, most cuts between quantiles of the ids.
+RANGE, RANGES, CUTS = 1000, 1 << 20, 4096
+
+
 def spot_set(text: Column) -> Column:
     """Sorted distinct signatures of a text (array of 8 hex digits each)."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TEXT_WORD), F.lit(0))
@@ -89,25 +95,28 @@ def similar(queries: DataFrame, docs: DataFrame, threshold: float = 0.8) -> Data
 
 def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str = "doc_id") -> DataFrame:
     """docs with the derived columns, and next_<name> of value and each of these: that
-    of the next row by ascending key, the last row having the first as its next. Only
-    value travels; what is derived from it is computed once, where the row arrives.
-
-    Rows go to ranges of about a thousand keys whose bounds are keys of the table. A row
-    at a bound also goes, as a ghost, to the range before, so each range finds the next
-    row of all its rows without another pass.
+    of the next row by ascending key (rows of one key by the hash of value, then value), the
+    last row having the first as its next. Only value travels; what is derived from it is
+    computed once, where the row arrives.
+
+    Rows go to ranges of about ``RANGE`` rows, or more if there were over ``RANGES`` of them:
+    cuts between quantiles of the keys, cut evenly again, and a range by hash for a key that
+    many rows have. The first row of a range also goes, as a ghost, to the range before, so
+    each range finds the next row of all its rows without another pass.
     """
     at = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
-    keys = docs.select(at.alias("k"))
+    places = docs.select(at.alias("_key"), F.xxhash64(value).alias("_h"))
     n = row_count(docs)
-    parts = max(1, min(4096, n // 1000))
-    cuts = [i / parts for i in range(parts)]
-    found = keys.agg(F.percentile_approx("k", cuts, 10000).alias("b"), F.min("k").alias("m")).first()
-    bounds = sorted({found["m"], *(found["b"] or [])} - {None})
-    if not bounds:
+    if n == 0:
         return docs.withColumns(derived).withColumns({f"next_{c}": F.col(c) for c in (value, *derived)})
+    per = max(RANGE, -(-n // RANGES))
+    parts = max(1, min(CUTS, n // per))
+    found = places.agg(F.percentile_approx("_key", [i / parts for i in range(parts)], 10000).alias("b"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).first()
+    # at most CUTS keys have so many rows
+    crowds = {r[0]: r[1] for r in places.groupBy("_key").count().where(F.col("count") > max(4 * per, n // CUTS)).collect()}
+    bounds = sorted({found["lo"], *(b for b in found["b"] if found["lo"] <= b <= found["hi"]), *crowds, *(k + 1 for k in crowds if k < found["hi"])})
     many = len(bounds)
     array = F.array(*(F.lit(b).cast("bigint") for b in bounds))
-    steps = F.sequence(F.lit(1), F.lit(many.bit_length() + 1))
 
     def halve(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -117,20 +126,39 @@ def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str
         hi = F.when(inside & ~up, mid).otherwise(s["hi"])
         return F.struct(s["k"].alias("k"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
-    start = F.struct(at.alias("k"), F.lit(0).alias("lo"), F.lit(many).alias("hi"))
-    part = F.aggregate(steps, start, halve, lambda s: s["lo"] - 1)
-    rows = docs.withColumns({"_key": at, "_part": part})
-    first = F.col("_key") == F.lit(bounds[0])
-    ghost = F.when(first, F.lit(many - 1)).when(F.get(array, F.col("_part")) == F.col("_key"), F.col("_part") - 1)
-    own = F.struct(F.col("_part").alias("p"), F.lit(0).alias("ghost"))
-    other = F.struct(ghost.alias("p"), F.lit(1).alias("ghost"))
-    rows = rows.withColumn("_to", F.explode(F.when(ghost.isNull(), F.array(own)).otherwise(F.array(own, other))))
-    rows = rows.select(*docs.columns, "_key", F.col("_to.p").alias("_p"), F.col("_to.ghost").alias("_ghost"))
-    # ghosts come last: their keys are above the range's, or they close the circle
-    order = W.partitionBy("_p").orderBy("_ghost", "_key", value)
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows (_key, _h, ..) with their range (_p, _q)."""
+        start = F.struct(F.col("_key").alias("k"), F.lit(0).alias("lo"), F.lit(many).alias("hi"))
+        steps = F.sequence(F.lit(1), F.lit(many.bit_length() + 1))
+        rows = rows.withColumn("_p", F.aggregate(steps, start, halve, lambda s: s["lo"] - 1))
+        finer = -(-n // (parts * per))
+        q = F.lit(0)
+        if finer > 1:
+            low, high = F.get(array, F.col("_p")).cast("double"), F.coalesce(F.get(array, F.col("_p") + 1).cast("double"), F.lit(float(found["hi"]) + 1.0))
+            q = F.floor((F.col("_key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * finer)
+        if crowds:
+            # a crowd's range by hash; the number of them is known by the range
+            pieces = F.element_at(F.create_map(*(F.lit(x) for k, c in crowds.items() for x in (k, -(-c // per)))), F.col("_key"))
+            q = F.when(F.col("_key").isin(*crowds), F.floor((F.col("_h").cast("double") + 2.0**63) / 2.0**64 * pieces)).otherwise(q)
+        return rows.withColumn("_q", q.cast("int"))
+
+    first = placed(places).groupBy("_p", "_q").agg(F.min(F.struct("_key", "_h")).alias("_first"))
+    # RANGES rows at most, by far
+    line = W.orderBy("_p", "_q")
+    everyone = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    here = F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"))
+    first = materialize(first.withColumn("_before", F.coalesce(F.lag(here).over(line), F.max(here).over(everyone))), "ranges")
+    rows = placed(docs.withColumns({"_key": at, "_h": F.xxhash64(value)})).join(F.broadcast(first), ["_p", "_q"])
+    own = F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"), F.lit(0).alias("ghost"))
+    other = F.struct(F.col("_before.p").alias("p"), F.col("_before.q").alias("q"), F.lit(1).alias("ghost"))
+    leads = (F.col("_key") == F.col("_first._key")) & (F.col("_h") == F.col("_first._h"))
+    rows = rows.withColumn("_to", F.explode(F.when(leads, F.array(own, other)).otherwise(F.array(own))))
+    rows = rows.select(*docs.columns, "_key", "_h", "_to.*")
+    # ghosts come last: they are above the range's rows, or close the circle
+    order = W.partitionBy("p", "q").orderBy("ghost", "_key", "_h", value)
     rows = rows.withColumn(f"next_{value}", F.lead(value).over(order)).withColumns(derived)
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in derived})
-    return rows.where("_ghost = 0").drop("_key", "_p", "_ghost")
+    return rows.where("ghost = 0").drop("_key", "_h", "p", "q", "ghost")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -203,6 +203,32 @@ def test_next_over_many_ranges(spark):
     assert len(got) == 3500 and all(int(r["next_text"]) == want[r["doc_id"]] for r in got)
 
 
+@pytest.mark.parametrize("cuts", [4096, 5])
+def test_next_with_crowds_and_wide_ids(spark, monkeypatch, cuts):
+    """Ids of 64 bits, ids that many rows have, null ids; also with ranges cut evenly again."""
+    monkeypatch.setattr(fingerprints, "RANGE", 20)
+    monkeypatch.setattr(fingerprints, "CUTS", cuts)
+    rng = random.Random(19)
+    rows = [(rng.randrange(2**62, 2**63), f"a{k}") for k in range(700)] + [(k, f"b{k}") for k in range(500)]
+    rows += [(77, f"c{k}") for k in range(400)] + [(None, f"d{k % 90}") for k in range(300)] + [(2**63 - 1, f"e{k}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], signed(xxhash.xxh64_intdigest(r[1], 42)), r[1]))
+    want = Counter((i, t, n) for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True))
+    got = fingerprints.with_next(df, "text", {"n": fingerprints.F.length("text")}).collect()
+    assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in got) == want and all(r["next_n"] == len(r["next_text"]) for r in got)
+
+
+def test_similar_over_a_whole_table(spark):
+    """Queries are the rows whose id is divisible by 20, as in a search."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: frozenset(r["s"]) for r in df.select("doc_id", fingerprints.spot_set(df["text"]).alias("s")).collect()}
+    got = {(r["query_id"], r["doc_id"]) for r in fingerprints.similar(df.where("doc_id % 20 = 0"), df).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    assert got == {(i, j) for i, a in sets.items() if i % 20 == 0 for j, b in sets.items() if like(a, b) >= 0.8}
+    assert any(i != j for i, j in got)
+
+
 def test_fingerprints_of_odd_tables(docs):
     assert fingerprints.fingerprints(docs).count() == len(ROWS)
     assert fingerprints.fingerprints(docs.where("doc_id = 3")).first()["near_next"] == 1.0
