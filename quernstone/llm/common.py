@@ -6,6 +6,8 @@ import atexit
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules["quernstone"])
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _written: dict[str, SparkSession] = {}
+_outliving: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,25 +45,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Cut lineage: write the rows once to the shared folder and read them again, so
-    that a lost executor costs no recomputation and several consumers one scan."""
+    that a lost executor costs no recomputation and several consumers one scan. The files go
+    when the process ends, or with the block of intermediates() that it is called in (not if
+    it is to outlive that)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quernstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written[path] = spark
+    (_outliving if outlive else _written)[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Whatever materialize() writes inside is deleted at the end: for drivers that live long.
+    What is read from it has to be written before."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before]:
+            _delete(path, _written.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _remove_written() -> None:
-    for path, spark in _written.items():
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be gone at exit; the folder then stays
-            return
+    for path, spark in (_written | _outliving).items():
+        with suppress(Exception):  # the session may be gone at exit; the folder then stays
+            _delete(path, spark)
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:

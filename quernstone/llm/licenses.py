@@ -10,8 +10,10 @@ what stands before and after a match is searched again.
 Matches that overlap a better one (fewer edits for its length) are dropped.
 
 Defined cases: null and empty texts have no words and no labels, score 0; a text that says
-a notice several times has several spans; repeated rows each give a row; very long texts
-are searched whole; an empty table gives no rows; extra columns are not read.
+a notice several times has several spans; of matches that overlap and are equally good the
+longer stays, then the first, then the one of the first label; repeated rows each give a row;
+very long texts are searched whole, in windows around their seeds; an empty table gives no
+rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +52,6 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
 )
 PER_EDIT = 10
-#: Characters of a text between which seeds of one notice are matched in one go.
 _WORDS = bytes(c if c >= 0x80 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 0x20 for c in range(256))
 
 _SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("similarity", T.DoubleType())])

@@ -115,6 +115,27 @@ def test_licenses(spark, docs):
         assert 0 <= r["score"] <= 1
 
 
+def test_base_places_like_sql(spark):
+    """Words and base places of whole texts, by DuckDB's own search for consecutive words."""
+    import duckdb
+
+    rng = random.Random(71)
+    bits = ["under", "the", "MIT", "license", "Apache", "License,", "Version", "2.0", "2", "CC", "BY-NC", "by", "nc", "word", "\u00fcber", "x_y", "\n"]
+    rows = [(k, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))) for k in range(400)] + [(900, None), (901, "")]
+    rows += [(1000 + k, rng.choice(["under the MIT license", "Apache License, Version 2", "cc by nc"]) + rng.choice(["", "s", ".0", "-4"]) + " " + rng.choice(bits)) for k in range(100)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", rows)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    phrases = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+    each = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {len(p.split()) - 2})) AS i FROM w) WHERE array_to_string(ws[i:i + {len(p.split()) - 1}], ' ') = '{p}'" for p, label in phrases)
+    want = con.execute(f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM d), p AS ({each})
+        SELECT w.doc_id, len(ws), count(i), min(i) - 1, max(i) - 1, coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (label IS NOT NULL))), ','), '') FROM w LEFT JOIN p USING (doc_id) GROUP BY w.doc_id, ws""").fetchall()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    same(licenses.scan(df).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect(), want)
+    assert sum(r[2] for r in want) > 50
+
+
 def test_seeds_find_every_bounded_edit():
     """Pigeonhole: a notice with as many edits as it may have is still found."""
     rng = random.Random(3)
@@ -524,6 +545,39 @@ def test_segmentation_is_the_likeliest():
 # --- 9
 
 
+def test_least_determinant_of_the_starts(spark):
+    """The estimates against concentration steps in numpy, row by row."""
+    rng = np.random.default_rng(3)
+    rows, groups = [], {}
+    for g in range(4):
+        n = [400, 60, 25, 30][g]
+        x = np.column_stack([rng.normal(500, 20 + 5 * g, n), np.abs(rng.normal(5, 4, n)), np.abs(rng.normal(8, 6, n))])
+        bad = rng.random(n) < [0.1, 0.35, 0.0, 0.5][g]
+        x[bad] += rng.normal([200, 60, 40], 3, (bad.sum(), 3))
+        groups[f"g{g}"] = x.astype(int)
+        rows += [(f"g{g}", *map(int, r)) for r in groups[f"g{g}"]]
+    cells = spark.createDataFrame(rows, "g string, _x0 bigint, _x1 bigint, _x2 bigint").groupBy("g", "_x0", "_x1", "_x2").count().withColumnRenamed("count", "_w")
+    got = {r["g"]: r for r in quality.mcd(cells, ("g",)).collect()}
+    ridge = np.array(quality.RIDGE)
+
+    def moments(x, by):
+        return x.mean(axis=0), (x.T @ x / len(x) - np.outer(x.mean(axis=0), x.mean(axis=0))) * by + np.diag(ridge)
+
+    assert set(got) == {"g0", "g1", "g2", "g3"}
+    for g, x in groups.items():
+        x = x.astype(float)
+        at = lambda q, x=x: np.array([np.sort(c)[int(np.ceil(len(x) * q / 4)) - 1] for c in x.T])
+        ends = []
+        for m, c in ((at(2), np.diag(ridge * 100)), (at(2), np.diag((at(3) - at(1)) ** 2 + ridge)), moments(x, 1.0)):
+            for _ in range(quality.STEPS):
+                d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                near = x[d <= np.sort(d)[int(np.ceil(len(x) * quality.SUBSET)) - 1] * (1 + 1e-12)]
+                m, c = moments(near, quality.RAISE)
+            ends.append((np.linalg.det(c), tuple(m)))
+        r = got[g]
+        assert np.allclose([r[k] for k in quality._MEANS], min(ends)[1], rtol=1e-9)
+
+
 def test_quality(docs):
     for r in quality.judge(docs).collect():
         assert not (r["base_failed"] and r["kept"])
