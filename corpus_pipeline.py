@@ -3,7 +3,11 @@ passages, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next one's docs; all but the last return the columns of documents.
-Stages take empty tables, nulls and repeated rows as their operators do.
+
+Defined cases, for every stage: an empty table gives none; null text counts as empty; null ids,
+languages and sources are values like others; repeated rows are rows of their own (but for
+near_duplicates, which leaves one); very long texts are read whole; extra columns are given
+back by all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import mixing, pieces, quality, simhash, suffixes
-from quernstone.llm.common import materialize, table
+from quernstone.llm.common import intermediates, materialize, table
 
 #: Seeds of the near-duplicate stage's fingerprints. Of the pairs of different texts at sf0.1
 #: whose similarity is 0.8 or more, one fingerprint within three bits finds 25 of 47, five
@@ -25,7 +29,7 @@ PASSAGE = 250
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the outlier estimates reject go; small groups take
-    pooled estimates."""
+    pooled estimates. Null and empty texts go, as they have no words."""
     return quality.kept_documents(docs, pooled=True)
 
 
@@ -45,12 +49,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the sources' target weights take them."""
+    """Documents as often as the sources' target weights take them: a row for each time, the
+    last one cut after its last word taken. Texts without a word are never taken."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, piece ids and their digests, with the decoding's check."""
+    """doc_id, lang, source, piece ids and their digests, with the decoding's check; empty texts
+    have no ids."""
     return pieces.digests(docs, keep=("doc_id", "lang", "source"), with_ids=True)
 
 
@@ -68,12 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes for itself goes when its result is there."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with intermediates():
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outlive=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict:
