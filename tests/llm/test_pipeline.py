@@ -25,6 +25,32 @@ def test_stages(spark, docs):
     assert len(last) == len(out) and all(r["round_trip"] and len(r["ids"]) == r["n_pieces"] for r in last)
 
 
+def test_stages_keep_odd_rows_and_extra_columns(spark, docs):
+    """Null ids, equal ids, clashing columns: what no stage has a reason to drop stays."""
+    rng = random.Random(33)
+    plain = lambda: " ".join(rng.choice(["house", "river", "at", "on", "paper", "stone"]) + str(rng.randint(0, 999)) for _ in range(80))
+    rows = [(i, plain(), "en", "s", None, 1, "y", 2.0) for i in range(60)]
+    rows += [(None, plain(), "en", "s", None, 1, "y", 2.0) for _ in range(5)] + [(7, plain(), None, None, None, 1, "y", 2.0)]
+    df = spark.createDataFrame(rows, DOCS + ", ids int, _source string, fps double")
+    want = Counter((r[0], r[1]) for r in rows)
+    for name, stage in P.STAGES[:3]:
+        df = stage(spark, df, "")
+        assert df.columns == [*(c.split()[0] for c in DOCS.split(", ")), "ids", "_source", "fps"], name
+        assert Counter((r["doc_id"], r["text"]) for r in df.collect()) == want, name
+    last = P.STAGES[-1][1](spark, P.STAGES[3][1](spark, df, ""), "").collect()
+    assert all(r["round_trip"] for r in last) and sum(r["doc_id"] is None for r in last) >= 5
+
+
+def test_passages_go(spark):
+    """Passages of over fifty words that documents share go from all of them; near copies go."""
+    rng = random.Random(34)
+    passage = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(53))
+    own = [words(rng, 120) for _ in range(6)]
+    rows = [(k, f"{t[:200]} {passage} {t[200:]}", "en", "s", None) for k, t in enumerate(own)]
+    out = P.repeated_passages(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert len(out) == 6 and not any(passage in r["text"] for r in out) and all(r["text"].startswith(own[r["doc_id"]][:190]) for r in out)
+
+
 def test_run(spark, tmp_path):
     spark.createDataFrame(corpus(), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     assert P.run(spark, str(tmp_path)).count() > 0
