@@ -186,3 +186,31 @@ def test_human_summary(spark):
     d = spark.createDataFrame([("d", 1, "Loan", "loan_agreement")], "document_id string, version int, title string, kind string")
     c = spark.createDataFrame([("d", 1, 1, None, None, "text of one"), ("d", 1, 0, "1.1", "Rates", "x")], "document_id string, version int, ordinal int, number string, heading string, text string")
     assert human_summary(d, c).first()["summary"] == "Document: Loan\nType: loan agreement\nVersion: 1\n[1.1] Rates\n[-] text of one"
+
+
+def test_files_to_versions(spark, tmp_path):
+    """From DOCX files to the clauses in force: an agreement, its amendment, and a question."""
+    from quernstone.sources import files, sample
+
+    e = Engine(spark, str(tmp_path / "store"), threshold=0.05)
+    statuses = []
+    for name, blocks in (("a", sample.agreement_blocks()), ("b", sample.amendment_blocks())):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.docx").write_bytes(sample.docx_bytes(blocks))
+        found = files.read_files(spark, str(tmp_path / name))
+        lines, warnings = files.parse_docx(found)
+        assert warnings.isEmpty()
+        documents, parsed, _ = P.parse(lines, found.select("document_id", F.lit(1).alias("version"), "filename"))
+        kind = documents.first()["kind"]
+        statuses.append((kind, *e.upload(documents, parsed).select("document_id", "version", "status").first()))
+    assert statuses == [("loan_agreement", "loan-SMP-HL-0001234", 1, "stored"), ("amendment", "loan-SMP-HL-0001234", 2, "stored")]
+    v1, v2 = ({r["number"]: r["text"] for r in e.list_clauses("loan-SMP-HL-0001234", v).collect() if r["number"]} for v in (1, 2))
+    assert {"11.2", "11.4", "11.5"} <= set(v1) and not {"11.2", "11.4", "11.5"} & set(v2)
+    assert "8.60%" in v2["3.1"] and "1.5%" in v2["9.1"] and "No charge" in v2["11.3"]
+    assert all(v1[n] == v2[n] for n in ("3.2", "6.1", "6.2", "6.3", "7.1", "7.2", "9.2", "12.1"))
+    chunks = e.table("chunks")
+    shared = chunks.where("version = 1").select("content_hash").intersect(chunks.where("version = 2").select("content_hash")).count()
+    assert shared > 0.7 * chunks.where("version = 2").count()
+    out = e.answer(ask(spark, ("What is the penal charge on overdue amounts?", "loan-SMP-HL-0001234", None, None, None, None, None)))
+    text = out["answers"].first()["text"]
+    assert "1.5%" in text and "2% a month" not in text
