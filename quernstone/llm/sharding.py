@@ -6,8 +6,10 @@ the row's shard. No ring table exists, and appending a shard moves only the rows
 new shard receives. Everything is built-in expressions: 2**64 arithmetic is done in
 decimal(38), since a product of the generator stays below 10**38.
 
-Defined cases: a null key counts as key 0; an empty table gives no rows; repeated rows
-each get a slot of their own; extra columns are not read.
+Defined cases: a null key counts as key 0; null text has size 1 and the checksum of no bytes;
+an empty table gives no rows; repeated rows each get a slot of their own, rows that tie in a
+shard's order in any order; very long texts are measured whole; extra columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
