@@ -22,7 +22,7 @@ Labels, language, source and id are never inputs of a score.
 Defined cases: null and empty texts get the score of a text without any vote; a null id
 counts as the empty text in the fold's rule, has no label and is not in the samples; several
 labels of one id count as their largest; of several texts of one id in a sample the one of
-least votes counts; without labels of both classes only the voters of 1 vote, at fixed rates;
+least votes, or of least hash, counts (rows that repeat both each count in the lexicons); without labels of both classes only the voters of 1 vote, at fixed rates;
 a score of exactly 0.5 predicts 1; repeated rows are scored each; very long texts are read
 whole, one at a time; an empty table gives no rows; extra columns, whatever their names, are
 not read.
@@ -222,11 +222,14 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> Dat
     train = materialize(_labels(labels), "toxicity-labels")
     # the samples are bounded by SAMPLE and TEXTS rows of 12 bytes, so they may go to all executors
     ids = _least(train, SAMPLE)
-    dealt = docs.withColumn("_part", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(PARTS)).cast("int"))
-    texts = dealt.select("doc_id", F.col("_part").alias("part"), "text").join(F.broadcast(ids), "doc_id").groupBy("part", "text").agg(F.max("toxic").alias("toxic"))
-    words, lists = _lexicon(texts)
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    part = F.pmod(h, F.lit(PARTS)).cast("int")
+    # one text of an id, one id of a text: SAMPLE rows at most, and no text is shuffled
+    once = docs.select("doc_id", h.alias("_h")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("_h").alias("_h"))
+    once = materialize(once.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "toxicity-once")
+    words, lists = _lexicon(docs.select("doc_id", h.alias("_h"), part.alias("part"), "text").join(F.broadcast(once), ["doc_id", "_h"]).select("part", "text", "toxic"))
     lexicon = {f: i for i, f in enumerate(words)}
-    rows = dealt.select("doc_id", F.col("text").alias("_text"), "_part", *keep)
+    rows = docs.select("doc_id", F.col("text").alias("_text"), part.alias("_part"), *keep)
     names = ["doc_id", "_part", *keep, "votes", "found"]
 
     def run(batches):
