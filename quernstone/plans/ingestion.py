@@ -2,31 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..scratch import shared_dir
 from ..streaming import ingest as I
 from . import base as P
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; a local one on a local master."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="quernstone-ingest-")
-    return f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
-
-
 def stream_ingest_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     """documents streamed in twice: rows and vectors after the second time."""
     d = P.table(spark, sf, "documents")
-    out = _folder(spark)
+    out = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     for turn in (1, 2):
         stream = spark.readStream.schema(d.schema).parquet(sf + "/documents*.parquet" if not sf.endswith("/") else sf + "documents*.parquet")
         chunks = stream.select(F.col("doc_id").alias("chunk_id"), X.content_hash(F.col("text")).alias("content_hash"), "text", F.col("source").alias("document_id"))
