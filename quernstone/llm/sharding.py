@@ -7,8 +7,8 @@ new shard receives. Everything is built-in expressions: 2**64 arithmetic is done
 decimal(38), since a product of the generator stays below 10**38.
 
 Defined cases: a null key counts as key 0; null text has size 1 and the checksum of no bytes;
-an empty table gives no rows; repeated rows each get a slot of their own, rows that tie in a
-shard's order in any order; very long texts are measured whole; extra columns, whatever their
+an empty table gives no rows; repeated rows each get a slot of their own, one after another;
+different texts of one checksum and size under one key go in any order; very long texts are measured whole; extra columns, whatever their
 names, are not read.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import hex_digits, materialize, row_count, table
 
 SHARDS = 8
+#: Rows of a group that is numbered in one task.
+GROUP = 1000
 #: Fixed value of the published algorithm: multiplier of its generator.
 _STEP = 2862933555777941757
 _TWO64 = 1 << 64
@@ -50,11 +52,13 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     """One row per input row: key, size, text_crc32, shard, grown_shard and a gapless
     slot within the shard.
 
-    Slots follow the md5 of the key. They are numbered in two levels, so that no task
-    holds a shard: rows are ranked within (shard, md5 prefix) groups of about a thousand
-    rows, and the groups' counts are summed up in the order of the prefixes.
+    Slots follow the first digits of the key's md5, then the md5 of the text's checksum and
+    size, then the key's whole md5. They are numbered in two levels, so that no task holds a
+    shard or a key: equal rows are counted, rows are summed up within groups of about a
+    thousand by those digits, and by digits of the second hash where a key has more, and the
+    groups' counts are summed up in their order.
     """
-    digits = hex_digits(row_count(docs), per_group=1000 * shards)
+    digits = hex_digits(row_count(docs), per_group=GROUP * shards)
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("_key"),
@@ -64,14 +68,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text: str = "text", shar
     )
     number = F.coalesce(F.col("_key").cast("bigint"), F.lit(0).cast("bigint"))
     rows = rows.withColumns({"shard": jump_shard(number, shards), "grown_shard": jump_shard(number, shards + 1)})
-    rows = materialize(rows.withColumn("_part", F.substring("_order", 1, digits)), "shards")
-    counts = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = W.partitionBy("shard", "_part").orderBy("_order", "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(within) - 1)
-    return ranked.join(starts, ["shard", "_part"]).select(
-        F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_start") + F.col("_rank")).cast("bigint").alias("slot"), "grown_shard"
+    mixed = F.md5(F.concat_ws(":", F.col("text_crc32").cast("string"), F.col("size").cast("string")).cast("binary"))
+    rows = rows.withColumns({"_part": F.substring("_order", 1, digits), "_mix": mixed})
+    rows = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")), "shards")
+    crowded = rows.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > 8 * GROUP)
+    finer = F.ceil(F.log2(F.col("_rows") / GROUP) / 4).cast("int")
+    crowded = materialize(crowded.select("shard", "_part", finer.alias("_finer")), "shards-crowded")
+    rows = rows.join(crowded, ["shard", "_part"], "left").withColumn("_sub", F.expr("substring(_mix, 1, coalesce(_finer, 0))")).drop("_finer")
+    counts = rows.groupBy("shard", "_part", "_sub").agg(F.sum("_n").alias("_sum"))
+    before = W.partitionBy("shard").orderBy("_part", "_sub").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("shard", "_part", "_sub", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    within = W.partitionBy("shard", "_part", "_sub").orderBy("_mix", "_order", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("_rank", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, ["shard", "_part", "_sub"])
+    copies = ranked.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    return copies.select(
+        F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_start") + F.col("_rank") + F.col("_copy")).cast("bigint").alias("slot"), "grown_shard"
     )
 
 
@@ -97,6 +108,7 @@ crc AS (SELECT n, 4294967295 - list_reduce(list_transform(regexp_extract_all(hex
 now AS ({_jump_sql(SHARDS)}), grown AS ({_jump_sql(SHARDS + 1)}),
 r AS (SELECT keyed.n, doc_id, (strlen(t) + 1)::BIGINT AS size, text_crc32, now.shard, grown.shard AS grown_shard
   FROM keyed JOIN crc ON crc.n = keyed.n JOIN now ON now.n = keyed.n JOIN grown ON grown.n = keyed.n)
-SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '')), text_crc32, size) - 1 AS slot, grown_shard FROM r
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY
+  substr(md5(coalesce(doc_id::VARCHAR, '')), 1, CASE WHEN c <= {GROUP * SHARDS} THEN 0 WHEN c <= {GROUP * SHARDS * 16} THEN 1 WHEN c <= {GROUP * SHARDS * 256} THEN 2 WHEN c <= {GROUP * SHARDS * 4096} THEN 3 ELSE 4 END),
+  md5(text_crc32 || ':' || size), md5(coalesce(doc_id::VARCHAR, '')), text_crc32, size) - 1 AS slot, grown_shard FROM r, (SELECT count(*) AS c FROM documents)
 """

@@ -378,6 +378,20 @@ def test_sharding(docs):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_slots_of_a_crowd(spark, monkeypatch):
+    """One key that most rows have, with many texts and many copies of one."""
+    monkeypatch.setattr(sharding, "GROUP", 5)
+    rows = [(None, f"text {k}") for k in range(900)] + [(None, "copy")] * 400 + [(k, f"own {k}") for k in range(300)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert len(got) == 1600 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    import zlib
+
+    same([(r["doc_id"], r["text_crc32"]) for r in got], [(i, zlib.crc32(t.encode())) for i, t in rows])
+
+
 def test_jump_of_negative_keys(spark):
     keys = [-1, -5, 2**63 - 1, -(2**63), 12345678901234567]
     rows = spark.createDataFrame([(k,) for k in keys], "k bigint")
