@@ -34,8 +34,21 @@ def clause_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("document_id", F.col("block").cast("bigint").alias("block"), "page_start", "page_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def _drafted(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of the documents as lines: numbered, under headings, with blank lines between
+    them, or as they are, by the documents' ids."""
+    said, way = F.split("text", r"\. "), F.col("doc_id") % 4
+    numbered = F.transform(said, lambda x, i: F.concat((i % 90 + 1).cast("string"), F.lit(". "), x))
+    two = lambda first, second: F.flatten(F.transform(said, lambda x: F.array(first(x), second(x))))
+    headed, apart = two(lambda x: F.lit("GENERAL TERMS"), lambda x: x), two(lambda x: x, lambda x: F.lit(""))
+    lines = F.when(way == 0, numbered).when(way == 1, headed).when(way == 2, apart).otherwise(said)
+    rows = P.table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("version"), F.posexplode(lines).alias("line_no", "text"))
+    page = (F.floor(F.col("line_no") / PAGE) + 1).cast("int")
+    return rows.withColumns({"page": page, "is_ocr": F.lit(False), "is_heading": F.lit(False)})
+
+
 def segmented_strategies(spark: SparkSession, sf: str) -> DataFrame:
-    out = G.segment(_lines(spark, sf))
+    out = G.segment(_drafted(spark, sf))
     return out.groupBy("strategy").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("clauses"))
 
 
@@ -226,6 +239,9 @@ QUERIES = {f.__name__: f for f in _F}
 
 _LINES = f"""lines AS (SELECT doc_id AS document_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 paged AS (SELECT *, (line_no // {PAGE} + 1)::INT AS page, {P.strip_sql('text')} AS t FROM lines)"""
+_DRAFTED = f"""dr AS (SELECT doc_id, string_split(text, '. ') AS ls FROM documents),
+dl AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN list_transform(ls, lambda x, i: ((i - 1) % 90 + 1) || '. ' || x) WHEN 1 THEN flatten(list_transform(ls, lambda x: ['GENERAL TERMS', x])) WHEN 2 THEN flatten(list_transform(ls, lambda x: [x, ''])) ELSE ls END AS ls FROM dr),
+lines AS (SELECT doc_id AS document_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS text FROM dl), paged AS (SELECT *, (line_no // {PAGE} + 1)::INT AS page, {P.strip_sql('text')} AS t FROM lines)"""
 _q = lambda x: "'" + x.replace("'", "''") + "'"
 _MARKED = "marked AS (SELECT doc_id, [" + ", ".join(map(_q, RECITALS)) + f"][doc_id % {len(RECITALS)} + 1] || ' ' || text AS text FROM documents)"
 # fixed values, stated here apart from the operators
@@ -320,14 +336,32 @@ _CLEAN = f"regexp_replace({P.glyphs_sql('text')}, '([\\p{{L}}\\p{{N}}_])-{P.SPAC
 _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 _CLEAN = f"regexp_replace({_CLEAN}, '{P.BLANK_SQL}+(\\n|\\z)', '\\1', 'g')"
 
-SQL = {
-    "clause_blocks": rf"""WITH {_LINES}, f AS (SELECT *, regexp_extract(t, {_NUMBERED}, 1) AS dec, regexp_extract(t, {_STRUCTURAL}, 1) AS word,
+_STARTS = rf"""f AS (SELECT *, regexp_extract(t, {_NUMBERED}, 1) AS dec, regexp_extract(t, {_STRUCTURAL}, 1) AS word,
   len(regexp_extract_all(t, '\p{{L}}')) AS letters, len(regexp_extract_all(t, '\p{{Lu}}')) AS caps FROM paged),
 s AS (SELECT *, length(t) > 0 AND (dec <> '' OR (word <> '' AND (upper(t) = t OR length(t) <= 90))
   OR (length(t) BETWEEN 3 AND 90 AND NOT ends_with(t, '.') AND len(regexp_split_to_array(t, '\s+')) <= 12 AND letters >= 3 AND caps >= letters * 0.85)) AS starts FROM f),
 b AS (SELECT *, sum(starts::INT) OVER (PARTITION BY document_id ORDER BY line_no) AS block FROM s),
-g AS (SELECT document_id, block::BIGINT AS block, min(page) AS page_start, max(page) AS page_end, {P.strip_sql('string_agg(text, chr(10) ORDER BY line_no)')} AS x FROM b GROUP BY ALL)
-SELECT document_id, block, page_start, page_end, md5(x) AS text_md5 FROM g WHERE length(x) > 0""",
+g AS (SELECT document_id, block::BIGINT AS block, min(page) AS page_start, max(page) AS page_end, {P.strip_sql('string_agg(text, chr(10) ORDER BY line_no)')} AS x FROM b GROUP BY ALL)"""
+
+SQL = {
+    "clause_blocks": f"WITH {_LINES}, {_STARTS} SELECT document_id, block, page_start, page_end, md5(x) AS text_md5 FROM g WHERE length(x) > 0",
+    "segmented_strategies": f"""WITH RECURSIVE {_DRAFTED}, {_STARTS}, h AS (SELECT document_id, block, x AS t, lead(block) OVER (PARTITION BY document_id ORDER BY block) AS nx FROM g WHERE x <> ''),
+hr AS (SELECT *, {_REST} AS rest FROM h), k AS (SELECT document_id, count(*) FILTER (NOT (block > 0 AND NOT contains(t, chr(10)) AND {_HEADING} AND nx IS NOT NULL)) AS n FROM hr GROUP BY 1),
+d AS (SELECT document_id, count(*) FILTER (dec <> '') >= 3 AS numbered, bool_or(starts) AS started FROM s GROUP BY 1),
+w AS (SELECT document_id, 0::BIGINT AS ln, CASE WHEN t <> '' THEN length(text) ELSE 0 END AS size, 0 AS n FROM paged WHERE line_no = 0
+  UNION ALL SELECT w.document_id, ln + 1, CASE WHEN p.t <> '' THEN size + length(p.text) WHEN size >= 900 THEN 0 ELSE size END, n + CASE WHEN p.t = '' AND size >= 900 THEN 1 ELSE 0 END
+    FROM w JOIN paged p ON p.document_id = w.document_id AND p.line_no = ln + 1),
+pn AS (SELECT document_id, arg_max(n, ln) + CASE WHEN arg_max(size, ln) > 0 THEN 1 ELSE 0 END AS n FROM w GROUP BY 1),
+pg AS (SELECT document_id, count(*) AS n FROM (SELECT document_id, page FROM paged GROUP BY ALL HAVING bool_or(t <> '')) GROUP BY 1),
+o AS (SELECT CASE WHEN started AND k.n >= 3 THEN CASE WHEN numbered THEN 'clause_numbering' ELSE 'headings' END WHEN pn.n >= 3 THEN 'paragraphs' ELSE 'pages' END AS strategy, k.n AS kn, pn.n AS pnn, pg.n AS pgn
+  FROM d JOIN k USING (document_id) JOIN pn USING (document_id) JOIN pg USING (document_id))
+SELECT strategy, count(*) AS documents, sum(CASE strategy WHEN 'paragraphs' THEN pnn WHEN 'pages' THEN pgn ELSE kn END)::BIGINT AS clauses FROM o GROUP BY 1""",
+    "paragraph_clauses": f"""WITH RECURSIVE c AS (SELECT conv_id, text, {P.strip_sql('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations WHERE text IS NOT NULL),
+w AS (SELECT conv_id, i, CASE WHEN t <> '' AND length(text) < 900 THEN text END AS cur, CASE WHEN t <> '' AND length(text) < 900 THEN length(text) ELSE 0 END AS size, CASE WHEN t <> '' AND length(text) >= 900 THEN [text] ELSE [] END AS done FROM c WHERE i = 1
+  UNION ALL SELECT conv_id, i, CASE WHEN size < 900 THEN cur END, CASE WHEN size < 900 THEN size ELSE 0 END, CASE WHEN size >= 900 THEN list_append(done, cur) ELSE done END
+    FROM (SELECT w.conv_id, c.i, CASE WHEN c.t = '' THEN cur WHEN cur IS NULL THEN c.text ELSE cur || chr(10) || c.text END AS cur, size + CASE WHEN c.t = '' THEN 0 ELSE length(c.text) END AS size, done FROM w JOIN c ON c.conv_id = w.conv_id AND c.i = w.i + 1)),
+e AS (SELECT conv_id, arg_max(CASE WHEN cur IS NULL THEN done ELSE list_append(done, cur) END, i) AS ps FROM w GROUP BY 1)
+SELECT conv_id AS document_id, len(ps) AS clauses, list_sum(list_transform(ps, lambda p: length({P.strip_sql('p')})))::BIGINT AS chars FROM e WHERE len(ps) > 0""",
     "loan_type_dominance": f"""WITH {_MARKED}, low AS (SELECT doc_id, lower(text) AS t FROM marked), """
     + "m AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS loan_type, {_UNQUOTED(w)} AS places, {len(w)} AS size FROM low" for k, ws in _LOANS.items() for w in ws) + "), "
     + f"""c AS (SELECT doc_id, loan_type, sum(len(places)) AS n, sum(len(list_filter(places, lambda p: p + size <= 701))) AS z FROM m GROUP BY ALL HAVING sum(len(places)) > 0),
