@@ -44,7 +44,7 @@ from .common import bounded_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words kept encoded in a task; beyond, the store starts anew (results are the same).
-STORE = 1_000_000
+STORE = 150_000
 #: Characters beyond which a word is cut where no piece can stand.
 LONG = 24
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
