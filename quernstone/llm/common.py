@@ -54,7 +54,17 @@ def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/quernstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     (_outliving if outlive else _written)[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quernstone_path = path
+    return out
+
+
+def release(table_: DataFrame) -> None:
+    """Delete what materialize() wrote, once all that was read from it is written itself."""
+    path = table_._quernstone_path
+    for held in (_written, _outliving):
+        if path in held:
+            _delete(path, held.pop(path))
 
 
 @contextmanager

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, materialize, release, table
 
 LENGTH = 400
 #: Bytes of a repeated passage: fifty words of four letters and a space.
@@ -385,10 +385,12 @@ def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), gram:
     least, reach = min(lengths), max(lengths)
     small = ("start", "many", "off", "size")
     found = _keyed(docs).select("_k1", "_k2", "_bytes").mapInArrow(_find_runs(least, reach, gram), "k1 bigint, k2 bigint, start bigint, many bigint, off bigint, size bigint, ah bigint, u1 bigint, u2 bigint")
-    runs = materialize(found.select("k1", "k2", *(F.col(c).cast("int").alias(c) for c in small), "ah", "u1", "u2"), "suffix-runs")
+    every = materialize(found.select("k1", "k2", *(F.col(c).cast("int").alias(c) for c in small), "ah", "u1", "u2"), "suffix-runs")
     # counts are tables of their own: joined to them, a frequent gram can be split over tasks
-    again = materialize(runs.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah"), "suffix-repeats")
-    runs = materialize(runs.join(again, "ah"), "suffix-candidates")
+    again = materialize(every.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ah"), "suffix-repeats")
+    runs = materialize(every.join(again, "ah"), "suffix-candidates")
+    for done in (every, again):  # most runs' anchors occur once: the disk they take is free again
+        release(done)
     key = ["ah", "u1", "u2"]
     distinct = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", *small)).alias("r")).select(*key, "n", "r.*")
     distinct = materialize(distinct, "suffix-distinct")
