@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TEXT_WORD, let, materialize, row_count, table
+from .common import TEXT_WORD, let, row_count, table
 
 CHAIN = 2
 #: Very common words of English, German, French and Spanish.
@@ -131,7 +131,7 @@ def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str
         start = F.struct(F.col("_key").alias("k"), F.lit(0).alias("lo"), F.lit(many).alias("hi"))
         steps = F.sequence(F.lit(1), F.lit(many.bit_length() + 1))
         rows = rows.withColumn("_p", F.aggregate(steps, start, halve, lambda s: s["lo"] - 1))
-        finer = -(-n // (parts * per))
+        finer = n // (parts * per)
         q = F.lit(0)
         if finer > 1:
             low, high = F.get(array, F.col("_p")).cast("double"), F.coalesce(F.get(array, F.col("_p") + 1).cast("double"), F.lit(float(found["hi"]) + 1.0))
@@ -147,7 +147,7 @@ def with_next(docs: DataFrame, value: str, derived: dict[str, Column], key: str
     line = W.orderBy("_p", "_q")
     everyone = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     here = F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"))
-    first = materialize(first.withColumn("_before", F.coalesce(F.lag(here).over(line), F.max(here).over(everyone))), "ranges")
+    first = first.withColumn("_before", F.coalesce(F.lag(here).over(line), F.max(here).over(everyone)))
     rows = placed(docs.withColumns({"_key": at, "_h": F.xxhash64(value)})).join(F.broadcast(first), ["_p", "_q"])
     own = F.struct(F.col("_p").alias("p"), F.col("_q").alias("q"), F.lit(0).alias("ghost"))
     other = F.struct(F.col("_before.p").alias("p"), F.col("_before.q").alias("q"), F.lit(1).alias("ghost"))
